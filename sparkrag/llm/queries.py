@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, sstable, warc
+from . import audio, jaccard, quality, sstable, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_nnpu": quality.op3_query,
+    "op5_parity_sketch_join": jaccard.op5_query,
     "op8_sstable_shards": sstable.op8_query,
     "op9_warc_source": warc.op9_query,
     "op10_audio_features": audio.op10_query,
