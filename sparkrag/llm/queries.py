@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontaminate, jaccard, mixing, quality, sstable, warc
+from . import audio, decontaminate, jaccard, licenses, mixing, quality, rollup, sstable, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_rollups": rollup.op1_query,
     "op3_quality_nnpu": quality.op3_query,
     "op4_benchmark_decontamination": decontaminate.op4_query,
     "op5_parity_sketch_join": jaccard.op5_query,
+    "op6_license_scan": licenses.op6_query,
     "op7_temperature_mixing": mixing.op7_query,
     "op8_sstable_shards": sstable.op8_query,
     "op9_warc_source": warc.op9_query,
@@ -19,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_token_rollups": rollup.OP1_SQL,
     "op4_benchmark_decontamination": decontaminate.OP4_SQL,
     "op7_temperature_mixing": mixing.OP7_SQL,
     "op9_warc_source": warc.OP9_SQL,
