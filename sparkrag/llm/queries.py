@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontaminate, jaccard, licenses, mixing, quality, rollup, sstable, warc
+from . import audio, decontaminate, jaccard, licenses, mixing, pitman_yor, quality, rollup, sstable, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_rollups": rollup.op1_query,
+    "op2_pitman_yor_scores": pitman_yor.op2_query,
     "op3_quality_nnpu": quality.op3_query,
     "op4_benchmark_decontamination": decontaminate.op4_query,
     "op5_parity_sketch_join": jaccard.op5_query,
