@@ -1 +1 @@
-
+"""Column expressions: text, vectors, ranking metrics, templates."""

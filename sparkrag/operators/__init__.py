@@ -1 +1 @@
-
+"""DataFrame operators: DataFrame in, DataFrame out."""
