@@ -112,7 +112,9 @@ class PieceEncoder:
         kind = _KIND[data]
         cut = np.zeros(len(data) + 1, bool)
         here, last = kind[1:], kind[:-1]
-        cut[1:-2] = (here[:-1] == 4) & ((kind[2:] == 1) | (kind[2:] == 2) | _LATIN[data[2:]])
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True  # what follows there is another text's
+        cut[1:-2] = (here[:-1] == 4) & ((kind[2:] == 1) | (kind[2:] == 2) | _LATIN[data[2:]]) & ~edge[2:-1]
         cut[1:-1] |= ((here == 2) & (last == 1)) | ((here >= 3) & ((last == 1) | (last == 2))) | ((last == 3) & ((here == 1) | (here == 2)))
         cut[offsets] = True
         cut[-1] = False
