@@ -95,8 +95,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, id_col: s
     same = docs[id_col].eqNullSafe(hit["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == hit["_key"])
     if not spans:
         return docs.join(hit, same, "left_anti")
-    lead = F.regexp_extract(text_col, r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]*", 0)
-    piece = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"), F.lit(0))
+    between = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # the same in a text with capitals
+    lead = F.regexp_extract(text_col, f"^[{between}]*", 0)
+    piece = F.regexp_extract_all(F.col(text_col), F.lit(f"[^{between}]+[{between}]*"), F.lit(0))
     rest = F.concat(lead, F.array_join(F.filter(piece, lambda x, i: ~F.array_contains(F.col("_positions"), i + 1)), ""))
     joined = docs.join(hit, same, "left")
     return joined.select(*(F.when(F.col("_id").isNotNull() | F.col("_key").isNotNull(), rest).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
