@@ -63,7 +63,7 @@ class PieceEncoder:
     """Encodes texts piece by piece and remembers the ids of each distinct piece.
 
     Texts are cut only where the byte-level pre-tokeniser always begins a new token: before a space that a
-    visible character follows, where white space begins or ends at a tab or newline, and between a letter or
+    visible character follows, where white space begins, after a single tab or newline, and between a letter or
     digit and punctuation (ASCII only; other places just stay inside a piece). So the ids of the pieces, one
     after another, are the ids of the text.
     """
@@ -115,7 +115,9 @@ class PieceEncoder:
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True  # what follows there is another text's
         cut[1:-2] = (here[:-1] == 4) & ((kind[2:] == 1) | (kind[2:] == 2) | _LATIN[data[2:]]) & ~edge[2:-1]
-        cut[1:-1] |= ((here == 2) & (last == 1)) | ((here >= 3) & ((last == 1) | (last == 2))) | ((last == 3) & ((here == 1) | (here == 2)))
+        alone = edge[:-2].copy()  # white space that nothing of the kind comes before
+        alone[1:] |= (kind[:-2] == 1) | (kind[:-2] == 2)
+        cut[1:-1] |= ((here == 2) & (last == 1)) | ((here >= 3) & ((last == 1) | (last == 2))) | ((last == 3) & alone & ((here == 1) | (here == 2)))
         cut[offsets] = True
         cut[-1] = False
         starts = np.flatnonzero(cut)
