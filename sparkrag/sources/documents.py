@@ -129,3 +129,34 @@ def stream_text(spark: SparkSession, folder: str, schema: str, max_files: int =
 
 def non_empty(df: DataFrame) -> DataFrame:
     return df.where(non_blank("content"))
+
+
+def with_language(df: DataFrame, content: str = "content", out: str = "language") -> DataFrame:
+    """``df`` with a language code by langdetect; "unknown" where it finds none or isn't installed."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out), f"`{out}` string"])
+    names = [c for c in df.columns if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            from langdetect import DetectorFactory, LangDetectException, detect
+
+            DetectorFactory.seed = 0
+        except ImportError:
+            detect = None
+        for batch in batches:
+            codes = []
+            for text in batch.column(batch.schema.get_field_index(content)).to_pylist():
+                code = "unknown"
+                if detect and text:
+                    try:
+                        code = detect(text)
+                    except LangDetectException:
+                        pass
+                codes.append(code)
+            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(codes, pa.string())], names=[*names, out])
+
+    return df.mapInArrow(run, schema)
+
+
+#: Readers of documents by name; those that are registered later win.
+INGESTORS = {"text": read_files, "fitz": read_files}

@@ -55,3 +55,13 @@ def read_yaml(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     data = _yaml().safe_load(Path(path).read_text(encoding="utf-8")) or []
     return spark.createDataFrame(data if isinstance(data, list) else [data], schema)
+
+
+def write_yaml(df: DataFrame, path: str) -> None:
+    """A small YAML list, for files that people read."""
+    from ..config import _yaml
+
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    rows = [json.loads(r.j) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()]
+    target.write_text(_yaml().safe_dump(rows, sort_keys=False, allow_unicode=True), encoding="utf-8")
