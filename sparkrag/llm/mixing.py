@@ -133,10 +133,10 @@ def mix(docs: DataFrame, repeat: float | None = 2.0, entropy: float | None = Non
         limits = last if limits is None else limits.unionByName(last)
     if limits is None:
         return docs
-    budgets = cut(docs.sparkSession, budgets.join(limits, "source", "left"), "limits").select(F.col("source").alias("_source"), "whole", "limit")
-    key = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("whole")).cast("string"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))))
+    budgets = cut(docs.sparkSession, budgets.join(limits, "source", "left"), "limits").select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("limit").alias("_limit"))
+    key = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("_whole")).cast("string"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))))
     joined = docs.join(budgets, F.coalesce(docs[source_col], F.lit("")) == budgets["_source"])
-    times = F.col("whole") + F.when(key <= F.col("limit"), 1).otherwise(0)
+    times = F.col("_whole") + F.when(key <= F.col("_limit"), 1).otherwise(0)
     return joined.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 

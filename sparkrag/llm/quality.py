@@ -137,16 +137,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 8_000, most_unl
     return fit_nnpu(positive, unlabelled, prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``score``; one pass over whole texts."""
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the score as column ``out``, which replaces one of that name; one pass over whole texts."""
+    docs = docs.drop(out)
     names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` double"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, data, offsets in text_steps(batch, "text"):
                 columns = [c.slice(first, n) for c in batch.columns]
-                yield pa.record_batch([*columns, pa.array(model.score(featurise(data, offsets)), pa.float64())], names=[*names, "score"])
+                yield pa.record_batch([*columns, pa.array(model.score(featurise(data, offsets)), pa.float64())], names=[*names, out])
 
     return docs.mapInArrow(scan, schema)
 
@@ -161,4 +162,4 @@ def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Documents that the classifier doesn't reject, with their own columns."""
     model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
-    return score(docs, model).where(F.col("score") >= threshold).drop("score")
+    return score(docs, model, "_quality_score").where(F.col("_quality_score") >= threshold).drop("_quality_score")
