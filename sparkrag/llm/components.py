@@ -7,11 +7,16 @@ the logarithm of the longest path. Each round's edges are written to the shared
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
 
+MOST_HELD = 1 << 20  # nodes that a task holds while it joins edges
+
 
 def _star(pairs: DataFrame) -> DataFrame:
     """pairs (u, v): for each u with least m among u and its v, the pairs (v, m) and (u, m)."""
@@ -19,9 +24,41 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """Edges (m, v), m < v, that connect what ``edges`` connects within each task: fewer than the task has nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root = x
+            while up.get(root, root) != root:
+                root = up[root]
+            while x != root:
+                up[x], x = root, up.get(x, x)
+            return root
+
+        def out() -> pa.RecordBatch:
+            pairs = [(r, x) for x in up if (r := find(x)) != x]
+            return pa.record_batch([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["m", "v"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    up.setdefault(min(a, b), min(a, b))
+            if len(up) > MOST_HELD:  # memory stays bounded; what was found so far goes on
+                yield out()
+                up = {}
+        yield out()
+
+    return edges.mapInArrow(run, "m long, v long")
+
+
 def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that an edge touches; the component is its least node."""
-    now = edges.select(F.least(a, b).alias("m"), F.greatest(a, b).alias("v")).where("m < v").distinct()
+    now = _forest(edges.select(F.least(a, b).alias("m"), F.greatest(a, b).alias("v")).where("m < v")).distinct()
     now, before = cut(spark, now, "edges"), None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()

@@ -14,13 +14,17 @@ of frequent shingles come last in the order, so a passage that many documents sh
 
 Then, over classes of documents with equal sets:
 1. keys travel packed by the thousand, in numpy arrays, to the bucket that their hash names; classes that meet at a key
-   are a group; groups with the same members count once;
-2. star rounds: at each group, members are compared with a pivot (each member with the pivot that it meets most often);
-   dense sketches of 1,024 bits rule out pairs whose Hamming distance is too large, sets are compared exactly for the
-   rest; links make components;
-3. groups whose members still lie in several components are compared exhaustively across components, in blocks of
-   bounded size, again by dense sketch first and exact sets after. Pairs within a component can add nothing.
-
+   are a group; groups with the same members are one;
+2. members of a group whose sizes and dense sketches allow a link are joined, and what is joined makes clusters, as
+   components of a distributed edge table. Links lie within clusters;
+3. a cluster of at most ``CLUSTER_ITEMS`` shingles goes to one task, each set once, and is solved exactly there by a
+   breadth-first search: a class that was reached is compared, by posting lists, with all that weren't yet;
+4. larger clusters are solved without bringing them together, in rounds: each class of a group nominates the nearest
+   classes of other components, by dense sketches whose Hamming distance also rules out pairs that are too far apart;
+   sets are compared exactly, and links make components. Groups that lie in one component drop out; the last round
+   compares all pairs that remain across components, in blocks of bounded size, by sketch first and exact sets after.
+
+Pairs within a component can add nothing, so neither way tests them.
 So no link between components is lost, while copies are never expanded to pairs. Nothing is collected on the driver
 but counts and at most ``MOST_FREQUENT`` hashes of frequent shingles, which only affect the order of keys.
 
@@ -32,22 +36,26 @@ Memory grows with the longest single text (about 60 bytes a byte).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix, text_steps, word_hashes
+from .common import cut, mix, text_buffer, text_steps, word_hashes
 from .components import components
 
 SHINGLE = 5
 SMALL = 128
 WIDE = 4
-SKETCH_BITS = 1024
-STAR_ROUNDS = 3
-BLOCK = 1024  # members of a group that one exhaustive step takes from either side
+SKETCH_BITS = 4096
+CLUSTER_ITEMS = 4_000_000  # 32 MB
+#: How many of its nearest classes a class is compared with in each round; in the last one, with all that remain.
+ROUNDS = (1, 4, 32, None)
+BLOCK = 1024  # members of a group that one step takes from either side
+MOST_SENT = 1_000_000  # classes in clusters whose names (24 bytes each) are broadcast rather than joined by a shuffle of texts
 FLUSH = 1 << 21  # keys that a task holds before it packs them
 MOST_FREQUENT = 100_000
 COUNTED = 1 << 21  # shingles a task that frequencies are counted over
@@ -89,13 +97,104 @@ def node_ids(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(one + sizes.astype(np.uint64)).astype(np.int64), mix(two).astype(np.int64)
 
 
-def dense_sketches(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Parity sketches of SKETCH_BITS bits: each shingle flips one bit."""
+def dense_sketches(values: np.ndarray, sizes: np.ndarray, bits: int = SKETCH_BITS) -> list[bytes]:
+    """Parity sketches: each shingle flips one bit. Halves of a sketch XORed are the sketch of half as many bits."""
     n = len(sizes)
     text = np.repeat(np.arange(n), sizes)
-    bit = (values >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
-    flips = np.bincount(text * SKETCH_BITS + bit, minlength=n * SKETCH_BITS) & 1
-    return [x.tobytes() for x in np.packbits(flips.reshape(n, SKETCH_BITS).astype(np.uint8), axis=1)]
+    bit = (values >> np.uint64(40)).astype(np.int64) % bits
+    flips = np.bincount(text * bits + bit, minlength=n * bits) & 1
+    return [x.tobytes() for x in np.packbits(flips.reshape(n, bits).astype(np.uint8), axis=1)]
+
+
+#: Sketches have 1,024 bits, those of larger sets more: (least size, bits).
+SIZED = ((0, 1024), (900, 4096), (3600, 16384))
+
+
+def sized_sketches(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    out: list[bytes] = [b""] * len(sizes)
+    at = np.cumsum(sizes) - sizes
+    for k, (low, bits) in enumerate(SIZED):
+        high = SIZED[k + 1][0] if k + 1 < len(SIZED) else 1 << 62
+        rows = np.flatnonzero((sizes >= low) & (sizes < high))
+        for part in np.array_split(rows, max(1, len(rows) * bits >> 22)):
+            picked = [values[at[i] : at[i] + sizes[i]] for i in part]
+            for i, x in zip(part.tolist(), dense_sketches(np.concatenate(picked) if picked else values[:0], sizes[part], bits), strict=True):
+                out[i] = x
+    return out
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) of as many bits as ``words`` words have."""
+    return np.bitwise_xor.reduce(sketch.reshape(len(sketch), -1, words), axis=1)
+
+
+def forest(left: np.ndarray, right: np.ndarray | None, n: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int]]:
+    """Edges (as indexes) that connect all that pairs allowed by size and sketch connect: within ``left`` or, with
+    ``right``, between the two."""
+    length = np.array([len(x) // 8 for x in sketches])
+    levels = sorted(set(length.tolist()))
+    flat = {w: np.stack([np.frombuffer(x, np.uint64) for x in sketches if len(x) // 8 == w]) for w in levels}
+    place = np.zeros(len(length), np.int64)
+    for w in levels:
+        place[length == w] = np.arange(int((length == w).sum()))
+    by = {w: np.zeros((len(length), w), np.uint64) for w in levels}
+    for w in levels:
+        for v in levels:
+            if v >= w:
+                by[w][length == v] = fold(flat[v], w)
+    side = np.zeros(len(n), bool)
+    if right is not None:
+        side[right] = True
+    members = left if right is None else np.concatenate([left, right])
+    open_, out = np.zeros(len(n), bool), []
+    open_[members] = True
+    for start in members.tolist():
+        if not open_[start]:
+            continue
+        open_[start] = False
+        queue = [start]
+        while queue:
+            x = queue.pop()
+            rest = np.flatnonzero(open_ if right is None else open_ & (side != side[x]))
+            rest = rest[(4 * n[rest] >= 3 * n[x]) & (4 * n[x] >= 3 * n[rest])]
+            for w in levels:
+                own = rest[np.minimum(length[rest], length[x]) == w]
+                if len(own):
+                    far = np.bitwise_count(by[w][own] ^ by[w][x]).sum(1, dtype=np.int64)
+                    hit = own[7 * far <= n[own] + n[x]]
+                    open_[hit] = False
+                    queue.extend(hit.tolist())
+                    out += [(x, int(y)) for y in hit]
+    return out
+
+
+def _cells(groups: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, j, xs): members of groups by pairs of blocks; a group of at most BLOCK members is one cell."""
+    size = groups.groupBy("gid").agg(F.count("*").alias("g"))
+    rows = groups.join(size, "gid").withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct(*columns, "block").alias("x"))
+    return rows.groupBy("gid", "i", "j").agg(F.collect_list("x").alias("xs")).select("xs", "i", "j")
+
+
+def _cluster_edges(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): forests of the pairs of members that sizes and sketches allow; at most a row for each member of a cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for r in range(batch.num_rows):
+                items, i, j = batch.column(0)[r].values, batch.column(1)[r].as_py(), batch.column(2)[r].as_py()
+                node, n, block = (items.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "block"))
+                left, right = np.flatnonzero(block == i), np.flatnonzero(block == j) if i != j else None
+                for x, y in forest(left, right, n, items.field("sketch").to_pylist()):
+                    a.append(node[x])
+                    b.append(node[y])
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = groups.join(classes.select("node", "n", "sketch"), "node")
+    return _cells(rows, ["node", "n", "sketch"]).mapInArrow(run, "a long, b long")
 
 
 def band_start(size: int) -> int:
@@ -155,8 +254,7 @@ def _sketch_pass(docs: DataFrame) -> DataFrame:
             for first, rows, data, offsets in text_steps(batch, "text"):
                 values, sizes = shingle_sets(data, offsets)
                 node, check = node_ids(values, sizes)
-                sketch = dense_sketches(values, sizes)
-                yield pa.record_batch([batch.column(0).slice(first, rows), pa.array(sizes, pa.int64()), pa.array(node), pa.array(check), pa.array(sketch, pa.binary()), pa.nulls(rows, pa.bool_())], schema=schema)
+                yield pa.record_batch([batch.column(0).slice(first, rows), pa.array(sizes, pa.int64()), pa.array(node), pa.array(check), pa.array(sized_sketches(values, sizes), pa.binary()), pa.nulls(rows, pa.bool_())], schema=schema)
                 if kept < COUNTED:
                     distinct = np.unique(node, return_index=True)[1]
                     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -182,7 +280,7 @@ def _spread(spark: SparkSession) -> list[int]:
 
 
 def _groups(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(gid, node): classes that meet at a key; groups with the same members once, with the number of their keys."""
+    """(gid, node): classes that meet at a key; groups with the same members once."""
     buckets = np.array(_spread(docs.sparkSession), np.int32)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,10 +341,10 @@ def _groups(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 return None
             name = np.add.reduceat(mix(node.astype(np.uint64)), edge[:-1])[size > 1]
             starts, size = edge[:-1][size > 1], size[size > 1]
-            name, first, times = np.unique(name, return_index=True, return_counts=True)
+            name, first = np.unique(name, return_index=True)
             starts, size = starts[first], size[first]
             take = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            return pa.record_batch([pa.array(np.repeat(name.astype(np.int64), size)), pa.array(node[take]), pa.array(np.repeat(times, size), pa.int64())], names=["gid", "node", "times"])
+            return pa.record_batch([pa.array(np.repeat(name.astype(np.int64), size)), pa.array(node[take])], names=["gid", "node"])
 
         bucket, parts = None, []
         for batch in batches:
@@ -261,33 +359,143 @@ def _groups(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             yield out
 
     packed = docs.select("text").mapInArrow(emit, "bucket int, packed binary")
-    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, node long, times long")
-    return met.groupBy("gid", "node").agg(F.sum("times").alias("times"))
-
-
-def _hamming_ok(a: str, b: str, n_a: str, n_b: str):
-    """Column: the sketches' Hamming distance and the sizes allow a link."""
-    words = SKETCH_BITS // 64
-    part = lambda s, i: F.expr(f"conv(hex(substring({s}, {i * 8 + 1}, 8)), 16, -10)").cast("long")
-    far = sum((F.bit_count(part(a, i).bitwiseXOR(part(b, i))) for i in range(words)), F.lit(0))
-    return (far * 7 <= F.col(n_a) + F.col(n_b)) & (F.col(n_a) * 4 >= F.col(n_b) * 3) & (F.col(n_b) * 4 >= F.col(n_a) * 3)
+    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, node long")
+    return met.distinct()
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose sets are similar enough; the sets come from one text of each class."""
-    spark = pairs.sparkSession
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    rows = needed.join(reps.select("node", "rep"), "node")
+def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, ..., items): the sets of classes, each from a text of the row that ``rep`` names; other columns are kept."""
+    few = needed.count() <= MOST_SENT  # 24 bytes a row; otherwise texts are shuffled to meet them
+    kept = [c for c in needed.columns if c != "rep"]
+    rows = docs.join(F.broadcast(needed) if few else needed, docs["doc_id"].eqNullSafe(needed["rep"])).select(*kept, "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, data, offsets in text_steps(batch, "text"):
                 values, sizes = shingle_sets(data, offsets)
                 raw, at = values.tobytes(), np.concatenate([[0], np.cumsum(sizes)]) * 8
-                yield pa.record_batch([batch.column(0).slice(first, n), pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["node", "items"])
+                # rows that share an id can hold other texts than the one of the class
+                own = node_ids(values, sizes)[0] == batch.column(0).slice(first, n).to_numpy()
+                items = pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.record_batch([*(batch.column(i).slice(first, n) for i in range(len(kept))), items], names=[*kept, "items"]).filter(pa.array(own))
+
+    return rows.mapInArrow(sets, ", ".join(f"{c} long" for c in kept) + ", items binary")
+
+
+def solve(names: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The component (least name) of each set of a cluster, exactly; names are distinct."""
+    order = np.argsort(names)
+    names, sets = names[order], [sets[i] for i in order]
+    sizes = np.array([len(x) for x in sets])
+    out, open_ = names.copy(), np.ones(len(names), bool)
+    index: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.uint64),) * 3
+
+    def build() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = np.flatnonzero(open_)
+        values = np.concatenate([sets[i] for i in rows]) if len(rows) else np.zeros(0, np.uint64)
+        owner = np.repeat(rows, sizes[rows])
+        by = np.argsort(values, kind="stable")
+        keys, first = np.unique(values[by], return_index=True)
+        return keys, np.append(first, len(by)), owner[by]
+
+    index, built = build(), len(names)
+    left = len(names)
+    for start in range(len(names)):
+        if not open_[start]:
+            continue
+        open_[start], left = False, left - 1
+        queue = [start]
+        while queue and left:
+            if left < built // 2:
+                index, built = build(), left
+            keys, first, owner = index
+            x = queue.pop()
+            out[x] = names[start]
+            at = np.searchsorted(keys, sets[x])
+            at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == sets[x])] if len(keys) else at[:0]
+            length = first[at + 1] - first[at]
+            spread = np.repeat(first[at] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+            common = np.bincount(owner[spread], minlength=len(names))
+            hit = np.flatnonzero(open_ & (7 * common >= 3 * (sizes + sizes[x])) & (common > 0))
+            open_[hit] = False
+            left -= len(hit)
+            queue.extend(hit.tolist())
+            out[hit] = names[start]
+        for x in queue:
+            out[x] = names[start]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def _solve_clusters(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, component) of clusters that fit a task; needed: node, cluster, rep."""
+    sets = _sets(docs, needed).repartition("cluster").sortWithinPartitions("cluster", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(names: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+            found = solve(np.array(names, np.int64), held)
+            return pa.record_batch([pa.array(names, pa.int64()), pa.array(found)], names=["node", "component"])
+
+        cluster, names, held = None, [], []
+        for batch in batches:
+            for node, own, items in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if own.as_py() != cluster and names:
+                    yield close(names, held)
+                    names, held = [], []
+                cluster = own.as_py()
+                if not names or names[-1] != node.as_py():  # equal rows of an id give a set twice
+                    names.append(node.as_py())
+                    held.append(np.frombuffer(items.as_py(), np.uint64))
+        if names:
+            yield close(names, held)
+
+    return sets.select("node", "cluster", "items").mapInArrow(run, "node long, component long")
+
+
+def _item_table(docs: DataFrame, needed: DataFrame) -> str:
+    """Name of a bucketed table (node, items) of the classes in ``needed``, which later joins don't shuffle."""
+    spark, name = docs.sparkSession, "items_" + uuid.uuid4().hex[:12]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = _sets(docs, needed.select("node", "rep")).repartition(parts, "node").dropDuplicates(["node"])
+    found.write.bucketBy(parts, "node").saveAsTable(name)
+    return name
+
+
+def _sketches(table: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = text_buffer(batch.column(1))
+            sizes = np.diff(offsets) // 8
+            raw = np.frombuffer(data.tobytes()[offsets[0] : offsets[-1]], np.uint64)
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(dense_sketches(raw, sizes), pa.binary())], names=["node", "n", "sketch"])
+
+    return table.select("node", "items").mapInArrow(run, "node long, n long, sketch binary")
 
-    texts = docs.join(rows, docs["doc_id"] == rows["rep"]).select("node", "text")
-    known = cut(spark, texts.mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]), "sets")
+
+def _solve_in_rounds(docs: DataFrame, groups: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, component) of clusters of any size; groups: gid, node of those clusters; needed: node, cluster, rep."""
+    spark = docs.sparkSession
+    items = _item_table(docs, needed)
+    groups = cut(spark, groups.select("gid", "node").join(_sketches(spark.table(items)), "node"), "groups")
+    tested = links = comps = None
+    for most in ROUNDS:
+        now = cut(spark, _labelled(groups, comps), "open")
+        if now.isEmpty():
+            break
+        pairs = _nominate(now, most)
+        pairs = cut(spark, pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = cut(spark, _verify(pairs, items), "links")
+        links = found if links is None else links.unionByName(found)
+        comps = cut(spark, components(spark, links), "components")
+    spark.sql(f"DROP TABLE {items}")
+    return comps if comps is not None else spark.createDataFrame([], "node long, component long")
+
+
+def _verify(pairs: DataFrame, table: str) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose sets are similar enough; the table's sets aren't shuffled."""
+    known = pairs.sparkSession.table(table)
     joined = pairs.join(known.withColumnsRenamed({"node": "b", "items": "items_b"}), "b").join(known.withColumnsRenamed({"node": "a", "items": "items_a"}), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,8 +503,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
             ok = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                ok[i] = 100 * common >= 75 * (len(x) + len(y) - common)
+                whole = np.concatenate([x, y])
+                whole.sort(kind="stable")
+                common = int((whole[1:] == whole[:-1]).sum())
+                ok[i] = 100 * common >= 75 * (len(whole) - common)
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     return joined.select("a", "b", "items_a", "items_b").mapInArrow(compare, "a long, b long")
@@ -306,12 +516,61 @@ def _labelled(groups: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Groups with each member's component, without groups that lie in one component."""
     if comps is None:
         return groups.withColumn("comp", F.col("node"))
-    rows = groups.drop("comp").join(comps.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = groups.join(comps.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = rows.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gid")
     return rows.join(open_, "gid", "left_semi")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _nominate(groups: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b) of members of a group that lie in different components and pass size and sketch.
+
+    With ``most``, only the nearest that many of each class, by the sketches. A group of more than BLOCK members is
+    compared block by block, each pair of blocks in a cell of its own.
+    """
+    cells = _cells(groups, ["node", "comp", "n", "sketch"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, near = [], [], []
+            for r in range(batch.num_rows):
+                items, i, j = batch.column(0)[r].values, batch.column(1)[r].as_py(), batch.column(2)[r].as_py()
+                sketch = np.frombuffer(b"".join(items.field("sketch").to_pylist()), np.uint64).reshape(len(items), -1)
+                node, comp, n, block = (items.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "block"))
+                left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+                for x in left:
+                    at = right if i != j else right[right > x]
+                    at = at[(comp[at] != comp[x]) & (4 * n[at] >= 3 * n[x]) & (4 * n[x] >= 3 * n[at])]
+                    if len(at):
+                        far = np.bitwise_count(sketch[at] ^ sketch[x]).sum(1, dtype=np.int64)
+                        ok = 7 * far <= n[at] + n[x]
+                        at, far = at[ok], far[ok]
+                        a.append(np.full(len(at), node[x]))
+                        b.append(node[at])
+                        near.append(far / (n[at] + n[x]))
+            a, b, near = (np.concatenate([np.zeros(0, t), *v]) for v, t in ((a, np.int64), (b, np.int64), (near, np.float64)))
+            if most is not None and len(a):
+                # of each class on either side, the nearest in this batch (exact: the nearest of all are among them)
+                keep = np.zeros(len(a), bool)
+                for own, other in ((a, b), (b, a)):
+                    order = np.lexsort((other, near, own))
+                    first = np.flatnonzero(np.diff(own[order], prepend=own[order[0]] ^ 1))
+                    twin = np.zeros(len(order), bool)
+                    twin[1:] = (own[order][1:] == own[order][:-1]) & (other[order][1:] == other[order][:-1])
+                    rank = np.cumsum(~twin)
+                    rank -= np.repeat(rank[first], np.diff(np.append(first, len(order))))
+                    keep[order[(rank < most) & ~twin]] = True
+                a, b, near = a[keep], b[keep], near[keep]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(near)], names=["a", "b", "near"])
+
+    pairs = cells.mapInArrow(compare, "a long, b long, near double").distinct()
+    if most is None:
+        return pairs.select("a", "b")
+    either = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("x"), "a", "b", "near"), F.struct(F.col("b").alias("x"), "a", "b", "near"))))
+    rank = F.row_number().over(Window.partitionBy("x").orderBy("near", "a", "b"))
+    return either.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct()
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_items: int = CLUSTER_ITEMS) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id that links reach) for every row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -324,27 +583,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = cut(spark, classes.drop("check", "check_2"), "classes")
 
     groups = cut(spark, _groups(rows, frequent), "groups")
-    known = classes.select("node", "n", "sketch")
-    edges, comps = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        now = _labelled(groups, comps)
-        if comps is not None:
-            now = cut(spark, now, "groups")
-            if now.isEmpty():
-                break
-            groups = now
-        if turn < STAR_ROUNDS:
-            pivot = now.groupBy("gid").agg(F.min_by(F.struct("node", "comp"), F.struct(F.xxhash64(F.lit(turn), "node"), "node")).alias("p"))
-            pairs = now.join(pivot, "gid").where("comp <> p.comp").groupBy(F.col("node").alias("b"), F.col("p.node").alias("a")).agg(F.sum("times").alias("times"))
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = pairs.join(known.withColumnsRenamed({"node": "a", "n": "n_a", "sketch": "s_a"}), "a").join(known.withColumnsRenamed({"node": "b", "n": "n_b", "sketch": "s_b"}), "b")
-            pairs = cut(spark, pairs.where(_hamming_ok("s_a", "s_b", "n_a", "n_b")).select("a", "b"), "pairs")
-        else:
-            pairs = cut(spark, _across(now, known), "pairs")
-        linked = cut(spark, _verify(pairs, rows, classes), "links")
-        edges = linked if edges is None else edges.unionByName(linked)
-        comps = cut(spark, components(spark, edges), "components")
+    clusters = components(spark, _cluster_edges(groups.select("gid", "node"), classes))
+    clusters = clusters.select("node", F.col("component").alias("cluster")).join(classes.select("node", "rep", "n"), "node")
+    size = clusters.groupBy("cluster").agg((F.sum("n") <= most_items).alias("fits"))
+    clusters = cut(spark, clusters.join(size, "cluster").select("node", "cluster", "rep", "fits"), "clusters")
+    comps = cut(spark, _solve_clusters(rows, clusters.where("fits").drop("fits")), "components")
+    large = clusters.where("NOT fits").drop("fits")
+    if not large.isEmpty():
+        comps = comps.unionByName(_solve_in_rounds(rows, groups.join(large.select("node"), "node", "left_semi"), large))
 
     named = classes.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -353,38 +599,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return filled.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _across(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """All pairs of members of a group that lie in different components and pass size and sketch, block by block."""
-    size = groups.groupBy("gid").agg(F.count("*").alias("g"))
-    rows = groups.join(size, "gid").join(known, "node").withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), F.struct("node", "comp", "n", "sketch").alias("x"), F.col("block"))
-    cells = rows.groupBy("gid", "i", "j").agg(F.collect_list(F.when(F.col("block") == F.col("i"), F.col("x"))).alias("xs"), F.collect_list(F.when(F.col("block") == F.col("j"), F.col("x"))).alias("ys"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unpack(items: pa.Array) -> tuple[np.ndarray, ...]:
-            raw = np.frombuffer(b"".join(items.field("sketch").to_pylist()), np.uint64).reshape(len(items), -1)
-            return tuple(items.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n")) + (raw,)
-
-        for batch in batches:
-            a, b = [], []
-            for r in range(batch.num_rows):
-                node, comp, n, sk = unpack(batch.column(0)[r].values)
-                node2, comp2, n2, sk2 = unpack(batch.column(1)[r].values)
-                for i in range(len(node)):
-                    ok = (comp2 != comp[i]) & (4 * n2 >= 3 * n[i]) & (4 * n[i] >= 3 * n2)
-                    at = np.flatnonzero(ok)
-                    far = np.bitwise_count(sk2[at] ^ sk[i]).sum(1, dtype=np.int64)
-                    at = at[7 * far <= n2[at] + n[i]]
-                    a.append(np.full(len(at), node[i]))
-                    b.append(node2[at])
-            a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return cells.select("xs", "ys").mapInArrow(compare, "a long, b long").distinct()
-
-
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the one whose id names it; rows with null ids or empty sets stay."""
     keep = link(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
