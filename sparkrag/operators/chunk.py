@@ -33,6 +33,12 @@ def tokens(content: Column | str) -> Column:
     return F.regexp_extract_all(F.col(content) if isinstance(content, str) else content, F.lit(TOKEN), F.lit(0))
 
 
+def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row. A projection's expression would be copied into each place that
+    uses it, such as the body of a loop over windows, and into a filter below a generator; a generator's output isn't."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def token_windows(docs: DataFrame, size: int = 256, overlap: int = 64, source_id: str = "source_id", content: str = "content", keep: list[str] = ()) -> DataFrame:
     """Chunks of documents: source_id, chunk_index, content, start_char, end_char, token_count and the ``keep`` columns.
 
@@ -40,14 +46,15 @@ def token_windows(docs: DataFrame, size: int = 256, overlap: int = 64, source_id
     """
     check_window(size, overlap)
     stride = size - overlap
-    rows = docs.select(F.col(source_id).alias("source_id"), *keep, tokens(content).alias("_t"))
-    # offsets of token starts as running sums over lengths, once for each document
-    lengths = F.transform("_t", lambda x: F.char_length(x))
+    rows = _settled(docs.select(F.col(source_id).alias("source_id"), *keep, F.col(content).alias("_c")), "_t", tokens("_c")).drop("_c")
     n = F.size("_t")
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda t, x: t + x)
     piece = lambda i: F.slice(F.col("_t"), i * stride + 1, size)
-    window = F.transform(F.sequence(F.lit(0), n_windows(n, size, overlap) - 1), lambda i: F.struct(i.alias("i"), F.array_join(piece(i), "").alias("content"), F.size(piece(i)).alias("token_count"), F.aggregate(F.slice(F.col("_l"), 1, F.greatest(i * stride, F.lit(0))), F.lit(0), lambda s, x: s + x).alias("start_char")))
-    rows = rows.withColumn("_l", lengths).where(n > 0)
-    rows = rows.withColumn("_w", F.filter(window, lambda w: non_blank(w.content)))
+    numbers = F.sequence(F.lit(0), n_windows(n, size, overlap) - 1)
+    # characters of each stride, so that a window's offset is a sum over strides, not over tokens
+    rows = _settled(rows.where(n > 0), "_p", F.transform(numbers, lambda i: total(F.transform(F.slice(F.col("_t"), i * stride + 1, stride), lambda x: F.char_length(x)))))
+    window = F.transform(numbers, lambda i: F.struct(i.alias("i"), F.array_join(piece(i), "").alias("content"), F.size(piece(i)).alias("token_count"), total(F.slice(F.col("_p"), F.lit(1), i)).alias("start_char")))
+    rows = _settled(rows, "_w", F.filter(window, lambda w: non_blank(w.content)))
     out = rows.select("source_id", *keep, F.posexplode("_w").alias("chunk_index", "_x"))
     return out.select("source_id", *keep, "chunk_index", F.col("_x.content").alias("content"), F.col("_x.start_char").alias("start_char"), (F.col("_x.start_char") + F.char_length("_x.content")).alias("end_char"), F.col("_x.token_count").alias("token_count"))
 
@@ -98,14 +105,15 @@ def sentence_chunks(docs: DataFrame, max_chars: int = 1000, source_id: str = "so
     parts = F.regexp_extract_all(F.col(content), F.lit(r"(?s).+?(?:[.!?\n]+\s*|$)"), F.lit(0))
     start = F.array().cast("array<string>")
     pack = lambda done, s: F.when((F.size(done) > 0) & (F.char_length(F.element_at(done, -1)) + F.char_length(s) <= max_chars), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(F.element_at(done, -1), s)))).otherwise(F.concat(done, F.array(s)))
-    packed = docs.select(F.col(source_id).alias("source_id"), F.filter(F.aggregate(parts, start, pack), non_blank).alias("_c"))
+    split = _settled(docs.select(F.col(source_id).alias("source_id"), parts.alias("_s")), "_p", F.col("_s"))
+    packed = _settled(split.select("source_id", "_p"), "_c", F.filter(F.aggregate("_p", start, pack), non_blank))
     return packed.select("source_id", F.posexplode("_c").alias("chunk_index", "content"))
 
 
 def markdown_chunks(docs: DataFrame, source_id: str = "source_id", content: str = "content") -> DataFrame:
     """A chunk for each section: a heading line and what follows it; ``section`` is the heading's text."""
     parts = F.split(F.col(content), r"\n(?=#{1,6} )")
-    rows = docs.select(F.col(source_id).alias("source_id"), F.filter(parts, non_blank).alias("_c")).select("source_id", F.posexplode("_c").alias("chunk_index", "content"))
+    rows = _settled(docs.select(F.col(source_id).alias("source_id"), F.filter(parts, non_blank).alias("_s")), "_c", F.col("_s")).select("source_id", F.posexplode("_c").alias("chunk_index", "content"))
     return rows.withColumn("section", F.nullif(F.regexp_extract("content", r"^#{1,6} +([^\n]*)", 1), F.lit("")))
 
 
