@@ -43,7 +43,7 @@ from .common import mix, open_fs, text_steps, word_hashes, work_dir
 from .jaccard import _spread
 
 END = np.uint64(0x5D588B656C078965)
-CHUNK_TOKENS = 4 << 20
+CHUNK_TOKENS = 2 << 20
 SWEEPS = 2
 EXACT = 64
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
@@ -68,6 +68,14 @@ class Chunk:
         return int((np.bitwise_xor.reduce(self.voc) ^ np.bitwise_xor.reduce(self.name)).astype(np.int64))
 
 
+def _before(x: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """Each text's values moved on by one, with ``first`` at its start."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[starts] = first
+    return out
+
+
 def _chunk(part: int, ids: list, held: list, texts: list) -> Chunk:
     tokens, starts, total = [], [], 0
     for hashes, of, n in texts:
@@ -80,17 +88,11 @@ def _chunk(part: int, ids: list, held: list, texts: list) -> Chunk:
     tokens, starts, held = np.concatenate(tokens), np.concatenate(starts), np.concatenate(held)
     voc, word = np.unique(np.append(tokens, END), return_inverse=True)
     end, word = word[-1], word[:-1]
-    before = np.empty(len(word), np.int64)
-    before[1:] = word[:-1]
-    before[starts] = end
-    code, pair = np.unique(before * len(voc) + word, return_inverse=True)
-    u, w = code // len(voc), code % len(voc)
-    name = mix(voc[u] * _A + mix(voc[w] + _B))
-    order = np.argsort(name)
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
+    name, pair = np.unique(mix(_before(tokens, starts, END) * _A + mix(tokens + _B)), return_inverse=True)
+    u, w = np.empty(len(name), np.int64), np.empty(len(name), np.int64)
+    u[pair], w[pair] = _before(word, starts, end), word
     size = np.diff(np.append(starts, len(tokens)))
-    return Chunk(part, pa.concat_arrays(ids), held, starts, voc, word, back[pair], u[order], w[order], name[order], np.repeat(~held, size))
+    return Chunk(part, pa.concat_arrays(ids), held, starts, voc, word, pair, u, w, name, np.repeat(~held, size))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
