@@ -245,8 +245,8 @@ def issue_keys(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _sketch_pass(docs: DataFrame) -> DataFrame:
-    """One row a document (doc_id, n, node, check, sketch) and, as rows without doc_id, frequent shingles of each task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("frequent", pa.bool_())])
+    """One row a document (doc_id, text_key, n, node, check, sketch) and, as rows without doc_id, frequent shingles of each task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("frequent", pa.bool_())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kept, texts = [], 0, 0
@@ -254,7 +254,7 @@ def _sketch_pass(docs: DataFrame) -> DataFrame:
             for first, rows, data, offsets in text_steps(batch, "text"):
                 values, sizes = shingle_sets(data, offsets)
                 node, check = node_ids(values, sizes)
-                yield pa.record_batch([batch.column(0).slice(first, rows), pa.array(sizes, pa.int64()), pa.array(node), pa.array(check), pa.array(sized_sketches(values, sizes), pa.binary()), pa.nulls(rows, pa.bool_())], schema=schema)
+                yield pa.record_batch([batch.column(0).slice(first, rows), batch.column(2).slice(first, rows), pa.array(sizes, pa.int64()), pa.array(node), pa.array(check), pa.array(sized_sketches(values, sizes), pa.binary()), pa.nulls(rows, pa.bool_())], schema=schema)
                 if kept < COUNTED:
                     distinct = np.unique(node, return_index=True)[1]
                     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -266,9 +266,9 @@ def _sketch_pass(docs: DataFrame) -> DataFrame:
             often = count >= max(3, texts // 100)
             found, count = found[often], count[often]
             none = pa.nulls(len(found), pa.int64())
-            yield pa.record_batch([none, pa.array(count, pa.int64()), pa.array(found.astype(np.int64)), none, pa.nulls(len(found), pa.binary()), pa.array(np.ones(len(found), bool))], schema=schema)
+            yield pa.record_batch([none, none, pa.array(count, pa.int64()), pa.array(found.astype(np.int64)), none, pa.nulls(len(found), pa.binary()), pa.array(np.ones(len(found), bool))], schema=schema)
 
-    return docs.mapInArrow(scan, "doc_id long, n long, node long, check long, sketch binary, frequent boolean")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(scan, "doc_id long, text_key long, n long, node long, check long, sketch binary, frequent boolean")
 
 
 def _spread(spark: SparkSession) -> list[int]:
@@ -570,8 +570,12 @@ def _nominate(groups: DataFrame, most: int | None) -> DataFrame:
     return either.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct()
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_items: int = CLUSTER_ITEMS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id that links reach) for every row of ``docs``."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, most_items: int = CLUSTER_ITEMS) -> DataFrame:
+    """doc_id, text_key (hash of the text), n_shingles, component, component_id for every row of ``docs``.
+
+    ``component`` names the component itself (null for an empty set): several can have the same least id, as rows that
+    share an id need not share a text.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     both = cut(spark, _sketch_pass(rows), "sketches")
@@ -594,15 +598,33 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_i
 
     named = classes.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = named.join(least, "component").select("node", "component_id")
-    filled = sets.where("n > 0").join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return filled.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    found = named.join(least, "component").select("node", "component", "component_id")
+    filled = sets.where("n > 0").join(found, "node", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component", "component_id")
+    empty = sets.where("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return filled.unionByName(empty)
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_items: int = CLUSTER_ITEMS) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id that links reach) for every row of ``docs``."""
+    return _linked(docs, id_col, text_col, most_items).select("doc_id", "n_shingles", "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one whose id names it; rows with null ids or empty sets stay."""
-    keep = link(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    """``docs`` with one row of each component: one with the id that names it; rows with null ids or empty sets stay.
+
+    Rows are told apart by id and hash of the text. Of rows that are equal in both, one stays: the first one by all its
+    columns, written as JSON.
+    """
+    named = _linked(docs, id_col, text_col).where("component IS NOT NULL AND doc_id = component_id")
+    own = named.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    keep = own.groupBy("component").agg(F.min(F.struct("doc_id", "text_key", "copies")).alias("kept")).select("kept.*")
+    row_id, text = F.col("row")[id_col].cast("long"), F.col("row")[text_col].cast("string")
+    stays = row_id.isNull() | ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select(F.struct("*").alias("row"))
+    met = rows.join(keep, (row_id == F.col("doc_id")) & (F.xxhash64(text) == F.col("text_key")), "left").select("row", "doc_id", "text_key", "copies", stays.alias("stays"))
+    one = met.where("stays OR copies = 1").select("row.*")
+    more = met.where("NOT stays AND copies > 1").groupBy("doc_id", "text_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return one.unionByName(more.select("row.*"))
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,17 @@ def test_dedup_keeps_one_of_each_group_and_all_columns(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in brute(rows)}
 
 
+def test_dedup_keeps_rows_not_ids(spark):
+    near = " ".join(f"v{i}" for i in range(80))
+    rows = [*ODD, *ODD[4:5], (2, ""), (11, "a b c d e f"), (None, "a b c d e f"), (12, near), (13, near + " end"), (13, "of its own"), (14, near), (14, near + " end"), (None, None)]
+    kept = jaccard.dedup(table(spark, rows))
+    assert kept.columns == table(spark, []).columns
+    want = [r for r in rows if r[0] is None or not words(r[1])] + [(4, LONG), (5, "a b c d e f"), (5, ODD[6][1]), (6, ODD[7][1]), (7, "a"), (8, "b"), (12, near), (13, "of its own")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    copies = table(spark, [(1, "a b c")] * 3).withColumn("lang", F.concat(F.lit("l"), F.monotonically_increasing_id().cast("string")))
+    assert jaccard.dedup(copies).count() == 1
+
+
 def test_keys_of_similar_sets_meet():
     rng = np.random.default_rng(3)
     none = np.zeros(0, np.uint64)
