@@ -38,7 +38,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def output_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in sorted shards, read back: doc_id, start, n_tokens, ids_crc32."""
-    return sstable.read(sstable.write(docs, work_dir(spark, "shards")), digests_only=True)
+    return sstable.read(sstable.write(docs, work_dir(spark, "shards"), added=True), digests_only=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

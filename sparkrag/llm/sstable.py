@@ -66,14 +66,20 @@ class PieceEncoder:
     visible character follows, where white space begins, after a single tab or newline, and between a letter or
     digit and punctuation (ASCII only; other places just stay inside a piece). So the ids of the pieces, one
     after another, are the ids of the text.
+
+    With ``added``, the vocabulary's added tokens (such as an end-of-text marker) get their own ids where a text holds
+    them, as in the library's defaults: a text that holds one is encoded as a whole. Without, they are plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        decoder = self.tokenizer.get_added_tokens_decoder() if hasattr(self.tokenizer, "get_added_tokens_decoder") else {}
+        # tokens that aren't special are found in either case
+        self.added = [t.content.encode() for t in decoder.values() if t.content and (added or not t.special)]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.whole = '"ByteLevel"' not in str(self.tokenizer.pre_tokenizer) and "ByteLevel(" not in str(self.tokenizer.pre_tokenizer)
         self.whole = self.whole or self.tokenizer.normalizer is not None
@@ -106,9 +112,38 @@ class PieceEncoder:
         if not len(data):
             return np.zeros(0, self.dtype), np.zeros(texts, np.int64)
         if self.whole:
-            raw = data.tobytes()
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], add_special_tokens=False)]
-            return np.array([x for own in ids for x in own], self.dtype), np.array([len(x) for x in ids], np.int64)
+            return self._encode_whole(data, offsets)
+        if not (holds := self._holding(data, offsets)).any():
+            return self._encode_pieces(data, offsets)
+        edges = [0, *(np.flatnonzero(np.diff(holds)) + 1).tolist(), texts]
+        parts = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = self._encode_whole if holds[a] else self._encode_pieces
+            parts.append(own(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
+
+    def _holding(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts hold an added token."""
+        holds = np.zeros(len(offsets) - 1, bool)
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, side="right")) - 1
+                inside = at + len(token) <= offsets[i + 1]
+                holds[i] |= inside
+                at = raw.find(token, int(offsets[i + 1]) if inside else at + 1)
+        return holds
+
+    def _encode_whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], add_special_tokens=False)]
+        return np.array([x for own in ids for x in own], self.dtype), np.array([len(x) for x in ids], np.int64)
+
+    def _encode_pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(texts, np.int64)
         kind = _KIND[data]
         cut = np.zeros(len(data) + 1, bool)
         here, last = kind[1:], kind[:-1]
@@ -139,14 +174,14 @@ class PieceEncoder:
         return ids, np.bincount(of_piece, weights=counts, minlength=texts).astype(np.int64)
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, added: bool = False) -> PieceEncoder:
     """The worker's encoder; it stays for later tasks of the same worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = PieceEncoder(path, added)
+    return _ENCODERS[path, added]
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -272,8 +307,11 @@ class ShardReader:
 MANIFEST = "shard int, path string, min_id long, max_id long, n_docs long, n_ids long"
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write shards of ``docs`` below ``folder`` and return the manifest, one row a shard in key order."""
+def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
+    """Write shards of ``docs`` below ``folder`` and return the manifest, one row a shard in key order.
+
+    ``added`` as for ``PieceEncoder``: the query and the pipeline set it, so their ids are those of the library's defaults.
+    """
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +319,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         writer = out = None
         uri = f"{folder}/shard-{part:06d}-{os.urandom(4).hex()}.sst"
         low = high = None
-        enc = encoder(path)
+        enc = encoder(path, added)
         kind = np.dtype(enc.dtype).newbyteorder("<")
         end = np.array([] if end_id is None else [end_id], kind).tobytes()
         for batch in batches:
@@ -352,5 +390,5 @@ def lookup(manifest_rows: list, doc_id: int | None) -> np.ndarray | None:
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    manifest = write(docs, work_dir(spark, "sstable"))
+    manifest = write(docs, work_dir(spark, "sstable"), added=True)
     return read(manifest, digests_only=True)

@@ -231,6 +231,23 @@ def test_pieces_give_the_ids_of_the_text():
             assert ids[at[i] : at[i + 1]].tolist() == enc.tokenizer.encode(texts[first + i], add_special_tokens=False).ids, texts[first + i]
 
 
+def test_queries_encode_as_the_library_does(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(sstable.tokenizer_path())
+    mark = "<|endoftext|>"
+    texts = ["plain text", f"end.{mark}Next text", mark, f" {mark} {mark}\n", "<|endof", "text|> x", "", f"a{mark}", "x <|endoftext |> y", mark * 3 + "z"]
+    table(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (sstable.op8_query(spark, str(tmp_path)), corpus_pipeline.output_stage(spark, docs, str(tmp_path))):
+        assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows.collect()) == want
+
+
 # ---------------------------------------------------------------- language model
 
 
