@@ -401,15 +401,33 @@ def _(s, d):
 
 
 def passages_truth(s, d) -> DataFrame:
-    """query_id, relevant: documents that contain a benchmark passage. Passages are found by their first words' hash, so it
-    is an equi-join: each document's word windows meet the passages' first five words, then the whole is compared."""
-    first = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0)), 2, 5)
-    b = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.xxhash64(first).alias("h"))
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0))
-    docs = table(s, d, "documents").select("doc_id", w.alias("w")).where(F.size("w") >= 5)
-    hashes = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.slice("w", i, 5))))).alias("h"))
-    maybe = hashes.join(b, "h").select("doc_id", "query_id", "passage").distinct()
-    found = maybe.join(table(s, d, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", "passage"))
+    """query_id, relevant: documents that contain a benchmark passage, exactly as contains() says.
+
+    Words are runs of what isn't blank. The first and the last word of a passage can lie inside longer words of a document;
+    the others must be words of it. So candidates come from an equi-join: the first five (or all, if fewer) of the
+    passage's inner words meet the document's windows of as many words; then the whole is compared. Passages
+    without inner words have no such key, they are compared with every document.
+    """
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), words.alias("w")).where("passage IS NOT NULL")
+    b = b.withColumn("size", F.least(F.greatest(F.size("w") - 2, F.lit(0)), F.lit(5)))
+    sizes = sorted(r["size"] for r in b.select("size").distinct().collect())  # six values at most
+    texts = table(s, d, "documents").select("doc_id", "text")
+    docs = texts.select("doc_id", words.alias("w"))
+    found = None
+    for n in sizes:
+        if n:
+            own = b.where(F.col("size") == n).select("query_id", "passage", F.xxhash64(F.slice("w", 2, n)).alias("h"))
+            windows = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))
+            hashes = docs.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(windows)).alias("h"))
+            maybe = hashes.join(own, "h").select("doc_id", "query_id", "passage").distinct()
+            hits = maybe.join(texts, "doc_id").where(F.contains("text", "passage"))
+        else:
+            hits = texts.join(b.where("size = 0").select("query_id", "passage"), F.contains("text", "passage"))
+        hits = hits.select("query_id", "doc_id")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        found = b.join(texts.limit(0), F.lit(True)).select("query_id", "doc_id")
     return found.groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("relevant"))
 
 
