@@ -11,6 +11,12 @@ A paragraph without any has the same, "unknown", prediction as the empty one, so
 go on to be scored by a join with the weights. A named family counts once its words also cover a notice of the family
 by at least ``COVER`` (template comparison); others are reported as unconfirmed.
 
+Notices are often wrapped, so that no line of them covers enough of a template. So neighbouring lines are scored as one
+text, too: windows of two lines or more around feature words, without a line that has no words inside, with fewer words
+between the first and the last line than the longest template has; of these two lines only as many words as the
+template count. A window is named and confirmed as a line is. It counts where no line of it is confirmed for the same
+family, windows of a family that overlap count once, and lines of a counted window are not reported as unconfirmed.
+
 Fixed results: null and empty texts have no paragraph; rows that repeat a doc_id are scanned each; ties between
 families go to the first by name; an empty table stays empty, and the classifier then learns from the notices and the
 near misses alone; further columns are ignored.
@@ -89,6 +95,7 @@ NEAR_MISSES = [
 ]
 UNKNOWN = "unknown"
 COVER = 0.6
+LONGEST = max(len("".join(x if x.isascii() and x.isalnum() else " " for x in s.lower()).split()) for notices in NOTICES.values() for s in notices)
 FREQUENT = 0.002  # share of plain paragraphs that a feature word may occur in
 
 
@@ -170,24 +177,83 @@ def _scored(lines: DataFrame, c: Classifier) -> DataFrame:
     return scored.select(*lines.columns, F.get(named, -F.col("best.k")).alias("guess"), F.col("best.p").alias("p"))
 
 
+def _near(lines: Column, at: Column, keep: Column) -> Column:
+    """The lines around line ``at`` that a window can reach: number, words (of long lines, both ends) and whether a feature word is among them."""
+    begin = F.greatest(at - LONGEST, F.lit(0))
+
+    def entry(line: Column, i: Column) -> Column:
+        w = line_words(line)
+        ends = F.concat(F.slice(w, 1, LONGEST), F.slice(w, -LONGEST, LONGEST))
+        return F.struct((begin + i).alias("at"), F.when(F.size(w) > 2 * LONGEST, ends).otherwise(w).alias("w"), F.arrays_overlap(w, keep).alias("f"))
+
+    return F.transform(F.slice(lines, begin + 1, F.lit(2 * LONGEST + 1)), entry)
+
+
+def _windows(lines: DataFrame, known: Column) -> DataFrame:
+    """row (doc_row, first, last), line: windows of lines whose first feature line is the row's own and whose words cover a template."""
+    near = F.col("near")
+    own = F.array_position(F.transform(near, lambda x: x.at), F.col("at")).cast("int")
+    rows = lines.select("doc_row", "at", "near").withColumn("own", own)
+    starts = F.filter(F.sequence(F.lit(1), F.col("own")), lambda i: ~F.exists(F.slice(near, i, F.col("own") - i), lambda x: x.f | (F.size(x.w) == 0)))
+    rows = rows.withColumn("i", F.explode(starts))
+    least, i = F.greatest(F.col("i") + 1, F.col("own")), F.col("i")
+
+    def inside(j: Column) -> Column:
+        return F.slice(near, i + 1, j - i - 1)
+
+    def fits(j: Column) -> Column:
+        words = F.aggregate(inside(j), F.lit(0), lambda n, x: n + F.size(x.w))
+        return (words < LONGEST) & ~F.exists(F.slice(near, i, j - i + 1), lambda x: F.size(x.w) == 0)
+
+    ends = F.when(least <= F.size(near), F.filter(F.sequence(least, F.size(near)), fits)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("j", F.explode(ends))
+    first, last = F.get(near, i - 1), F.get(near, F.col("j") - 1)
+    tail = F.slice(first["w"], -F.least(F.size(first["w"]), F.lit(LONGEST)), F.lit(LONGEST))
+    words = F.concat(tail, F.flatten(F.transform(inside(F.col("j")), lambda x: x.w)), F.slice(last["w"], 1, LONGEST))
+    rows = rows.select(F.struct("doc_row", first["at"].alias("first"), last["at"].alias("last")).alias("row"), words.alias("w"))
+    covered = F.exists(known, lambda t: F.size(F.array_intersect(t, F.col("w"))) >= COVER * F.size(t))
+    return rows.where(covered).select("row", F.concat_ws(" ", "w").alias("line"))
+
+
+def _disjoint(spans: Column) -> Column:
+    """Of the spans (last, first), in order of their ends, those that overlap none taken before: as many as can be."""
+    none = F.array().cast("array<struct<last:int,first:int>>")
+    return F.aggregate(F.array_sort(spans), none, lambda taken, x: F.when((F.size(taken) == 0) | (x["first"] > F.get(taken, F.size(taken) - 1)["last"]), F.concat(taken, F.array(x))).otherwise(taken))
+
+
 def scan(docs: DataFrame, c: Classifier, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents: row, doc_id, n_paragraphs; paragraphs that are named a family: row, paragraph number, family, p, confirmed)."""
+    """(documents: row, doc_id, n_paragraphs; paragraphs that are named a family: row, paragraph number, family, p, confirmed).
+
+    A wrapped notice is one paragraph, with the number of its first line."""
     spark = docs.sparkSession
     keep = F.array(*map(F.lit, c.vocabulary))
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     found = F.filter(numbered, lambda s: F.arrays_overlap(line_words(s.line), keep))
+    found = F.transform(found, lambda s: F.struct(s.at.alias("at"), s.line.alias("line"), _near(lines, s.at, keep).alias("near")))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.size(F.array_remove(lines, "")).cast("long").alias("n_paragraphs"), found.alias("found"))
     rows = cut(spark, rows, "paragraphs")
     lines_ = rows.where(F.size("found") > 0).select(F.col("row").alias("doc_row"), F.inline("found"))
-    lines_ = lines_.withColumn("row", F.struct("doc_row", "at"))
-    guessed = _scored(lines_, c).where(F.col("p") >= c.floor)
     templates = [(family, sorted({w for w in "".join(x if x.isascii() and x.isalnum() else " " for x in s.lower()).split()})) for family, s_ in NOTICES.items() for s in s_]
     known = spark.createDataFrame(templates, "guess string, words array<string>").groupBy("guess").agg(F.collect_list("words").alias("templates"))
-    met = guessed.join(F.broadcast(known), "guess")
     own = line_words(F.col("line"))
     cover = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, own)) / F.size(t)))
-    return rows.drop("found"), met.select(F.col("doc_row").alias("row"), "at", F.col("guess").alias("family"), "p", (cover >= COVER).alias("confirmed"))
+
+    def named(texts: DataFrame) -> DataFrame:
+        return _scored(texts, c).where(F.col("p") >= c.floor).join(F.broadcast(known), "guess").withColumn("confirmed", cover >= COVER)
+
+    single = named(lines_.select("doc_row", "at", "line").withColumn("row", F.struct("doc_row", "at")))
+    single = cut(spark, single.select(F.col("doc_row").alias("row"), "at", F.col("guess").alias("family"), "p", "confirmed"), "named")
+    wide = cut(spark, _windows(lines_, F.array(*(F.array(*map(F.lit, w)) for _, w in templates))), "windows")
+    wide = named(wide).where("confirmed").select("row.doc_row", "row.first", "row.last", F.col("guess").alias("family"), "p")
+    sure = single.where("confirmed").select(F.col("row").alias("doc_row"), "at", "family")
+    wide = wide.join(sure, (wide["doc_row"] == sure["doc_row"]) & (wide["family"] == sure["family"]) & sure["at"].between(wide["first"], wide["last"]), "left_anti")
+    per = wide.groupBy(F.col("doc_row").alias("row"), "family").agg(_disjoint(F.collect_set(F.struct("last", "first"))).alias("spans"), F.max("p").alias("p"))
+    per = cut(spark, per, "wrapped")
+    spans = per.select("row", F.inline("spans"))
+    left = single.join(spans, (single["row"] == spans["row"]) & ~single["confirmed"] & single["at"].between(spans["first"], spans["last"]), "left_anti")
+    whole = per.select("row", F.inline("spans"), "family", "p").select("row", F.col("first").alias("at"), "family", "p", F.lit(True).alias("confirmed"))
+    return rows.drop("found"), left.unionByName(whole)
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:

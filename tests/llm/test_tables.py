@@ -126,3 +126,18 @@ def test_licences(spark, sf):
     none = licenses.scan(docs.limit(0), c)
     assert none[0].count() == 0 and none[1].count() == 0
     assert F.col("x") is not None
+
+
+def test_wrapped_licences(spark, sf):
+    c = licenses.fit(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."
+    narrow = "# This program is free\n# software: you can\n# redistribute it and/or\n# modify it under the\n# terms of the GNU General\n# Public License as\n# published by the Free\n# Software Foundation"
+    texts = [(1, f"Intro.\n\n{gpl}\n\nThe end."), (2, f"A line before.\n{bsd}\nA line after."), (3, apache), (4, narrow), (5, f"{bsd}\n\n{bsd}"), (6, f"{gpl}\n\nReleased under the MIT License.\nIt is short."), (7, "Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the following conditions are met:"), (8, "He was driving without a license.\nThe apache helicopter landed under cover.\nShe studied at MIT and published her work.")]
+    base, found = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"), c)
+    rows = sorted((r.doc_id, r.family) for r in found.where("confirmed").join(base, "row").collect())
+    assert [r for r in rows if r[0] in (1, 2, 4, 5, 6)] == [(1, "gpl"), (2, "bsd"), (4, "gpl"), (5, "bsd"), (5, "bsd"), (6, "gpl"), (6, "mit")]
+    assert {r for r in rows if r[0] in (3, 7, 8)} == {(3, "apache-2.0")}
+    left = {r.doc_id for r in found.where("NOT confirmed").join(base, "row").collect()}
+    assert not left & {2, 4, 5}
