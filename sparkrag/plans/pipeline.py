@@ -15,12 +15,19 @@ from ..operators.ingest import quarantine
 from ..schemas import require, valid_source_doc
 from .models import DRIVERS, EMBEDDERS, Embedder, EchoDriver, HashingEmbedder, LLMDriver, Registry, embed_column, generate_column
 
+def _missing(strategy: str):
+    def refuse(docs: DataFrame, c) -> DataFrame:
+        raise NotImplementedError(f"fragmenter {strategy} has no implementation")
+
+    return refuse
+
+
 FRAGMENTERS = Registry(
     "fragmenter",
     token=lambda docs, c: chunk.token_windows(docs, c.chunk_size, c.overlap, keep=["metadata"] if "metadata" in docs.columns else []),
-    semantic=lambda docs, c: chunk.sentence_chunks(docs, c.options.get("max_chars", 1000)),
+    semantic=_missing("semantic"),
     markdown=lambda docs, c: chunk.markdown_chunks(docs),
-    recursive=lambda docs, c: chunk.sentence_chunks(docs, c.options.get("max_chars", 1000)),
+    recursive=_missing("recursive"),
 )
 
 

@@ -8,7 +8,7 @@ import pytest
 from sparkrag import logs
 from sparkrag.config import ExperimentProfile, QuestionGeneratorConfig
 from sparkrag.errors import UnsupportedBackendError
-from sparkrag.plans import models, questions
+from sparkrag.plans import models, pipeline, questions
 from sparkrag.reports import AuditReport
 from sparkrag.sources import documents, json_files
 
@@ -73,3 +73,9 @@ def test_embedding_is_checked_and_limited(spark):
     with pytest.raises(Exception, match="expected 16 dimensions"):
         models.embed_column(df, wrong).collect()
     assert models.sparse_embed(df).first().sparse_vector and "".join(models.EchoDriver().stream("one two")) == "one two"
+
+
+@pytest.mark.parametrize("strategy", ["semantic", "recursive"])
+def test_missing_fragmenters_are_refused(strategy):
+    with pytest.raises(NotImplementedError, match=strategy):
+        pipeline.FRAGMENTERS.create(strategy, None, None)
