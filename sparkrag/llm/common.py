@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,21 +14,45 @@ from pyspark.sql import DataFrame, SparkSession
 #: Separators of the "blank-separated word" rule: 0x20 and 0x09-0x0D.
 BLANKS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
-#: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+#: Bytes and rows of text that one vectorised step works on; a longer text is a step of its own.
+STEP_BYTES, STEP_ROWS = 1 << 19, 4096
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in local tests, a temporary folder takes its place.
+    Where that setting is absent there is no folder that all executors see: an error on a cluster. A session on one
+    machine (``local`` masters) gets a folder in its warehouse, and the setting with it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "sparkrag-work")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_sparkrag_work"
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def lean(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``scan`` for mapInArrow; at its end, memory that it freed goes back to the system, as Spark's workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from scan(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what was freed
+        pass
+
+
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and lost executors cost nothing."""
     path = work_dir(spark, name)
@@ -61,7 +85,7 @@ def write_file(uri: str, parts: list[bytes] | bytes) -> int:
     return size
 
 
-def text_steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES, rows: int = STEP_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, row count, bytes, offsets) for slices of a string column; null counts as empty."""
     texts = batch.column(batch.schema.get_field_index(column))
     n = len(texts)
@@ -71,7 +95,7 @@ def text_steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> It
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), first + rows, n)
         yield first, last - first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 MOST_HELD = 1 << 20  # nodes that a task holds while it joins edges
 
@@ -53,12 +53,16 @@ def _forest(edges: DataFrame) -> DataFrame:
                 up = {}
         yield out()
 
-    return edges.mapInArrow(run, "m long, v long")
+    return edges.mapInArrow(lean(run), "m long, v long")
 
 
-def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node that an edge touches; the component is its least node."""
-    now = _forest(edges.select(F.least(a, b).alias("m"), F.greatest(a, b).alias("v")).where("m < v")).distinct()
+def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b", reduced: bool = False) -> DataFrame:
+    """(node, component) for every node that an edge touches; the component is its least node.
+
+    Edges are first thinned out within each task, unless they are ``reduced`` already.
+    """
+    now = edges.select(F.least(a, b).alias("m"), F.greatest(a, b).alias("v")).where("m < v")
+    now = (now if reduced else _forest(now)).distinct()
     now, before = cut(spark, now, "edges"), None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()

@@ -17,14 +17,17 @@ Then, over classes of documents with equal sets:
    are a group; groups with the same members are one;
 2. members of a group whose sizes and dense sketches allow a link are joined, and what is joined makes clusters, as
    components of a distributed edge table. Links lie within clusters;
-3. a cluster of at most ``CLUSTER_ITEMS`` shingles goes to one task, each set once, and is solved exactly there by a
-   breadth-first search: a class that was reached is compared, by posting lists, with all that weren't yet;
-4. larger clusters are solved without bringing them together, in rounds: each class of a group nominates the nearest
-   classes of other components, by dense sketches whose Hamming distance also rules out pairs that are too far apart;
+3. a cluster of at most ``CLUSTER_ITEMS`` shingles and ``CLUSTER_CLASSES`` classes goes to one task, each set once, and is
+   solved exactly there by a breadth-first search: a class that was reached is compared, by posting lists, with all that
+   weren't yet;
+4. larger clusters are solved without bringing them together, in rounds: each class of a group nominates its nearest
+   leader (a few members of a group, chosen by hash, that every block of it meets), then the nearest classes of other
+   components, by dense sketches whose Hamming distance also rules out pairs that are too far apart;
    sets are compared exactly, and links make components. Groups that lie in one component drop out; the last round
    compares all pairs that remain across components, in blocks of bounded size, by sketch first and exact sets after.
 
 Pairs within a component can add nothing, so neither way tests them.
+A group of more than ``BLOCK`` members is dealt out in blocks in steps 2 and 4, whatever its size.
 So no link between components is lost, while copies are never expanded to pairs. Nothing is collected on the driver
 but counts and at most ``MOST_FREQUENT`` hashes of frequent shingles, which only affect the order of keys.
 
@@ -44,21 +47,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix, text_buffer, text_steps, word_hashes
+from .common import cut, lean, mix, text_buffer, text_steps, word_hashes
 from .components import components
 
 SHINGLE = 5
 SMALL = 128
 WIDE = 4
 SKETCH_BITS = 4096
-CLUSTER_ITEMS = 4_000_000  # 32 MB
-#: How many of its nearest classes a class is compared with in each round; in the last one, with all that remain.
-ROUNDS = (1, 4, 32, None)
-BLOCK = 1024  # members of a group that one step takes from either side
-MOST_SENT = 1_000_000  # classes in clusters whose names (24 bytes each) are broadcast rather than joined by a shuffle of texts
-FLUSH = 1 << 21  # keys that a task holds before it packs them
+#: What one task solves: clusters of at most so many shingles (8 MB) and so many classes.
+CLUSTER_ITEMS, CLUSTER_CLASSES = 1_000_000, 512
+#: How many of its nearest classes a class is compared with in each round: first among the leaders of its group, ...
+ROUNDS = ("leaders", 1, 4, 32, None)  # ... in the last one, with all that remain
+BLOCK = 256  # members of a group that one step takes from either side
+LEADERS = 8  # members of a larger group, on average, that all its blocks are compared with first
+MOST_SENT = 200_000  # classes in clusters whose names (24 bytes each) are broadcast rather than joined by a shuffle of texts
+FLUSH = 1 << 19  # keys that a task holds before it packs them
+BUCKET_KEYS = 1 << 18  # keys that one step brings together
 MOST_FREQUENT = 100_000
-COUNTED = 1 << 21  # shingles a task that frequencies are counted over
+COUNTED = 1 << 18  # distinct shingles a task that are counted at once; rare ones make room as it fills
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -128,9 +134,9 @@ def fold(sketch: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(len(sketch), -1, words), axis=1)
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, n: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int]]:
+def forest(left: np.ndarray, right: np.ndarray | None, n: np.ndarray, sketches: list[bytes], comp: np.ndarray) -> list[tuple[int, int]]:
     """Edges (as indexes) that connect all that pairs allowed by size and sketch connect: within ``left`` or, with
-    ``right``, between the two."""
+    ``right``, between the two. Pairs of one ``comp`` are passed over."""
     length = np.array([len(x) // 8 for x in sketches])
     levels = sorted(set(length.tolist()))
     flat = {w: np.stack([np.frombuffer(x, np.uint64) for x in sketches if len(x) // 8 == w]) for w in levels}
@@ -156,7 +162,7 @@ def forest(left: np.ndarray, right: np.ndarray | None, n: np.ndarray, sketches:
         while queue:
             x = queue.pop()
             rest = np.flatnonzero(open_ if right is None else open_ & (side != side[x]))
-            rest = rest[(4 * n[rest] >= 3 * n[x]) & (4 * n[x] >= 3 * n[rest])]
+            rest = rest[(4 * n[rest] >= 3 * n[x]) & (4 * n[x] >= 3 * n[rest]) & (comp[rest] != comp[x])]
             for w in levels:
                 own = rest[np.minimum(length[rest], length[x]) == w]
                 if len(own):
@@ -168,33 +174,63 @@ def forest(left: np.ndarray, right: np.ndarray | None, n: np.ndarray, sketches:
     return out
 
 
-def _cells(groups: DataFrame, columns: list[str]) -> DataFrame:
-    """(i, j, xs): members of groups by pairs of blocks; a group of at most BLOCK members is one cell."""
+def _cells(groups: DataFrame, columns: list[str], leaders: bool = False) -> DataFrame:
+    """(xs, i, j): members of groups by pairs of blocks; a group of at most BLOCK members is one cell.
+
+    With ``leaders``, a larger group has one cell a block, which its leaders (members whose hash is low enough) join, so
+    that each member is sent once and cells grow in proportion to the group.
+    """
     size = groups.groupBy("gid").agg(F.count("*").alias("g"))
     rows = groups.join(size, "gid").withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct(*columns, "block").alias("x"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    low = F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(1 << 30)) * F.col("g") < LEADERS * (1 << 30)
+    rows = rows.withColumn("lead", (F.col("blocks") > 1) & low if leaders else F.lit(False))
+    if leaders:
+        rows = rows.withColumn("i", F.explode(F.when(F.col("lead"), every).otherwise(F.array("block")))).withColumn("j", F.col("i"))
+    else:
+        rows = rows.withColumn("other", F.explode(every)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    rows = rows.select("gid", "i", "j", F.struct(*columns, "block", "lead").alias("x"))
     return rows.groupBy("gid", "i", "j").agg(F.collect_list("x").alias("xs")).select("xs", "i", "j")
 
 
-def _cluster_edges(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): forests of the pairs of members that sizes and sketches allow; at most a row for each member of a cell."""
+def _cluster_edges(groups: DataFrame, leaders: bool) -> DataFrame:
+    """(a, b): forests of the pairs of members (gid, node, n, sketch, comp) that sizes and sketches allow; at most a row for
+    each member of a cell. Members of one ``comp`` are not compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for r in range(batch.num_rows):
                 items, i, j = batch.column(0)[r].values, batch.column(1)[r].as_py(), batch.column(2)[r].as_py()
-                node, n, block = (items.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "block"))
-                left, right = np.flatnonzero(block == i), np.flatnonzero(block == j) if i != j else None
-                for x, y in forest(left, right, n, items.field("sketch").to_pylist()):
+                node, n, comp, block, lead = (items.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "comp", "block", "lead"))
+                left, right = np.flatnonzero((block == i) | lead), np.flatnonzero(block == j) if i != j else None
+                for x, y in forest(left, right, n, items.field("sketch").to_pylist(), comp):
                     a.append(node[x])
                     b.append(node[y])
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = groups.join(classes.select("node", "n", "sketch"), "node")
-    return _cells(rows, ["node", "n", "sketch"]).mapInArrow(run, "a long, b long")
+    return _cells(groups, ["node", "n", "sketch", "comp"], leaders).mapInArrow(lean(run), "a long, b long")
+
+
+def _clusters(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component): the components of all pairs that share a group and whose sizes and sketches allow a link.
+
+    Groups of more than BLOCK members meet their leaders first, which joins most of what is alike; only of those that
+    still hold several components, members of different ones are compared, block by block.
+    """
+    spark = groups.sparkSession
+    rows = cut(spark, groups.join(classes.select("node", "n", "sketch"), "node").withColumn("comp", F.col("node")), "members")
+    edges = cut(spark, _cluster_edges(rows, True), "edges")
+    found = components(spark, edges, reduced=True)
+    large = rows.groupBy("gid").agg(F.count("*").alias("g")).where(F.col("g") > BLOCK).select("gid")
+    if large.isEmpty():
+        return found
+    found = cut(spark, found, "clusters")
+    rest = cut(spark, _labelled(rows.join(large, "gid", "left_semi").drop("comp"), found), "open")
+    if rest.isEmpty():
+        return found
+    return components(spark, edges.unionByName(_cluster_edges(rest, False)), reduced=True)
 
 
 def band_start(size: int) -> int:
@@ -244,44 +280,77 @@ def issue_keys(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+class _Counts:
+    """Counts of hashes over a whole stream in bounded memory: when more than ``room`` are held, the smallest counts go,
+    and what stays counted from then on is at most that much too low (the lossy counting of frequent items)."""
+
+    def __init__(self, room: int = COUNTED):
+        self.room, self.keys, self.count, self.fresh, self.held = room, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.fresh.append(values)
+        self.held += len(values)
+        if self.held > self.room:
+            self._merge()
+
+    def _merge(self) -> None:
+        every = np.concatenate([self.keys, *self.fresh])
+        weight = np.concatenate([self.count, np.ones(self.held, np.int64)])
+        order = np.argsort(every, kind="stable")
+        every, weight = every[order], weight[order]
+        edge = np.flatnonzero(np.diff(every, prepend=every[:1] ^ np.uint64(1)))
+        self.keys, self.count = every[edge], np.add.reduceat(weight, edge) if len(edge) else weight
+        self.fresh, self.held = [], 0
+        if len(self.keys) > self.room:
+            stays = self.count > np.partition(self.count, len(self.count) - self.room // 2)[len(self.count) - self.room // 2]
+            self.keys, self.count = self.keys[stays], self.count[stays]
+
+    def most(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        self._merge()
+        often = self.count >= least
+        return self.keys[often], self.count[often]
+
+
 def _sketch_pass(docs: DataFrame) -> DataFrame:
     """One row a document (doc_id, text_key, n, node, check, sketch) and, as rows without doc_id, frequent shingles of each task."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("frequent", pa.bool_())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, kept, texts = [], 0, 0
+        counts, texts = _Counts(), 0
         for batch in batches:
             for first, rows, data, offsets in text_steps(batch, "text"):
                 values, sizes = shingle_sets(data, offsets)
                 node, check = node_ids(values, sizes)
                 yield pa.record_batch([batch.column(0).slice(first, rows), batch.column(2).slice(first, rows), pa.array(sizes, pa.int64()), pa.array(node), pa.array(check), pa.array(sized_sketches(values, sizes), pa.binary()), pa.nulls(rows, pa.bool_())], schema=schema)
-                if kept < COUNTED:
-                    distinct = np.unique(node, return_index=True)[1]
-                    at = np.concatenate([[0], np.cumsum(sizes)])
-                    own = [values[at[i] : at[i + 1]] for i in distinct]
-                    held.append(np.concatenate(own) if own else values[:0])
-                    kept, texts = kept + len(held[-1]), texts + len(distinct)
-        if held:
-            found, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= max(3, texts // 100)
-            found, count = found[often], count[often]
+                new = np.zeros(rows, bool)
+                new[np.unique(node, return_index=True)[1]] = True
+                counts.add(values[np.repeat(new, sizes)])
+                texts += int(new.sum())
+        found, count = counts.most(max(3, texts // 100))
+        if len(found):
             none = pa.nulls(len(found), pa.int64())
             yield pa.record_batch([none, none, pa.array(count, pa.int64()), pa.array(found.astype(np.int64)), none, pa.nulls(len(found), pa.binary()), pa.array(np.ones(len(found), bool))], schema=schema)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(scan, "doc_id long, text_key long, n long, node long, check long, sketch binary, frequent boolean")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(lean(scan), "doc_id long, text_key long, n long, node long, check long, sketch binary, frequent boolean")
 
 
-def _spread(spark: SparkSession) -> list[int]:
-    """One bucket number for each shuffle partition, such that Spark's hash sends each to a partition of its own."""
+def _spread(spark: SparkSession, n_keys: int = 0) -> list[int]:
+    """Bucket numbers, a whole number of them for each shuffle partition, which Spark's hash sends there.
+
+    Each task works on one bucket after another, so what it holds at once does not depend on the number of partitions.
+    """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = spark.range(parts * 24).select(F.col("id").cast("int").alias("id"))
-    found = {r.p: r.id for r in ids.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id")).collect()}
-    return [found[p] for p in sorted(found)]
+    per = max(1, -(-n_keys // (parts * BUCKET_KEYS)))
+    if parts * per > 50_000:  # so many that their hashes are even enough
+        return list(range(parts * per))
+    ids = spark.range(parts * (24 + 8 * per)).select(F.col("id").cast("int").alias("id"))
+    of = ids.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.slice(F.array_sort(F.collect_list("id")), 1, per).alias("ids")).collect()
+    return sorted(x for r in of for x in r.ids)
 
 
-def _groups(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(gid, node): classes that meet at a key; groups with the same members once."""
-    buckets = np.array(_spread(docs.sparkSession), np.int32)
+def _groups(docs: DataFrame, frequent: np.ndarray, n_keys: int) -> DataFrame:
+    """(gid, node): classes that meet at a key; groups with the same members once. Buckets hold ``BUCKET_KEYS`` keys or so."""
+    buckets = np.array(_spread(docs.sparkSession, n_keys), np.int32)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -312,7 +381,7 @@ def _groups(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 if held > FLUSH:
                     yield flush()
                     keys, nodes, held = [], [], 0
-                    if len(seen) > 1 << 20:
+                    if len(seen) > 1 << 18:
                         seen.clear()
         if held:
             yield flush()
@@ -320,16 +389,19 @@ def _groups(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(parts: list[bytes]) -> pa.RecordBatch | None:
             raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 14)
+            parts.clear()
             key = np.zeros((len(raw), 8), np.uint8)
             key[:, :6] = raw[:, :6]
             key = key.view(np.uint64).ravel()
             node = np.ascontiguousarray(raw[:, 6:]).view(np.int64).ravel()
+            del raw
             order = np.argsort(key)
             key = key[order]
             twin = np.zeros(len(key), bool)
             twin[1:] = key[1:] == key[:-1]
             twin[:-1] |= twin[1:]
             key, node = key[twin], node[order[twin]]
+            del order, twin
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
             new = np.ones(len(key), bool)
@@ -358,8 +430,8 @@ def _groups(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         if parts and (out := close(parts)) is not None:
             yield out
 
-    packed = docs.select("text").mapInArrow(emit, "bucket int, packed binary")
-    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, node long")
+    packed = docs.select("text").mapInArrow(lean(emit), "bucket int, packed binary")
+    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "gid long, node long")
     return met.distinct()
 
 
@@ -379,7 +451,7 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 items = pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.record_batch([*(batch.column(i).slice(first, n) for i in range(len(kept))), items], names=[*kept, "items"]).filter(pa.array(own))
 
-    return rows.mapInArrow(sets, ", ".join(f"{c} long" for c in kept) + ", items binary")
+    return rows.mapInArrow(lean(sets), ", ".join(f"{c} long" for c in kept) + ", items binary")
 
 
 def solve(names: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -450,7 +522,7 @@ def _solve_clusters(docs: DataFrame, needed: DataFrame) -> DataFrame:
         if names:
             yield close(names, held)
 
-    return sets.select("node", "cluster", "items").mapInArrow(run, "node long, component long")
+    return sets.select("node", "cluster", "items").mapInArrow(lean(run), "node long, component long")
 
 
 def _item_table(docs: DataFrame, needed: DataFrame) -> str:
@@ -470,13 +542,21 @@ def _sketches(table: DataFrame) -> DataFrame:
             raw = np.frombuffer(data.tobytes()[offsets[0] : offsets[-1]], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(dense_sketches(raw, sizes), pa.binary())], names=["node", "n", "sketch"])
 
-    return table.select("node", "items").mapInArrow(run, "node long, n long, sketch binary")
+    return table.select("node", "items").mapInArrow(lean(run), "node long, n long, sketch binary")
 
 
 def _solve_in_rounds(docs: DataFrame, groups: DataFrame, needed: DataFrame) -> DataFrame:
     """(node, component) of clusters of any size; groups: gid, node of those clusters; needed: node, cluster, rep."""
     spark = docs.sparkSession
     items = _item_table(docs, needed)
+    try:
+        return _rounds(groups, items)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {items}")
+
+
+def _rounds(groups: DataFrame, items: str) -> DataFrame:
+    spark = groups.sparkSession
     groups = cut(spark, groups.select("gid", "node").join(_sketches(spark.table(items)), "node"), "groups")
     tested = links = comps = None
     for most in ROUNDS:
@@ -489,7 +569,6 @@ def _solve_in_rounds(docs: DataFrame, groups: DataFrame, needed: DataFrame) -> D
         found = cut(spark, _verify(pairs, items), "links")
         links = found if links is None else links.unionByName(found)
         comps = cut(spark, components(spark, links), "components")
-    spark.sql(f"DROP TABLE {items}")
     return comps if comps is not None else spark.createDataFrame([], "node long, component long")
 
 
@@ -509,7 +588,7 @@ def _verify(pairs: DataFrame, table: str) -> DataFrame:
                 ok[i] = 100 * common >= 75 * (len(whole) - common)
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    return joined.select("a", "b", "items_a", "items_b").mapInArrow(compare, "a long, b long")
+    return joined.select("a", "b", "items_a", "items_b").mapInArrow(lean(compare), "a long, b long")
 
 
 def _labelled(groups: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -521,13 +600,15 @@ def _labelled(groups: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(open_, "gid", "left_semi")
 
 
-def _nominate(groups: DataFrame, most: int | None) -> DataFrame:
+def _nominate(groups: DataFrame, most: int | str | None) -> DataFrame:
     """Pairs (a, b) of members of a group that lie in different components and pass size and sketch.
 
-    With ``most``, only the nearest that many of each class, by the sketches. A group of more than BLOCK members is
-    compared block by block, each pair of blocks in a cell of its own.
+    With ``most``, only the nearest that many of each class, by the sketches; "leaders": the nearest one, and in groups of
+    more than BLOCK members only leaders are candidates. Otherwise such a group is compared block by block, each pair of
+    blocks in a cell of its own.
     """
-    cells = _cells(groups, ["node", "comp", "n", "sketch"])
+    cells = _cells(groups, ["node", "comp", "n", "sketch"], most == "leaders")
+    most = 1 if most == "leaders" else most
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -535,10 +616,10 @@ def _nominate(groups: DataFrame, most: int | None) -> DataFrame:
             for r in range(batch.num_rows):
                 items, i, j = batch.column(0)[r].values, batch.column(1)[r].as_py(), batch.column(2)[r].as_py()
                 sketch = np.frombuffer(b"".join(items.field("sketch").to_pylist()), np.uint64).reshape(len(items), -1)
-                node, comp, n, block = (items.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "block"))
-                left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+                node, comp, n, block, lead = (items.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "block", "lead"))
+                left, right = np.flatnonzero(lead if lead.any() else block == i), np.flatnonzero((block == j) | lead)
                 for x in left:
-                    at = right if i != j else right[right > x]
+                    at = right if i != j else right[(right > x) | (~lead[right] & lead[x])]
                     at = at[(comp[at] != comp[x]) & (4 * n[at] >= 3 * n[x]) & (4 * n[x] >= 3 * n[at])]
                     if len(at):
                         far = np.bitwise_count(sketch[at] ^ sketch[x]).sum(1, dtype=np.int64)
@@ -562,7 +643,7 @@ def _nominate(groups: DataFrame, most: int | None) -> DataFrame:
                 a, b, near = a[keep], b[keep], near[keep]
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(near)], names=["a", "b", "near"])
 
-    pairs = cells.mapInArrow(compare, "a long, b long, near double").distinct()
+    pairs = cells.mapInArrow(lean(compare), "a long, b long, near double").distinct()
     if most is None:
         return pairs.select("a", "b")
     either = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("x"), "a", "b", "near"), F.struct(F.col("b").alias("x"), "a", "b", "near"))))
@@ -586,10 +667,12 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, most_items: int = CLUST
     classes = classes.withColumn("n", F.when(F.col("check") == F.col("check_2"), F.col("n")).otherwise(F.raise_error(F.lit("two sets have the same 64-bit name")).cast("long")))
     classes = cut(spark, classes.drop("check", "check_2"), "classes")
 
-    groups = cut(spark, _groups(rows, frequent), "groups")
-    clusters = components(spark, _cluster_edges(groups.select("gid", "node"), classes))
+    # a set issues its largest difference, at most a third of its size, and one key; twice at most
+    n_keys = classes.agg(F.coalesce(F.sum(F.ceil(F.col("n") / 3) + 2), F.lit(0))).first()[0]
+    groups = cut(spark, _groups(rows, frequent, int(n_keys)), "groups")
+    clusters = _clusters(groups.select("gid", "node"), classes)
     clusters = clusters.select("node", F.col("component").alias("cluster")).join(classes.select("node", "rep", "n"), "node")
-    size = clusters.groupBy("cluster").agg((F.sum("n") <= most_items).alias("fits"))
+    size = clusters.groupBy("cluster").agg(((F.sum("n") <= most_items) & (F.count("*") <= CLUSTER_CLASSES)).alias("fits"))
     clusters = cut(spark, clusters.join(size, "cluster").select("node", "cluster", "rep", "fits"), "clusters")
     comps = cut(spark, _solve_clusters(rows, clusters.where("fits").drop("fits")), "components")
     large = clusters.where("NOT fits").drop("fits")

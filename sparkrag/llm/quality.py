@@ -5,16 +5,17 @@ A linear model over features of a whole text is fitted by minimising the non-neg
     pi * E_P[l(z)] + max(0, E_U[l(-z)] - pi * E_P[l(-z)])
 
 with the logistic loss l, where P are trusted positives, U is unlabelled text of the corpus itself and pi the class
-prior. Texts labelled 0 are never examples: of the labels, only the share of ones is used beyond the positives, as
-the estimate of pi. Since the loss is a proper one, sigmoid(z) estimates the chance of a positive, which is the score.
+prior, which ``estimate_prior`` finds from P and U alone. Texts labelled 0 are never used. Since the loss is a proper
+one, sigmoid(z) estimates the chance of a positive, which is the score.
 
 The fit uses a sample of at most ``most_positive`` and ``most_unlabelled`` rows, those with the smallest hash of their
 id; everything else covers all rows, in one pass without a shuffle. Features are the text's shares of hashed byte
 pairs and shares of character classes, word lengths and repeated words; no label, language, source or id is among them.
 
 Fixed results: a null text scores like an empty one; rows that repeat a doc_id are scored each; a doc_id with several
-labels counts with its least; without any positive every score is 0.5; an empty table stays empty; further columns of
-the tables are ignored.
+labels counts with its least; of rows that repeat a chosen id, the fit takes the least features; a null doc_id counts as
+the empty text in the folds, which is held out; without any positive every score is 0.5; an empty table stays empty;
+further columns of the tables are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, span_hashes, spans, text_steps
+from .common import LOWER, lean, release, span_hashes, spans, text_steps
 
 PAIRS = 512
+STEP_TEXTS = 512  # texts whose features are held at once
 _CLASSES = [b"|", b"!", b"$", b"%", b"&", b"*", b"#", b".", b",", b"?", b"<>", b"{}[]()", b"\"'", b"/\\:;@=_-+~`^", b"0123456789", b"\n", b" \t\r"]
 _CLASS = np.zeros(256, np.int64)
 for _i, _b in enumerate(_CLASSES):
@@ -101,55 +103,77 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, l2: flo
     return Model(scaled.astype(np.float32), float(b - mean @ scaled), prior)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.05, folds: int = 4, rounds: int = 3) -> float:
+    """The share of positives among unlabelled texts, from the two samples alone.
+
+    Whatever the classifier and the threshold, unlabelled texts pass it at least pi times as often as positives do: the
+    ratio of the two shares bounds pi from above, and the better the classifier, the tighter. Scores are cross-fitted (each
+    text's by a model of the other folds); the estimate is the least ratio over thresholds that at least half of the
+    positives pass. Each round fits with the estimate of the one before; the mean of the rounds after the first counts.
+    """
+    if min(len(positive), len(unlabelled)) < 10 * folds:
+        return 0.5
+    of_p, of_u = np.arange(len(positive)) % folds, np.arange(len(unlabelled)) % folds
+    p, u, prior, found = np.zeros(len(positive)), np.zeros(len(unlabelled)), 0.5, []
+    for _ in range(rounds):
+        for k in range(folds):
+            rough = fit_nnpu(positive[of_p != k], unlabelled[of_u != k], prior, steps=120)
+            p[of_p == k], u[of_u == k] = rough.score(positive[of_p == k]), rough.score(unlabelled[of_u == k])
+        cuts = np.unique(p)
+        over_p, over_u = (1 - np.searchsorted(np.sort(x), cuts, side="left") / len(x) for x in (p, u))
+        prior = float(np.clip((over_u / over_p)[over_p >= 0.5].min(), least, 1 - least))
+        found.append(prior)
+    return float(np.mean(found[1:]))
+
+
 def fold(id_col: str = "doc_id"):
-    """crc32 of the id as text, modulo 5; 0 marks the held-out rows."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
+    """crc32 of the id as text (null: the empty text), modulo 5; 0 marks the held-out rows."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
 
 
 def _features(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, n, data, offsets in text_steps(batch, "text"):
+            for first, n, data, offsets in text_steps(batch, "text", rows=STEP_TEXTS):
                 x = featurise(data, offsets)
                 yield pa.record_batch([batch.column(0).slice(first, n), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, x binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(scan), "doc_id long, x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 8_000, most_unlabelled: int = 16_000) -> Model:
     """Fit on rows outside the held-out fold: positives from ``labels``, unlabelled text from ``docs``."""
     known = labels.where(F.col("quality").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    total, ones = known.agg(F.count("*"), F.sum(F.expr("CAST(quality = 1 AS LONG)"))).first()
-    if not ones:
-        return Model(np.zeros(WIDTH, np.float32), 0.0, 0.5)
-    prior = min(max((ones + 1) / (total + 2), 0.01), 0.99)
     order = F.xxhash64("doc_id")
     chosen = known.where("quality = 1").select("doc_id").orderBy(order, "doc_id").limit(most_positive).withColumn("kind", F.lit(1))
     free = docs.where(fold() != 0).select("doc_id").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(most_unlabelled).withColumn("kind", F.lit(0))
     ids = chosen.unionByName(free)  # at most most_positive + most_unlabelled rows of two numbers
     texts = docs.where(fold() != 0).join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = _features(texts).collect()
+    found = _features(texts).groupBy("doc_id").agg(F.min("x").alias("x")).collect()  # a row for each chosen id
     x = {r.doc_id: np.frombuffer(r.x, np.float32) for r in found}
     pick = lambda kind: np.array([x[r.doc_id] for r in ids.where(F.col("kind") == kind).collect() if r.doc_id in x], np.float32)
     positive, unlabelled = pick(1), pick(0)
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(WIDTH, np.float32), 0.0, 0.5)
-    return fit_nnpu(positive, unlabelled, prior)
+    return fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """All columns of ``docs`` with the score as column ``out``, which replaces one of that name; one pass over whole texts."""
-    docs = docs.drop(out)
-    names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` double"])
+    """All columns of ``docs`` with the score as column ``out``, which replaces one of that name; one pass over whole texts.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, n, data, offsets in text_steps(batch, "text"):
-                columns = [c.slice(first, n) for c in batch.columns]
-                yield pa.record_batch([*columns, pa.array(model.score(featurise(data, offsets)), pa.float64())], names=[*names, out])
+    Only texts travel to Python and only scores come back; the other columns wait in the JVM.
+    """
+
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                batch = pa.record_batch([texts], names=["text"])
+                parts = [model.score(featurise(data, offsets)) for _, _, data, offsets in text_steps(batch, "text", rows=STEP_TEXTS)]
+                yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+        finally:
+            release()
 
-    return docs.mapInArrow(scan, schema)
+    return docs.withColumn(out, F.arrow_udf(scan, "double")(F.col("text").cast("string")))
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:

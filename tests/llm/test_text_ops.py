@@ -94,6 +94,41 @@ def test_links_agree_with_brute_force(spark, most_items):
     assert got == brute(rows)
 
 
+def test_large_groups_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "CLUSTER_CLASSES", 3)
+    monkeypatch.setattr(jaccard, "MOST_SENT", 0)
+    monkeypatch.setattr(jaccard, "BUCKET_KEYS", 64)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(40):  # near copies of one text, and of a variant that none of the others link with
+        w = list(base if i % 8 else base[:60])
+        w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i + 1, " ".join(w)))
+    rows += [(d + 100, t) for d, t in near_copies(6, 12)]
+    got = sorted((tuple(r) for r in jaccard.link(table(spark, rows)).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_frequent_hashes_are_counted_to_the_end():
+    counts = jaccard._Counts(64)
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        counts.add(np.append(rng.integers(1000, 1 << 60, 20, dtype=np.uint64), np.array([7, 7], np.uint64)))
+    found, count = counts.most(200)
+    assert found.tolist() == [7] and 300 <= count[0] <= 400 and len(counts.keys) <= 64
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(0)
+    draw = lambda n, at: rng.normal(at, 1, (n, 4)).astype(np.float32)
+    for share in (0.3, 0.7):
+        mixed_ = np.concatenate([draw(int(3000 * share), 1.5), draw(3000 - int(3000 * share), -1.5)])
+        assert abs(quality.estimate_prior(draw(1500, 1.5), rng.permutation(mixed_)) - share) < 0.06
+    assert quality.estimate_prior(draw(5, 0), draw(5, 0)) == 0.5
+
+
 def test_empty_join(spark):
     assert jaccard.link(table(spark, [])).count() == 0
     assert jaccard.dedup(table(spark, [])).count() == 0
