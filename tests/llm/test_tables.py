@@ -97,6 +97,59 @@ def test_rollup_rejects_unknown_changes(spark, tmp_path):
     assert r.totals().count() == 0
 
 
+def test_compaction_is_one_step(spark, tmp_path, monkeypatch):
+    rows = [[("insert", "a", "en", "t", b + 1, 10, 1)] * (b + 1) for b in range(3)]
+    folder = f"file://{tmp_path}/r"
+    r = rollup.Rollup(spark, folder)
+    for b, own in enumerate(rows):
+        assert r.apply(f"part/{b}", spark.createDataFrame(own, CHANGE))
+    want = [("a", "en", "t", 6, 14, 60)]
+    seen = lambda: [tuple(x) for x in rollup.Rollup(spark, folder).totals().collect()]
+    put = rollup.put_new
+
+    class Lost(Exception):
+        pass
+
+    for when in ("before", "after"):  # the driver is lost on either side of the only write that counts
+
+        def lose(s, uri, data, when=when):
+            if when == "after":
+                assert put(s, uri, data)
+            raise Lost
+
+        monkeypatch.setattr(rollup, "put_new", lose)
+        with pytest.raises(Lost):
+            r.compact()
+        monkeypatch.setattr(rollup, "put_new", put)
+        assert seen() == want
+        if when == "before":
+
+            def late(s, uri, data):  # another driver commits while the base is written
+                monkeypatch.setattr(rollup, "put_new", put)
+                assert rollup.Rollup(spark, folder).apply("late", spark.createDataFrame([("delete", "a", "en", "t", 1, 10, 1)], CHANGE))
+                return put(s, uri, data)
+
+            monkeypatch.setattr(rollup, "put_new", late)
+            r.compact()
+            want = [("a", "en", "t", 5, 13, 50)]
+            assert seen() == want and len(r._state()[2]) == 2
+    assert seen() == want
+    assert not r.apply("part/1", spark.createDataFrame(rows[1], CHANGE)) and seen() == want
+    assert put(spark, f"{folder}/log/x.json", b"1") and not put(spark, f"{folder}/log/x.json", b"2")
+
+
+def test_tokens_by_vocabulary(spark):
+    from tokenizers import Tokenizer
+
+    from sparkrag.llm.sstable import tokenizer_path
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = [None, "", "Hello  world\n", "a<|endoftext|>b", "word " * 50_000]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = dict(docs.select("doc_id", rollup.vocabulary_tokens("text").alias("n")).collect())
+    assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
 def test_revisions(spark):
     rows = spark.createDataFrame([("old", "en", 5, 50, "new", "en", "t", 7, 70)], "old_source string, old_lang string, old_tokens long, old_n_chars long, source string, lang string, tokenizer string, tokens long, n_chars long")
     assert sorted((x.op, x.source, x.tokens) for x in rollup.revised(rows).collect()) == [("delete", "old", 5), ("insert", "new", 7)]
