@@ -13,7 +13,7 @@ A shard holds, in this order: blocks, index, filter, footer. All integers are li
 byte (0: null, 1: value) and, for a value, eight big-endian bytes of the identifier with its sign bit flipped,
 so that the order of the bytes is the order of the numbers.
 
-Every shard comes from one range partition, whose size the shuffle setting bounds; a task that runs again
+Every shard comes from one range partition of identifiers and, within one identifier, of the heads of texts; a task that runs again
 writes a file of another name, and only the names in the manifest count, so lost executors do no harm.
 """
 
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashIndex, open_fs, span_hashes, text_steps, work_dir, write_file
+from .common import HashIndex, lean, open_fs, span_hashes, text_steps, work_dir, write_file
 
 MAGIC = b"SSTSHRD1"
 FOOTER = struct.Struct("<QQQQQQBxxxxxxx8s")  # index at, index bytes, filter at, filter bytes, documents, ids, id bytes
@@ -62,10 +62,16 @@ _LATIN[0xC3:0xCC] = True
 class PieceEncoder:
     """Encodes texts piece by piece and remembers the ids of each distinct piece.
 
-    Texts are cut only where the byte-level pre-tokeniser always begins a new token: before a space that a
-    visible character follows, where white space begins, after a single tab or newline, and between a letter or
-    digit and punctuation (ASCII only; other places just stay inside a piece). So the ids of the pieces, one
-    after another, are the ids of the text.
+    Texts are cut only where the byte-level pre-tokeniser always begins a new token (ASCII only; other places just stay
+    inside a piece). Its pattern takes, in this order: contractions, runs of letters, of digits, or of other visible
+    characters, each with at most one space before it; white space up to the last character of its run, if more text
+    follows; white space. So a token always begins
+    - before a space that a visible character follows: the rest of the run before it, if any, ends there;
+    - between a letter or digit and white space, or punctuation and white space, or a letter or digit and punctuation, as
+      no alternative holds both in that order;
+    - after a tab or newline that is alone between visible characters, as it is then a token by itself.
+    The ids of the pieces, one after another, are the ids of the text. Pieces are found by a 64-bit hash and then compared
+    byte by byte; should two share a hash, that step's texts are encoded whole.
 
     With ``added``, the vocabulary's added tokens (such as an end-of-text marker) get their own ids where a text holds
     them, as in the library's defaults: a text that holds one is encoded as a whole. Without, they are plain text.
@@ -90,16 +96,24 @@ class PieceEncoder:
         self.flat = np.zeros(1 << 16, self.dtype)
         self.at = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int32)
+        self.raw, self.raw_at, self.raw_used = np.zeros(1 << 18, np.uint8), np.zeros((1 << 14) + 1, np.int64), 0
         self.used = 0
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), np.int32, len(ids))
         first, total = self.index.size, int(counts.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(ids) > len(self.at):
             self.at, self.count = np.concatenate([self.at, self.at]), np.concatenate([self.count, self.count])
+            self.raw_at = np.concatenate([self.raw_at, np.zeros(len(self.raw_at) - 1, np.int64)])
+        size = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        while self.raw_used + int(size[-1]) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        self.raw[self.raw_used : self.raw_used + int(size[-1])] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.raw_at[first + 1 : first + len(ids) + 1] = self.raw_used + size
+        self.raw_used += int(size[-1])
         self.flat[self.used : self.used + total] = np.fromiter((x for own in ids for x in own), self.dtype, total)
         self.at[first : first + len(ids)] = self.used + np.cumsum(counts) - counts
         self.count[first : first + len(ids)] = counts
@@ -164,8 +178,12 @@ class PieceEncoder:
         if len(new := np.flatnonzero(found < 0)):
             keys, first = np.unique(hashes[new], return_index=True)
             raw = data.tobytes()
-            self._learn(keys, [raw[starts[i] : ends[i]].decode() for i in new[first].tolist()])
+            self._learn(keys, [raw[starts[i] : ends[i]] for i in new[first].tolist()])
             found[new] = self.index.find(hashes[new])
+        # pieces lie one after another in ``data``, without a gap
+        same = (self.raw_at[found + 1] - self.raw_at[found] == ends - starts).all()
+        if not same or not (self.raw[np.arange(len(data)) + np.repeat(self.raw_at[found] - starts, ends - starts)] == data).all():
+            return self._encode_whole(data, offsets)
         counts = self.count[found].astype(np.int64)
         begin = np.cumsum(counts) - counts
         total = int(counts.sum())
@@ -341,9 +359,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             yield pa.record_batch([[part], [uri], [low], [high], [writer.docs], [writer.ids]], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("min_id", pa.int64()), ("max_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # the head of the text splits a hot identifier over shards; equal heads stay together, so shards follow one another in order
+    rows = rows.repartitionByRange(F.col("id").asc_nulls_first(), F.substring("text", 1, 32).asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
     manifest = f"{folder}/manifest"
-    rows.mapInArrow(shard, MANIFEST).write.mode("overwrite").parquet(manifest)
+    rows.mapInArrow(lean(shard), MANIFEST).write.mode("overwrite").parquet(manifest)
     return spark.read.schema(MANIFEST).parquet(manifest).orderBy("shard")
 
 
@@ -378,7 +397,7 @@ def read(manifest: DataFrame, digests_only: bool = False) -> DataFrame:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
     files = spark.createDataFrame(shards, "path string, start long").repartition(max(1, len(shards))) if shards else spark.createDataFrame([], "path string, start long")
-    return files.mapInArrow(scan, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests_only else "ids array<long>"))
+    return files.mapInArrow(lean(scan), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests_only else "ids array<long>"))
 
 
 def lookup(manifest_rows: list, doc_id: int | None) -> np.ndarray | None:
