@@ -1,9 +1,10 @@
 """Audio features: polyphase resampling, overlapped log-mel filterbanks, hysteresis energy segments.
 
-``store`` keeps payloads as 8-bit mono PCM in RIFF/WAVE form, ``features`` reads the stored bytes back. For each
-clip it gives the time spans in which the energy stays up, and a tensor of fixed shape for every ``PATCH_FRAMES``
-frames: Arrow's fixed-shape tensor layout (row-major half floats, ``PATCH_FRAMES`` x ``MELS``), one after another
-in a binary column; ``tensors`` turns such a column into an Arrow ``FixedShapeTensorArray``.
+``store`` keeps payloads as 8-bit mono PCM in RIFF/WAVE form, ``save_features`` reads the stored bytes back and writes,
+for each clip, the time spans in which the energy stays up, and a tensor for every ``PATCH_FRAMES`` frames, as Arrow
+files with a column of type list<fixed_shape_tensor[PATCH_FRAMES, MELS]> (half floats): one file a task, listed in a
+manifest, which alone counts when a task has run twice. ``load_features`` reads these files back as a Spark table and
+``open_features`` one of them as an Arrow table.
 
 Resampling by L/M splits the low-pass filter into L phases and computes only the samples that are kept. A clip is
 worked on by itself in steps of fixed length, so equal payloads give equal bits wherever they lie in a batch, and
@@ -17,6 +18,7 @@ repeated rows are computed each on its own; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,10 +27,11 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_steps, work_dir
+from .common import lean, open_fs, text_steps, work_dir
 
 RATE, TARGET_RATE = 16_000, 6_000
 UNIT = 192
@@ -116,7 +119,7 @@ def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = view[a : a + STEP_FRAMES] * _WINDOW
         spectrum = np.fft.rfft(part, FFT, axis=1)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        mel[a : a + len(part)] = np.log10(power @ mel_weights() + 1e-6)
+        mel[a : a + len(part)] = np.log10(np.einsum("fk,km->fm", power, mel_weights()) + 1e-6)  # unlike BLAS, the same bits on any number of threads
         energy[a : a + len(part)] = 10 * np.log10(power.sum(1) / FFT + 1e-6)
     return mel, energy
 
@@ -144,12 +147,6 @@ def analyse(media: bytes) -> tuple[bytes, int, list[tuple[float, float]]]:
     return tensor.tobytes(), frames, [(round(a * tick, 3), round(b * tick, 3)) for a, b in segments(energy)]
 
 
-def tensors(column: pa.Array) -> pa.Array:
-    """Arrow fixed-shape tensors [PATCH_FRAMES, MELS] of all patches in a binary ``patches`` column."""
-    flat = np.frombuffer(b"".join(x for x in column.to_pylist() if x), np.float16)
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(flat.reshape(-1, PATCH_FRAMES, MELS))
-
-
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT) -> DataFrame:
     """doc_id, n_bytes and media: each text's UTF-8 bytes, filled up with blanks to a multiple of ``unit``, as WAVE."""
 
@@ -160,39 +157,105 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
                 media = [wav(raw[a : a + s] + b" " * (max(unit, -(-s // unit) * unit) - s)) for a, s in zip(offsets[:-1].tolist(), sizes.tolist(), strict=True)]
                 yield pa.record_batch([batch.column(0).slice(first, n), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(encode), "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, spans array<struct<start_s:double,end_s:double>>, patches binary"
+TENSOR = pa.fixed_shape_tensor(pa.float16(), [PATCH_FRAMES, MELS])
+_SPANS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+_PLAIN = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64()), ("spans", _SPANS)]
+STORED = pa.schema([*_PLAIN, ("patches", pa.list_(TENSOR))])
+BATCH_BYTES = 4 << 20  # of tensors that are held before they are written
+
+
+def _stored_batch(rows: list[dict], tensors: list[bytes]) -> pa.RecordBatch:
+    plain = pa.RecordBatch.from_pylist(rows, schema=pa.schema(_PLAIN))
+    one = 2 * PATCH_FRAMES * MELS
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(b"".join(tensors), np.float16), pa.float16()), PATCH_FRAMES * MELS)
+    offsets = np.concatenate([[0], np.cumsum([len(x) // one for x in tensors])]).astype(np.int32)
+    patches = pa.ListArray.from_arrays(pa.array(offsets), pa.ExtensionArray.from_storage(TENSOR, flat))
+    return pa.record_batch([*plain.columns, patches], schema=STORED)
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """Features of stored clips, with digests of what was read back; see ``FEATURES``."""
-    span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64()), ("spans", span), ("patches", pa.binary())])
+def save_features(stored: DataFrame, folder: str) -> DataFrame:
+    """Write the features of stored clips, with digests of what was read back, below ``folder``; the manifest (path, n_clips)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = sink = None
+        uri, clips = f"{folder}/part-{TaskContext.get().partitionId():06d}-{os.urandom(4).hex()}.arrow", 0
+        rows, tensors, held = [], [], 0
         for batch in batches:
-            rows, held = [], 0
             for i in range(batch.num_rows):
                 media = batch.column(2)[i].as_py()
                 _, samples = unwav(media)
-                patches, frames, found = analyse(media)
-                rows.append({"doc_id": batch.column(0)[i].as_py(), "n_bytes": batch.column(1)[i].as_py(), "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "n_frames": frames, "spans": [{"start_s": a, "end_s": b} for a, b in found], "patches": patches})
-                held += len(patches) + 256
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                tensor, frames, found = analyse(media)
+                rows.append({"doc_id": batch.column(0)[i].as_py(), "n_bytes": batch.column(1)[i].as_py(), "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "n_frames": frames, "spans": [{"start_s": a, "end_s": b} for a, b in found]})
+                tensors.append(tensor)
+                held += len(tensor) + 256
+                if held > BATCH_BYTES:
+                    if out is None:
+                        sink, out = _open_sink(uri)
+                    out.write_batch(_stored_batch(rows, tensors))
+                    clips += len(rows)
+                    rows, tensors, held = [], [], 0
+        if rows:
+            if out is None:
+                sink, out = _open_sink(uri)
+            out.write_batch(_stored_batch(rows, tensors))
+            clips += len(rows)
+        if out is not None:
+            out.close()
+            sink.close()
+            yield pa.record_batch([pa.array([uri]), pa.array([clips], pa.int64())], names=["path", "n_clips"])
+
+    manifest = f"{folder}/manifest"
+    stored.select("doc_id", "n_bytes", "media").mapInArrow(lean(scan), "path string, n_clips long").write.mode("overwrite").parquet(manifest)
+    return stored.sparkSession.read.schema("path string, n_clips long").parquet(manifest)
+
+
+def _open_sink(uri: str):
+    where, path = open_fs(uri)
+    where.create_dir(path.rpartition("/")[0], recursive=True)
+    sink = where.open_output_stream(path)
+    return sink, pa.ipc.new_file(sink, STORED, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+
+
+def _read_batches(uri: str) -> Iterator[pa.RecordBatch]:
+    where, path = open_fs(uri)
+    with where.open_input_file(path) as f:
+        reader = pa.ipc.open_file(f)
+        if reader.schema != STORED:
+            raise ValueError(f"{uri} doesn't hold {STORED}")
+        for i in range(reader.num_record_batches):
+            yield reader.get_batch(i)
+
+
+def open_features(uri: str) -> pa.Table:
+    """One file as an Arrow table whose ``patches`` are fixed-shape tensors."""
+    return pa.Table.from_batches(_read_batches(uri), STORED)
+
+
+def load_features(manifest: DataFrame) -> DataFrame:
+    """The features of all files of a manifest; ``patches`` holds the bytes of a clip's tensors, one after another."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                for own in _read_batches(uri):
+                    lists = own.column(len(_PLAIN))
+                    flat = lists.flatten().storage.flatten().to_numpy(zero_copy_only=False).astype(np.float16, copy=False)
+                    at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]) * PATCH_FRAMES * MELS
+                    tensors = pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                    yield pa.record_batch([*own.columns[: len(_PLAIN)], tensors], names=[*(n for n, _ in _PLAIN), "patches"])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(scan, FEATURES)
+    return manifest.select("path").repartition("path").mapInArrow(lean(scan), FEATURES)
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "audio")
-    store(spark.read.parquet(f"{sf_dir}/documents.parquet")).write.mode("overwrite").option("compression", "zstd").parquet(folder)
-    stored = spark.read.schema("doc_id long, n_bytes long, media binary").parquet(folder)
+    store(spark.read.parquet(f"{sf_dir}/documents.parquet")).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/media")
+    stored = spark.read.schema("doc_id long, n_bytes long, media binary").parquet(f"{folder}/media")
+    found = load_features(save_features(stored, f"{folder}/features"))
     seconds = F.aggregate("spans", F.lit(0.0), lambda s, x: s + x.end_s - x.start_s)
     feature = F.concat_ws(":", "n_frames", F.size("spans").cast("string"), F.format_number(seconds, 3), F.substring(F.sha2("patches", 256), 1, 16))
-    return features(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
