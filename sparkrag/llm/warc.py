@@ -1,10 +1,12 @@
 """WARC archives: a Python data source that prunes records by their headers, and a writer.
 
-``WarcDataSource`` ("sparkrag_warc") plans one partition a file (or a run of files), takes equality predicates
-on ``record_type`` and on promoted header columns, reads the headers of a record first and leaves its payload
-compressed when a predicate rejects it or when option ``payload`` is "false". It can do that because the writer
-gives each gzip member the "sl" extra field of the WARC standard (annex on compression), which tells the
-member's length; members without it are inflated to find their end.
+``WarcDataSource`` ("sparkrag_warc") plans partitions of files: an archive that has an index of record offsets beside it
+(``<archive>.idx``, which ``write`` makes) is split between records, about every ``SPLIT_BYTES``; others are one partition
+each. It takes predicates (=, <=>, IN, prefixes, comparisons, IS [NOT] NULL) on columns that headers decide and on single
+headers, reads the headers of a record first and leaves its payload compressed when a predicate rejects it or when option
+``payload`` is "false". It can do that because the writer gives each gzip member the "sl" extra field of the WARC standard
+(annex on compression), which tells the member's length; members without it are inflated to find their end. Spark asks a
+Python source for predicates only while "spark.sql.python.filterPushdown.enabled" is set, which ``read`` does.
 
 ``write`` makes one archive a task: a ``response`` record for each payload, or a ``revisit`` record (headers
 only) where another row with the same payload of at least ``least`` bytes has a larger id.
@@ -18,7 +20,6 @@ archive; further columns are ignored.
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import os
 import struct
@@ -30,14 +31,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith
 
-from .common import open_fs, work_dir
+from .common import cut, lean, open_fs, work_dir, write_file
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, content_type string, content_length long, headers map<string,string>, payload binary"
-#: Columns on which equality is decided from the headers alone.
+#: Columns on which predicates are decided from the headers alone.
 HEADER_OF = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type"}
 FILE_BYTES = 1 << 30
+SPLIT_BYTES = 64 << 20
+#: Repeated digests (about 50 bytes each) that are broadcast to the payloads; above this, rows meet them in a shuffle.
+MOST_REPEATED = 200_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -75,53 +79,55 @@ def http_body(block: bytes) -> bytes:
 
 
 class _File:
-    """Forward reading of a file, with a little read ahead."""
+    """Forward reading of a file from ``start`` to ``end``, with a little read ahead."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, start: int = 0, end: int | None = None):
         where, path = open_fs(uri)
-        self.file, self.held = where.open_input_stream(path, buffer_size=1 << 20), b""
-
-    def more(self, n: int) -> bytes:
-        got = self.file.read(n)
-        self.held += got
-        return got
+        self.file, self.held, self.at = where.open_input_file(path), b"", 0
+        self.file.seek(start)
+        self.left = 1 << 62 if end is None else end - start
 
     def peek(self, n: int) -> bytes:
-        while len(self.held) < n and self.more(max(n - len(self.held), 1 << 16)):
-            pass
-        return self.held[:n]
+        while len(self.held) - self.at < n and (got := self.file.read(min(max(n, 1 << 18), self.left))):
+            self.left -= len(got)
+            self.held, self.at = self.held[self.at :] + got, 0
+        return self.held[self.at : self.at + n]
 
     def take(self, n: int) -> bytes:
         got = self.peek(n)
-        self.held = self.held[len(got) :]
+        self.at += len(got)
         return got
 
+    def give_back(self, rest: bytes) -> None:
+        self.held, self.at = rest + self.held[self.at :], 0
 
-def records(uri: str, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, block) of each record; ``wanted(headers)`` says True for the block, False for headers only, None to skip."""
-    file = _File(uri)
+
+def records(uri: str, wanted, start: int = 0, end: int | None = None) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, block) of each record between two offsets; ``wanted(headers)`` says True for the block, False for headers
+    only, None to skip."""
+    file = _File(uri, start, end)
     while head := file.peek(24):
         if head[:2] == b"\x1f\x8b":
             sized = len(head) == 24 and head[3] == 4 and head[12:14] == b"sl"
             if sized:
                 member = file.take(struct.unpack_from("<I", head, 16)[0])
                 inflate = zlib.decompressobj(-15)
-                start, rest = b"", member[24:-8]
-                while b"\r\n\r\n" not in start and rest:
-                    start += inflate.decompress(rest, 2048)
+                top, rest = b"", member[24:-8]
+                while b"\r\n\r\n" not in top and rest:
+                    top += inflate.decompress(rest, 2048)
                     rest = inflate.unconsumed_tail
-                headers = parse_headers(start.partition(b"\r\n\r\n")[0])
+                headers = parse_headers(top.partition(b"\r\n\r\n")[0])
                 want = wanted(headers)
                 if want is None:
                     continue
                 block = None
                 if want:
-                    block = start.partition(b"\r\n\r\n")[2] + inflate.decompress(rest) + inflate.flush()
+                    block = top.partition(b"\r\n\r\n")[2] + inflate.decompress(rest) + inflate.flush()
             else:
                 inflate, whole = zlib.decompressobj(31), b""
                 while not inflate.eof and (part := file.take(1 << 16)):
                     whole += inflate.decompress(part)
-                file.held = inflate.unused_data + file.held
+                file.give_back(inflate.unused_data)
                 top, _, block = whole.partition(b"\r\n\r\n")
                 headers = parse_headers(top)
                 if (want := wanted(headers)) is None:
@@ -144,7 +150,7 @@ def records(uri: str, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
 
 
 class WarcDataSource(DataSource):
-    """Options: ``files`` (a JSON list of URIs) or ``path`` (a folder), ``payload`` ("true"), ``split`` (files a partition)."""
+    """Options: ``files`` (a JSON list of URIs) or ``path`` (a folder), ``payload`` ("true"). A partition is a file or a part of one; each a file or a part of one."""
 
     @classmethod
     def name(cls) -> str:
@@ -157,14 +163,30 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
 
+#: What a predicate says about a header's value (None: the header is absent, which is null).
+_TESTS = {
+    EqualTo: lambda f, x: x is not None and x == f.value,
+    EqualNullSafe: lambda f, x: x == f.value,
+    In: lambda f, x: x is not None and x in f.value,
+    IsNull: lambda f, x: x is None,
+    IsNotNull: lambda f, x: x is not None,
+    StringStartsWith: lambda f, x: x is not None and x.startswith(f.value),
+    GreaterThan: lambda f, x: x is not None and x.encode() > f.value.encode(),
+    GreaterThanOrEqual: lambda f, x: x is not None and x.encode() >= f.value.encode(),
+    LessThan: lambda f, x: x is not None and x.encode() < f.value.encode(),
+    LessThanOrEqual: lambda f, x: x is not None and x.encode() <= f.value.encode(),
+}
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.options, self.equal = options, {}
+        self.options, self.tests = options, []
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and (len(f.attribute) == 1 and f.attribute[0] in HEADER_OF or len(f.attribute) == 2 and f.attribute[0] == "headers"):
-                self.equal[HEADER_OF.get(f.attribute[0], f.attribute[-1])] = f.value
+            own = len(f.attribute) == 1 and f.attribute[0] in HEADER_OF or len(f.attribute) == 2 and f.attribute[0] == "headers" if hasattr(f, "attribute") else False
+            if own and type(f) in _TESTS and (not hasattr(f, "value") or f.value is not None):
+                self.tests.append((HEADER_OF.get(f.attribute[0], f.attribute[-1]), f))
             else:
                 yield f
 
@@ -177,21 +199,22 @@ class WarcReader(DataSourceReader):
             where, path = open_fs(self.options["path"])
             prefix = self.options["path"][: -len(path)] if self.options["path"].endswith(path) else "file://"
             files = sorted(prefix + x.path for x in where.get_file_info(fs.FileSelector(path)) if x.base_name.endswith((".warc", ".warc.gz")))
-        split = int(self.options.get("split", 1))
-        return [InputPartition(files[i : i + split]) for i in range(0, len(files), split)]
+        out = []
+        for uri in files:
+            at = split_points(uri)
+            out += [InputPartition((uri, a, b)) for a, b in zip([0, *at], [*at, None], strict=True)]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         payloads = self.options.get("payload", "true").lower() != "false"
 
         def wanted(headers: dict[str, str]) -> bool | None:
-            if any(headers.get(k) != v for k, v in self.equal.items()):
-                return None
-            return payloads
+            return payloads if all(_TESTS[type(f)](f, headers.get(k)) for k, f in self.tests) else None
 
         schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("content_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
         rows, held = [], 0
-        for uri in partition.value if partition else []:
-            for h, block in records(uri, wanted):
+        for uri, start, end in [partition.value] if partition else []:
+            for h, block in records(uri, wanted, start, end):
                 payload = block
                 if block is not None and h.get("content-type", "").startswith("application/http"):
                     payload = http_body(block)
@@ -204,56 +227,75 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def split_points(uri: str) -> list[int]:
+    """Offsets from the archive's index; none without one."""
+    where, path = open_fs(uri + ".idx")
+    try:
+        with where.open_input_stream(path) as f:
+            return json.loads(f.read())
+    except FileNotFoundError:
+        return []
+
+
 def urn(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000) -> DataFrame:
+def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, most: int = MOST_REPEATED) -> DataFrame:
     """Each row with its payload's digest and, for revisits, the id of the response it refers to.
 
-    The largest id of each repeated payload is found by a map-side combined aggregation over digests only; the
-    rows then meet that (much smaller) table in a left join, whose hot digests adaptive execution splits.
+    Repeated digests and their largest ids are found on narrow rows (an aggregation that combines before its shuffle).
+    Up to ``most`` of them are broadcast, so payloads stay where they are; more meet the payloads in a shuffled join, whose
+    hot digests adaptive execution splits. Both ways give the same rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     same = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("last_id"), F.count("*").alias("copies")).where("copies > 1").select("digest", "last_id")
-    joined = rows.join(same, "digest", "left")
+    same = cut(pages.sparkSession, same, "repeated")
+    joined = rows.join(F.broadcast(same) if same.count() <= most else same.hint("merge"), "digest", "left")
     return joined.select("page_id", "url", "payload", "digest", F.when(F.col("last_id") != F.coalesce("page_id", F.col("last_id") - 1), F.col("last_id")).alias("refers_to"))
 
 
-def write(pages: DataFrame, folder: str, **columns) -> list[str]:
-    """Write archives below ``folder`` and return their URIs (one or a few a task)."""
+def write(pages: DataFrame, folder: str, split: int = SPLIT_BYTES, **columns) -> list[str]:
+    """Write archives below ``folder``, each with its index, and return their URIs (one or a few a task)."""
     spark = pages.sparkSession
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, out, size = TaskContext.get().partitionId(), [], None, 0
+        part, made, out, size, at = TaskContext.get().partitionId(), [], None, 0, []
+
+        def close() -> None:
+            out.close()
+            write_file(made[-1] + ".idx", json.dumps(at).encode())
+
         for batch in batches:
             for i in range(batch.num_rows):
                 page_id, url, payload, digest, refers = (batch.column(k)[i].as_py() for k in range(5))
                 if out is None or size > FILE_BYTES:
                     if out is not None:
-                        out.close()
+                        close()
                     uri = f"{folder}/part-{part:05d}-{len(made):03d}-{os.urandom(4).hex()}.warc.gz"
                     where, local = open_fs(uri)
                     where.create_dir(local.rpartition("/")[0], recursive=True)
-                    out, size = where.open_output_stream(local), 0
+                    out, size, at = where.open_output_stream(local, compression=None), 0, []  # members are compressed one by one
                     made.append(uri)
                 head = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", urn(page_id)), ("WARC-Date", DATE)]
                 head += [("WARC-Target-URI", "".join(url.splitlines()))] if url is not None else []
-                head += [("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()), ("WARC-Page-Id", "" if page_id is None else str(page_id))]
+                head += [("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()), ("Sparkrag-Payload-Sha1", digest), ("WARC-Page-Id", "" if page_id is None else str(page_id))]
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
                 if refers is None:
                     block += payload
                 else:
                     head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", urn(refers)), ("WARC-Refers-To-Page-Id", str(refers)), ("WARC-Payload-Length", str(len(payload)))]
                 member = gzip_member(record([*head, ("Content-Type", "application/http; msgtype=response")], block))
+                if size >= (at[-1] if at else 0) + split:
+                    at.append(size)
                 out.write(member)
                 size += len(member)
         if out is not None:
-            out.close()
+            close()
         yield pa.record_batch([pa.array(made, pa.string())], names=["uri"])
 
-    plan_records(pages, **columns).mapInArrow(archive, "uri string").write.mode("overwrite").parquet(f"{folder}/manifest")
+    plan_records(pages, **columns).mapInArrow(lean(archive), "uri string").write.mode("overwrite").parquet(f"{folder}/manifest")
     return sorted(r.uri for r in spark.read.schema("uri string").parquet(f"{folder}/manifest").collect())
 
 
@@ -271,25 +313,18 @@ def sha1_hex(base32: str) -> str:
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are read with their payloads, whose digests are checked; of revisits, the headers only."""
     files = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), work_dir(spark, "warc"))
-    got = read(spark, files)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {"page_id": [], "payload_bytes": [], "payload_digest": [], "record_type": [], "refers_to": []}
-            for kind, headers, payload in zip(*(batch.column(k) for k in range(3)), strict=True):
-                h = dict(headers.as_py())
-                stored = sha1_hex(h["warc-payload-digest"])
-                if kind.as_py() == "response" and hashlib.sha1(payload.as_py()).hexdigest() != stored:
-                    raise ValueError(f"record {h['warc-record-id']}: its payload doesn't have its digest")
-                out["page_id"].append(int(h["warc-page-id"]) if h["warc-page-id"] else None)
-                out["payload_bytes"].append(len(payload.as_py()) if kind.as_py() == "response" else int(h["warc-payload-length"]))
-                out["payload_digest"].append(stored)
-                out["record_type"].append(kind.as_py())
-                out["refers_to"].append(int(h["warc-refers-to-page-id"]) if "warc-refers-to-page-id" in h else None)
-            yield pa.record_batch(out, schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
-
-    return got.select("record_type", "headers", "payload").mapInArrow(digest, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    responses = read(spark, files).where("record_type = 'response'")
+    revisits = read(spark, files, payload=False).where("record_type = 'revisit'")
+    header = lambda name: F.col("headers")[name]
+    stored = F.col("payload_digest")
+    digest = F.lower(F.hex(F.unhex(header("sparkrag-payload-sha1"))))
+    told = [F.expr("CAST(nullif(headers['warc-page-id'], '') AS LONG)").alias("page_id"), digest.alias("payload_digest"), "record_type", header("warc-refers-to-page-id").cast("long").alias("refers_to")]
+    whole = responses.select(F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("own"), *told)
+    whole = whole.withColumn("payload_digest", F.when(F.col("own") == stored, stored).otherwise(F.raise_error(F.lit("a payload doesn't have its record's digest")))).drop("own")
+    short = revisits.select(header("warc-payload-length").cast("long").alias("payload_bytes"), *told)
+    return whole.unionByName(short).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP9_SQL = """

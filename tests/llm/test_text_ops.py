@@ -266,6 +266,28 @@ def test_pieces_give_the_ids_of_the_text():
             assert ids[at[i] : at[i + 1]].tolist() == enc.tokenizer.encode(texts[first + i], add_special_tokens=False).ids, texts[first + i]
 
 
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    enc = sstable.PieceEncoder(sstable.tokenizer_path())
+    monkeypatch.setattr(sstable, "span_hashes", lambda data, starts, ends, word: (ends - starts).astype(np.uint64))
+    for text in ("ab cd ef", "gh ij", "one two six"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, _ = enc.encode(data, np.array([0, len(data)]))
+        assert ids.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_hot_identifier_is_split(spark, tmp_path):
+    rows = [(5, f"text {i:04d}") for i in range(400)] + [(i, "x") for i in range(4)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that a small table has several shards
+    try:
+        manifest = sstable.write(table(spark, rows), f"file://{tmp_path}/h")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r.max_id == 5 for r in manifest.collect()) > 1
+    got = [(r.doc_id, r.n_tokens) for r in sstable.read(manifest).orderBy("start").collect()]
+    assert len(got) == 404 and [d for d, _ in got] == sorted(d for d, _ in rows)
+    assert sstable.lookup(manifest.collect(), 5) is not None
+
+
 def test_queries_encode_as_the_library_does(spark, tmp_path):
     import corpus_pipeline
     from tokenizers import Tokenizer
@@ -427,9 +449,64 @@ def test_mix_of_odd_tables(spark):
 # ---------------------------------------------------------------- audio
 
 
-def test_audio_round_trip_and_equal_texts(spark):
+def plain_features(payload):
+    """Log-mel patches and spans by the definitions: a direct convolution, a direct Fourier sum and a state machine."""
+    x = (np.frombuffer(payload, np.uint8).astype(np.float64) - 128) / 128
+    x -= x.mean()
+    up, down, taps = 3, 8, audio.TAPS  # 16 kHz to 6 kHz
+    n = np.arange(up * taps) - (up * taps - 1) / 2
+    h = np.sinc(n / down) / down * np.hamming(up * taps)
+    h *= up / h.sum()
+    zeros = np.zeros(len(x) * up)
+    zeros[::up] = x
+    full = np.concatenate([np.zeros(up * taps), zeros, np.zeros(2 * up * taps)])
+    y = np.array([sum(h[k] * full[up * taps + m * down + up * (taps - 1 - taps // 2) - k] for k in range(up * taps)) for m in range(-(-len(x) * up // down))])
+    frames = 1 + max(0, -(-(len(y) - 192) // 96))
+    y = np.append(y, np.zeros(max(0, (frames - 1) * 96 + 192 - len(y))))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(192) / 192)
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(192)) / 256)
+    power = np.array([np.abs(turn @ (y[i * 96 : i * 96 + 192] * window)) ** 2 for i in range(frames)])
+    edges = 700 * (10 ** (np.linspace(2595 * np.log10(1 + 20 / 700), 2595 * np.log10(1 + 3000 / 700), 26) / 2595) - 1)
+    f = np.linspace(0, 3000, 129)
+    bank = np.array([[max(0, min((v - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - v) / (edges[m + 2] - edges[m + 1]))) for m in range(24)] for v in f])
+    energy = 10 * np.log10(power.sum(1) / 256 + 1e-6)
+    spans, begin = [], None
+    for i, e in enumerate([*(energy - np.median(energy)), -np.inf]):
+        if begin is None and e > 3:
+            begin = i
+        elif begin is not None and e < -1:
+            if i - begin >= 3:
+                spans.append((begin * 0.016, i * 0.016))
+            begin = None
+    return np.log10(power @ bank + 1e-6), spans
+
+
+def test_features_agree_with_plain_ones():
+    rng = random.Random(3)
+    loud = 0
+    for size in (192, 1920, 9600):
+        payload = b"".join(bytes([rng.randrange(256) if (i // 1500) % 4 == 1 else rng.choice(b"ab")]) for i in range(size))
+        tensor, frames, spans = audio.analyse(audio.wav(payload))
+        mel, want = plain_features(payload)
+        got = np.frombuffer(tensor, np.float16).reshape(-1, audio.MELS)
+        assert frames == len(mel) and np.abs(got[:frames] - mel).max() < 0.02 and not got[frames:].any()
+        assert np.allclose(np.array(spans), np.array(want), atol=1e-3) and len(spans) == len(want)
+        loud += len(spans)
+    assert loud
+
+
+def test_audio_round_trip_and_equal_texts(spark, tmp_path):
     rows = [*ODD, (30, ODD[4][1]), (31, "x" * 192), (32, "x" * 193)]
-    found = audio.features(audio.store(table(spark, rows))).collect()
+    clips = audio.store(table(spark, rows))
+    manifest = audio.save_features(clips.repartition(3), f"file://{tmp_path}/f")
+    found = audio.load_features(manifest).collect()
+    media = [bytes(r.media) for r in clips.collect()]
+    assert sorted(r.media_sha256 for r in found) == sorted(hashlib.sha256(m).hexdigest() for m in media)
+    assert sorted(r.media_bytes for r in found) == sorted(map(len, media))
+    by_media = {hashlib.sha256(m).hexdigest(): audio.analyse(m) for m in media}
+    for r in found:
+        tensor, frames, spans = by_media[r.media_sha256]
+        assert (r.patches, r.n_frames, [(x.start_s, x.end_s) for x in r.spans]) == (tensor, frames, spans)
     want = {}
     for d, t in rows:
         raw = (t or "").encode()
@@ -441,9 +518,11 @@ def test_audio_round_trip_and_equal_texts(spark):
         assert sorted(r.payload_sha256 for r in got[d]) == sorted(hashlib.sha256(p).hexdigest() for p in payloads)
         assert sorted(r.tail_crc32 for r in got[d]) == sorted(zlib.crc32(p[-16:]) for p in payloads)
     assert got[5][0].patches == got[30][0].patches or got[5][1].patches == got[30][0].patches or got[5][2].patches == got[30][0].patches
-    t = audio.tensors(pa.array([r.patches for r in found]))
-    assert t.type.shape == [audio.PATCH_FRAMES, audio.MELS]
-    assert audio.features(audio.store(table(spark, []))).count() == 0
+    tables = [audio.open_features(r.path) for r in manifest.collect()]
+    assert all(t.schema.field("patches").type.value_type == audio.TENSOR and audio.TENSOR.shape == [32, 24] for t in tables)
+    first = tables[0]["patches"].chunk(0)[0].values.to_numpy_ndarray()
+    assert first.shape[1:] == (32, 24) and first.astype(np.float16).tobytes() in {r.patches for r in found}
+    assert audio.load_features(audio.save_features(audio.store(table(spark, [])), f"file://{tmp_path}/e")).count() == 0
 
 
 def test_resampling_keeps_a_tone():
