@@ -9,20 +9,26 @@ where c counts customers, t tables, T_u = sum of t_uw over w, S_w = sum of t_uw
 measure is continuous, so each word has one table there, and all words that training text lacks are one event with
 p = (e0 + d0 V) / (e0 + S): probabilities of the V known words and that event add up to one in every context.
 
-Seatings are sampled by Gibbs sweeps: in a sweep, the customers of every dish of every restaurant are seated anew, one by
-one, at an old table (weight: customers less discount) or a new one (weight: (e + d T_u) p(w), from the sweep before).
-Given the parent and T_u, dishes are independent, so a sweep runs everywhere at once; past ``EXACT`` customers of one dish
-the number of further tables is drawn from the normal form of its Poisson limit. The first sweep starts from a table for
-each customer; the predictive probabilities of the sweeps' states are averaged. Discounts are n1 / (n1 + 2 n2), from the
-numbers of dishes with one and two customers.
-
-How it runs: texts are never shuffled. A task reads its documents in chunks of bounded size and reduces each to its
-distinct words and pairs. Three kinds of exchange take place, each packed in numpy arrays by hash range: counts of words;
-counts of pairs (answers only say which pairs occur elsewhere too); and, each sweep, tables by preceding and by following
-word. Random numbers are hashes of pair and sweep, so every task that holds a pair seats it alike and seatings need no
-exchange. A frequent word or pair is one entry of a chunk at most, however often it occurs, and so meets its like
-pre-aggregated. Answers lie in the shared folder by chunk; chunks are the same in each pass as the scan is, which a
-checksum verifies. Nothing is collected on the driver but sums.
+Seatings are sampled by Gibbs sweeps. What a sweep redraws is the number t of tables of each dish of each restaurant, all
+its customers being removed at once: given all other seatings, t has the law
+
+    S_d(c, t) * prod for i = 1 .. t-1 of (e + d (T_u' + i)) (S_w' + i - d0) / (e0 + S' + i),
+
+where S_d are generalised Stirling numbers and the dashes mean "without this dish's own tables". ``seat`` draws from that
+law itself: the numbers come from their recursion for up to ``TABLE`` customers and from their alternating sum beyond,
+which converges to machine precision for t up to 10 c^d (more tables have no weight in any corpus: the product falls off
+far earlier); there is no other law for large counts. All dishes are redrawn at once, given the state that the sweep before
+has left. The start is a table for each customer; the predictive probabilities of the ``SWEEPS - BURN_IN`` states after
+the burn-in are averaged. Discounts are n1 / (n1 + 2 n2), from the numbers of dishes with one and two customers.
+
+How it runs: texts are never shuffled. One pass cuts them into chunks of bounded size, reduces each to its distinct words
+and pairs with their counts, and stores these in the shared folder; sweeps read only that. Three kinds of exchange take
+place, each packed in numpy arrays by hash range, in buckets of a bounded number of entries: counts of words; counts of
+pairs (answers only say which pairs occur elsewhere too); and, each sweep, tables by preceding and by following word.
+Random numbers are hashes of pair and sweep, so every task that holds a pair seats it alike and seatings need no exchange:
+a task replays the sweeps from their stored sums. A frequent word or pair is one entry of a chunk at most, however often it
+occurs, and so meets its like pre-aggregated. The last pass reads the texts again; a checksum verifies that its chunks are
+those of the first. Nothing is collected on the driver but sums.
 
 Fixed results: a null or empty text has only its end token; without training text every token is the unknown event, with
 probability one; rows that repeat a doc_id are scored each; a null id counts as the text ""; an empty table stays empty;
@@ -31,21 +37,27 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import json
+import math
+import os
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, open_fs, text_steps, word_hashes, work_dir
+from .common import lean, mix, open_fs, text_steps, word_hashes, work_dir, write_file
 from .jaccard import _spread
 
 END = np.uint64(0x5D588B656C078965)
 CHUNK_TOKENS = 2 << 20
-SWEEPS = 2
-EXACT = 64
+SWEEPS, BURN_IN = 5, 2
+TABLE = 1024  # customers of one dish up to which Stirling numbers are tabulated
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -68,6 +80,45 @@ class Chunk:
         return int((np.bitwise_xor.reduce(self.voc) ^ np.bitwise_xor.reduce(self.name)).astype(np.int64))
 
 
+@dataclass
+class Counts:
+    """What sweeps need of a chunk: its words, its pairs and how often they occur in its training text."""
+
+    part: int
+    check: int
+    voc: np.ndarray
+    u: np.ndarray
+    w: np.ndarray
+    own: np.ndarray
+    name: np.ndarray
+
+    @staticmethod
+    def of(chunk: Chunk) -> Counts:
+        return Counts(chunk.part, chunk.check(), chunk.voc, chunk.u, chunk.w, np.bincount(chunk.pair[chunk.train], minlength=len(chunk.name)).astype(np.int64), chunk.name)
+
+    def save(self, uri: str) -> None:
+        parts = [self.voc.tobytes(), self.u.astype("<i4").tobytes(), self.w.astype("<i4").tobytes(), pack_small(self.own)]
+        head = json.dumps([self.part, self.check, len(self.voc), len(self.u), [len(x) for x in parts]]).encode()
+        write_file(uri, [struct.pack("<I", len(head)), head, zstandard.ZstdCompressor(level=1).compress(b"".join(parts))])
+
+    @staticmethod
+    def load(uri: str) -> Counts:
+        where, path = open_fs(uri)
+        with where.open_input_file(path) as f:
+            raw = f.read()
+        n = struct.unpack_from("<I", raw)[0]
+        part, check, words, pairs, sizes = json.loads(raw[4 : 4 + n])
+        body = memoryview(zstandard.ZstdDecompressor().decompress(raw[4 + n :], sum(sizes)))
+        at = np.cumsum([0, *sizes]).tolist()
+        voc = np.frombuffer(body[at[0] : at[1]], np.uint64, words)
+        u, w = (np.frombuffer(body[at[i] : at[i + 1]], "<i4", pairs) for i in (1, 2))
+        return Counts(part, check, voc, u, w, unpack_small(bytes(body[at[3] : at[4]]), pairs), mix(voc[u] * _A + mix(voc[w] + _B)))
+
+    def words(self) -> np.ndarray:
+        """How often each word occurs in the training text: each token ends one pair."""
+        return np.bincount(self.w, weights=self.own, minlength=len(self.voc)).astype(np.int64)
+
+
 def _before(x: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
     """Each text's values moved on by one, with ``first`` at its start."""
     out = np.empty_like(x)
@@ -132,23 +183,39 @@ def unpack_small(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _prepare(rows: DataFrame) -> DataFrame:
+    """Store the counts of all chunks; (uri, n_words, n_pairs) of each."""
+    folder = work_dir(rows.sparkSession, "chunks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            own = Counts.of(chunk)
+            uri = f"{folder}/{own.part:x}-{os.urandom(4).hex()}.counts"
+            own.save(uri)
+            yield pa.record_batch([pa.array([uri]), pa.array([len(own.voc)], pa.int64()), pa.array([len(own.name)], pa.int64())], names=["uri", "n_words", "n_pairs"])
+
+    rows.mapInArrow(lean(run), "uri string, n_words long, n_pairs long").write.parquet(f"{folder}/manifest")
+    return rows.sparkSession.read.schema("uri string, n_words long, n_pairs long").parquet(f"{folder}/manifest")
+
+
 class _Exchange:
     """Requests of chunks go to buckets, answers come back by chunk through the shared folder."""
 
-    def __init__(self, rows: DataFrame, name: str):
-        self.rows, self.spark = rows, rows.sparkSession
+    def __init__(self, manifest: DataFrame, name: str, buckets: list[int]):
+        self.manifest, self.spark, self.buckets = manifest, manifest.sparkSession, buckets
         self.folder = work_dir(self.spark, name)
-        self.buckets = _spread(self.spark)
 
     def run(self, ask, answer) -> tuple[str, list[int]]:
-        """ask(chunk, slices of words, slices of pairs) -> for each bucket, a list of byte strings, or None; answer(list of such
+        """ask(counts of a chunk, number of buckets) -> for each bucket, a list of byte strings, or None; answer(list of such
         lists) -> (answers in the same order, statistics). Returns the folder and the sum of the statistics."""
         ids = self.buckets
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for chunk in _chunks(batches):
-                parts = [(b, x) for b, x in enumerate(ask(chunk, len(ids))) if x is not None]
-                yield pa.record_batch([pa.array([ids[b] for b, _ in parts], pa.int32()), pa.array([chunk.part] * len(parts), pa.int64()), pa.array([chunk.check()] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.list_(pa.binary()))], names=["bucket", "part", "check", "packed"])
+            for batch in batches:
+                for uri in batch.column(0).to_pylist():
+                    chunk = Counts.load(uri)
+                    parts = [(b, x) for b, x in enumerate(ask(chunk, len(ids))) if x is not None]
+                    yield pa.record_batch([pa.array([ids[b] for b, _ in parts], pa.int32()), pa.array([chunk.part] * len(parts), pa.int64()), pa.array([chunk.check] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.list_(pa.binary()))], names=["bucket", "part", "check", "packed"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def close(bucket: int, held: list) -> pa.RecordBatch:
@@ -168,17 +235,19 @@ class _Exchange:
             if held:
                 yield close(now, held)
 
-        sent = self.rows.mapInArrow(send, "bucket int, part long, check long, packed array<binary>")
-        met = sent.repartition("bucket").sortWithinPartitions("bucket", "part").mapInArrow(meet, "part long, bucket int, check long, packed array<binary>")
+        sent = self.manifest.select("uri").repartition("uri").mapInArrow(lean(send), "bucket int, part long, check long, packed array<binary>")
+        met = sent.repartition("bucket").sortWithinPartitions("bucket", "part").mapInArrow(lean(meet), "part long, bucket int, check long, packed array<binary>")
         met.repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(self.folder)
         sums: list[int] = []
-        for r in self.spark.read.schema("bucket int, check long, packed array<binary>, part long").parquet(self.folder).where("part = -1").select("packed").collect():
-            own = np.frombuffer(r.packed[0], "<i8").tolist()
-            sums = [a + b for a, b in zip(sums, own, strict=True)] if sums else own
+        where, path = open_fs(f"{self.folder}/part=-1")
+        if where.get_file_info(path).is_file or where.get_file_info(path).type.name == "Directory":
+            for r in self.spark.read.schema("packed array<binary>").parquet(f"{self.folder}/part=-1").collect():  # a row for each bucket
+                own = np.frombuffer(r.packed[0], "<i8").tolist()
+                sums = [a + b for a, b in zip(sums, own, strict=True)] if sums else own
         return self.folder, sums
 
 
-def _answers(folder: str, chunk: Chunk, buckets: list[int]) -> list[list[bytes] | None]:
+def _answers(folder: str, chunk: Counts, buckets: list[int]) -> list[list[bytes] | None]:
     """The answers to a chunk, in the order of the buckets."""
     from pyarrow import fs
     from pyarrow import parquet as pq
@@ -189,29 +258,85 @@ def _answers(folder: str, chunk: Chunk, buckets: list[int]) -> list[list[bytes]
         if info.base_name.endswith(".parquet"):
             with where.open_input_file(info.path) as f:
                 t = pq.ParquetFile(f).read()
-            if any(c != chunk.check() for c in t["check"].to_pylist()):
+            if any(c != chunk.check for c in t["check"].to_pylist()):
                 raise RuntimeError("a task's documents changed between two passes over the same input")
             found.update(zip(t["bucket"].to_pylist(), t["packed"].to_pylist(), strict=True))
     return [found.get(b) for b in buckets]
 
 
-def _seat(count: np.ndarray, weight: np.ndarray, discount: float, name: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of dishes with ``count`` customers, where a new table has ``weight`` and names give the random numbers."""
+@lru_cache(2)
+def _stirling_table(d: float, most: int = TABLE) -> np.ndarray:
+    """log S_d(c, t) at [c, t] for c up to ``most``; -inf for t > c."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0
+    t = np.arange(most + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(1, most):
+            stay = np.where(t <= c, np.log(np.maximum(c - d * t, 1e-300)) + out[c], -np.inf)
+            out[c + 1, 1:] = np.logaddexp(out[c, :-1], stay[1:])
+    return out
+
+
+def _log_stirling(c: np.ndarray, most: int, d: float) -> np.ndarray:
+    """log S_d(c, t) for t = 1 .. most, up to a constant for each c; each c is over ``TABLE``.
+
+    S_d(c, t) = sum over j of (-1)^j binomial(t, j) G(c - j d) / G(-j d), over d^t t! (G: the gamma function). The terms are
+    taken relative to that of j = 1; they alternate, and cancel at most as far as exp(2 t / c^d).
+    """
+    c = c.astype(np.float64)[:, None]
+    t = np.arange(1, most + 1, dtype=np.float64)
+    lead, shrink = t * np.ones_like(c), np.ones_like(c)  # binomial(t, j) times G(c - j d) / G(c - d)
+    total = lead.copy()
+    log_g = lambda x: (c + x - 0.5) * np.log1p(x / c) + x * np.log(c) - x + 1 / (12 * (c + x))  # noqa: E731  log G(c + x) less what is the same for all x
+    for j in range(2, most + 1):
+        lead = lead * np.maximum(t - j + 1, 0) / j
+        shrink = np.exp(log_g(-j * d) - log_g(-d))
+        x = j * d
+        ratio = 0.0 if abs(x - round(x)) < 1e-12 else math.gamma(-d) / math.gamma(-x) if x < 150 else 0.0
+        term = lead * shrink * ratio
+        total += term if j % 2 else -term
+        if np.abs(lead * shrink).max() * math.gamma(1 + min(x, 150)) < 1e-17:
+            break
+    steps = np.log(d) + np.log(t)
+    return np.log(np.maximum(total, 1e-300)) - np.cumsum(steps)
+
+
+def seat(count: np.ndarray, discount: float, step, uniform: np.ndarray) -> np.ndarray:
+    """Tables of dishes with ``count`` customers: t has weight S_d(count, t) times the product of step(rows, i) for i < t.
+
+    ``step(rows, i)`` gives a matrix for dishes (as indexes) and numbers of tables i = 1, 2, ...
+    """
     tables = np.minimum(count, 1).astype(np.int64)
-    seed = mix(name + np.uint64(sweep * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-    uniform = lambda rows, k: (mix(seed[rows] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
     live = np.flatnonzero(count > 1)
-    for j in range(1, EXACT):
-        if not len(live):
-            return tables
-        a = weight[live]
-        tables[live] += uniform(live, j) * (a + j - discount * tables[live]) < a
-        live = live[count[live] > j + 1]
-    if len(live):
-        a, t = weight[live], tables[live]
-        mean = a * np.log((count[live] - discount * t + a) / (EXACT - discount * t + a))
-        z = np.sqrt(-2 * np.log(uniform(live, EXACT) + 1e-300)) * np.cos(2 * np.pi * uniform(live, EXACT + 1))
-        tables[live] = np.clip(np.rint(t + mean + np.sqrt(mean) * z), t, count[live]).astype(np.int64)
+    if not len(live):
+        return tables
+    first = step(live, np.ones(1))[:, 0] / discount  # about the mean number of further tables
+    room = 2 + 1.5 * first + 14 * np.sqrt(first + 1)
+    # more tables than 10 c^d have no weight, and numbers of large dishes aren't evaluated there
+    most = np.minimum(count[live], np.where(count[live] > TABLE, 10 * count[live].astype(np.float64) ** discount, count[live])).astype(np.int64)
+    width = np.minimum(most, 1 << np.ceil(np.log2(np.minimum(room, 1 << 40))).astype(np.int64))
+    while len(live):
+        again = np.zeros(len(live), bool)
+        level = np.ceil(np.log2(width)).astype(np.int64)
+        for w in np.unique(level).tolist():
+            own = np.flatnonzero(level == w)
+            for part in np.array_split(own, max(1, len(own) << w >> 18)):
+                for rows in (part[count[live[part]] <= TABLE], part[count[live[part]] > TABLE]):
+                    if not len(rows):
+                        continue
+                    at, c = live[rows], count[live[rows]]
+                    k = min(1 << w, int(most[rows].max()))
+                    log_s = _stirling_table(discount)[c, 1 : k + 1] if c[0] <= TABLE else _log_stirling(c, k, discount)
+                    k = log_s.shape[1]
+                    if k > 1:
+                        log_s = log_s.copy()
+                        log_s[:, 1:] += np.cumsum(np.log(step(at, np.arange(1, k))), 1)
+                    log_s[np.arange(1, k + 1) > most[rows][:, None]] = -np.inf
+                    weight = np.exp(log_s - log_s.max(1, keepdims=True))
+                    again[rows] = (weight[:, -1] > 1e-10) & (k < most[rows])
+                    below = np.cumsum(weight, 1)
+                    tables[at] = 1 + (below < uniform[at][:, None] * below[:, -1:]).sum(1)
+        live, most, width = live[again], most[again], np.minimum(most[again], 2 * width[again])
     return tables
 
 
@@ -219,7 +344,8 @@ def _seat(count: np.ndarray, weight: np.ndarray, discount: float, name: np.ndarr
 class _State:
     """What a task knows: folders of answers, sums over the corpus, hyperparameters."""
 
-    buckets: list[int]
+    word_buckets: list[int]
+    pair_buckets: list[int]
     words: str
     pairs: str
     sweeps: tuple[str, ...]
@@ -228,16 +354,15 @@ class _State:
     discount: float
     root: tuple[tuple[int, float], ...]  # of each sweep: S and the root's discount
 
-    def counts(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        got = [x for x in _answers(self.words, chunk, self.buckets) if x]
+    def counts(self, chunk: Counts) -> tuple[np.ndarray, np.ndarray]:
+        got = [x for x in _answers(self.words, chunk, self.word_buckets) if x]
         return tuple(np.concatenate([np.frombuffer(x[i], t) for x in got]) for i, t in enumerate(("<i8", "<u4")))
 
-    def customers(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    def customers(self, chunk: Counts) -> tuple[np.ndarray, np.ndarray]:
         """(customers of each pair in all training text, which pairs this chunk accounts for)."""
-        own = np.bincount(chunk.pair[chunk.train], minlength=len(chunk.name))
-        total, mine = own.astype(np.int64), own > 0
-        at = _slices(chunk.name, len(self.buckets))
-        for b, x in enumerate(_answers(self.pairs, chunk, self.buckets)):
+        total, mine = chunk.own.copy(), chunk.own > 0
+        at = _slices(chunk.name, len(self.pair_buckets))
+        for b, x in enumerate(_answers(self.pairs, chunk, self.pair_buckets)):
             if x:
                 n = at[b + 1] - at[b]
                 other = np.unpackbits(np.frombuffer(x[0], np.uint8), count=n).astype(bool)
@@ -247,9 +372,9 @@ class _State:
                 mine[rows[other]] = first[other]
         return total, mine & (total > 0)
 
-    def tables(self, chunk: Chunk, sweep: int) -> tuple[np.ndarray, np.ndarray]:
-        got = [x for x in _answers(self.sweeps[sweep], chunk, self.buckets) if x]
-        at = np.diff(_slices(chunk.voc, len(self.buckets)))
+    def tables(self, chunk: Counts, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+        got = [x for x in _answers(self.sweeps[sweep], chunk, self.word_buckets) if x]
+        at = np.diff(_slices(chunk.voc, len(self.word_buckets)))
         sizes = [n for n in at.tolist() if n]
         return tuple(np.concatenate([unpack_small(x[i], n) for x, n in zip(got, sizes, strict=True)]) for i in (0, 1))
 
@@ -259,18 +384,26 @@ class _State:
         known = np.maximum(s_w - d0, 0) / (ROOT_STRENGTH + whole)
         return np.where(s_w > 0, known, (ROOT_STRENGTH + d0 * self.v) / (ROOT_STRENGTH + whole))
 
-    def seated(self, chunk: Chunk, n_w: np.ndarray, total: np.ndarray, sweep: int) -> np.ndarray:
-        """Tables of each pair in a sweep, given the state that the sweep before has left."""
-        if sweep == 0:
-            p, t_u = np.maximum(n_w - 0.5, 0) / max(self.n, 1), n_w
-        else:
-            t_u, s_w = self.tables(chunk, sweep - 1)
-            p = self.root_p(s_w, sweep - 1)
-        return _seat(total, (STRENGTH + self.discount * t_u[chunk.u]) * p[chunk.w], self.discount, chunk.name, sweep)
+    def seatings(self, chunk: Counts, n_w: np.ndarray, total: np.ndarray, last: int) -> Iterator[np.ndarray]:
+        """Tables of each pair after sweeps 0 .. last, each given the state that the one before has left."""
+        t, t_u, s_w, (whole, d0) = total, n_w, n_w, (self.n, 0.5)
+        for sweep in range(last + 1):
+            if sweep:
+                t_u, s_w = self.tables(chunk, sweep - 1)
+                whole, d0 = self.root[sweep - 1]
+            other_u, other_w, other = t_u[chunk.u] - t, s_w[chunk.w] - t, whole - t
+
+            def step(rows: np.ndarray, i: np.ndarray, a=other_u, b=other_w, c=other, d0=d0) -> np.ndarray:
+                a, b, c = a[rows][:, None], b[rows][:, None], c[rows][:, None]
+                return (STRENGTH + self.discount * (a + i)) * (b + i - d0) / (ROOT_STRENGTH + c + i)
+
+            seed = mix(chunk.name + np.uint64((sweep + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+            t = seat(total, self.discount, step, (seed >> np.uint64(11)).astype(np.float64) * 2.0**-53)
+            yield t
 
 
-def _ask_words(chunk: Chunk, buckets: int) -> list:
-    count = np.bincount(chunk.word[chunk.train], minlength=len(chunk.voc))
+def _ask_words(chunk: Counts, buckets: int) -> list:
+    count = chunk.words()
     at = _slices(chunk.voc, buckets)
     return [[chunk.voc[a:b].tobytes(), pack_small(count[a:b])] if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
 
@@ -284,8 +417,8 @@ def _answer_words(held: list) -> tuple[list, list[int]]:
     return [[count[s].astype("<i8").tobytes(), s.astype("<u4").tobytes()] for s in parts], [int(count.sum()), int((count > 0).sum())]
 
 
-def _ask_pairs(chunk: Chunk, buckets: int) -> list:
-    count = np.bincount(chunk.pair[chunk.train], minlength=len(chunk.name))
+def _ask_pairs(chunk: Counts, buckets: int) -> list:
+    count = chunk.own
     at = _slices(chunk.name, buckets)
     return [[chunk.name[a:b].tobytes(), pack_small(count[a:b])] if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
 
@@ -322,49 +455,55 @@ def _kneser(n1: int, n2: int) -> float:
     return min(max(n1 / (n1 + 2 * n2), 0.05), 0.98) if n1 else 0.5
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS) -> DataFrame:
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
     """Scores of all rows by a model of the rows where ``held_out`` (a column) is false.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; scores are log10 probabilities.
     """
+    if not 0 <= burn_in < sweeps:
+        raise ValueError("some sweep must come after the burn-in")
     spark = docs.sparkSession
     rows = docs.select(F.spark_partition_id().alias("task"), F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text_col).cast("string").alias("text"))
-    exchange = _Exchange(rows, "words")
-    words, sums = exchange.run(_ask_words, _answer_words)
+    manifest = _prepare(rows)
+    entries = manifest.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_pairs"), F.lit(0))).first()
+    word_buckets, pair_buckets = (_spread(spark, int(x)) for x in entries)
+    words, sums = _Exchange(manifest, "words", word_buckets).run(_ask_words, _answer_words)
     n, v = sums if sums else (0, 0)
-    pairs, sums = _Exchange(rows, "pairs").run(_ask_pairs, _answer_pairs)
-    state = _State(exchange.buckets, words, pairs, (), n, v, _kneser(*(sums if sums else (0, 0))), ())
+    pairs, sums = _Exchange(manifest, "pairs", pair_buckets).run(_ask_pairs, _answer_pairs)
+    state = _State(word_buckets, pair_buckets, words, pairs, (), n, v, _kneser(*(sums if sums else (0, 0))), ())
     for sweep in range(sweeps):
 
-        def ask(chunk: Chunk, buckets: int, now: _State = state, sweep: int = sweep) -> list:
+        def ask(chunk: Counts, buckets: int, now: _State = state, sweep: int = sweep) -> list:
             n_w, slot = now.counts(chunk)
             total, mine = now.customers(chunk)
-            t = now.seated(chunk, n_w, total, sweep) * mine
+            for t in now.seatings(chunk, n_w, total, sweep):  # noqa: B007
+                pass
+            t = t * mine
             t_u = np.bincount(chunk.u, weights=t, minlength=len(chunk.voc)).astype(np.int64)
             s_w = np.bincount(chunk.w, weights=t, minlength=len(chunk.voc)).astype(np.int64)
             at = _slices(chunk.voc, buckets)
             return [[slot[a:b].tobytes(), pack_small(t_u[a:b]), pack_small(s_w[a:b])] if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
 
-        folder, sums = _Exchange(rows, f"sweep-{sweep}").run(ask, _answer_tables)
+        folder, sums = _Exchange(manifest, f"sweep-{sweep}", word_buckets).run(ask, _answer_tables)
         s, n1, n2 = sums if sums else (0, 0, 0)
-        state = _State(state.buckets, words, pairs, (*state.sweeps, folder), n, v, state.discount, (*state.root, (s, _kneser(n1, n2))))
+        state = replace(state, sweeps=(*state.sweeps, folder), root=(*state.root, (s, _kneser(n1, n2))))
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            n_w, _ = state.counts(chunk)
-            total, _ = state.customers(chunk)
+            own = Counts.of(chunk)
+            n_w, _ = state.counts(own)
+            total, _ = state.customers(own)
             p = np.zeros(len(chunk.name))
-            for sweep in range(sweeps):
-                t_u, s_w = state.tables(chunk, sweep)
-                t = state.seated(chunk, n_w, total, sweep)
-                down = (STRENGTH + state.discount * t_u[chunk.u]) * state.root_p(s_w, sweep)[chunk.w]
-                own = (np.maximum(total - state.discount * t, 0) + down) / (STRENGTH + n_w[chunk.u])
-                p += own / sweeps
+            for sweep, t in enumerate(state.seatings(own, n_w, total, sweeps - 1)):
+                if sweep >= burn_in:
+                    t_u, s_w = state.tables(own, sweep)
+                    down = (STRENGTH + state.discount * t_u[chunk.u]) * state.root_p(s_w, sweep)[chunk.w]
+                    p += (np.maximum(total - state.discount * t, 0) + down) / (STRENGTH + n_w[chunk.u]) / (sweeps - burn_in)
             base = np.log10((n_w + 0.5) / (state.n + 0.5 * (state.v + 1)))
             rows_ = [np.add.reduceat(x, chunk.starts) for x in (np.ones(len(chunk.word), np.int64), (n_w > 0)[chunk.word].astype(np.int64), base[chunk.word], np.log10(p)[chunk.pair])]
             yield pa.record_batch([chunk.doc_ids, pa.array(chunk.held), pa.array(rows_[0]), pa.array(rows_[1]), pa.array(np.full(len(chunk.held), state.n, np.int64)), pa.array(rows_[2]), pa.array(rows_[3])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.mapInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(lean(final), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scores: DataFrame) -> DataFrame:
