@@ -20,9 +20,9 @@ Then, over classes of documents with equal sets:
 3. a cluster of at most ``CLUSTER_ITEMS`` shingles and ``CLUSTER_CLASSES`` classes goes to one task, each set once, and is
    solved exactly there by a breadth-first search: a class that was reached is compared, by posting lists, with all that
    weren't yet;
-4. larger clusters are solved without bringing them together, in rounds: each class of a group nominates its nearest
-   leader (a few members of a group, chosen by hash, that every block of it meets), then the nearest classes of other
-   components, by dense sketches whose Hamming distance also rules out pairs that are too far apart;
+4. larger clusters are solved without bringing them together, in rounds: each class nominates its nearest leader (a few
+   members of a cluster, chosen by hash, that every block of it meets), then the nearest classes of its groups that lie in
+   other components, by dense sketches whose Hamming distance also rules out pairs that are too far apart;
    sets are compared exactly, and links make components. Groups that lie in one component drop out; the last round
    compares all pairs that remain across components, in blocks of bounded size, by sketch first and exact sets after.
 
@@ -220,17 +220,17 @@ def _clusters(groups: DataFrame, classes: DataFrame) -> DataFrame:
     still hold several components, members of different ones are compared, block by block.
     """
     spark = groups.sparkSession
-    rows = cut(spark, groups.join(classes.select("node", "n", "sketch"), "node").withColumn("comp", F.col("node")), "members")
-    edges = cut(spark, _cluster_edges(rows, True), "edges")
+    sketches = classes.select("node", "n", "sketch")
+    edges = cut(spark, _cluster_edges(groups.join(sketches, "node").withColumn("comp", F.col("node")), True), "edges")
     found = components(spark, edges, reduced=True)
-    large = rows.groupBy("gid").agg(F.count("*").alias("g")).where(F.col("g") > BLOCK).select("gid")
+    large = groups.groupBy("gid").agg(F.count("*").alias("g")).where(F.col("g") > BLOCK).select("gid")
     if large.isEmpty():
         return found
     found = cut(spark, found, "clusters")
-    rest = cut(spark, _labelled(rows.join(large, "gid", "left_semi").drop("comp"), found), "open")
+    rest = cut(spark, _labelled(groups.join(large, "gid", "left_semi"), found), "open")
     if rest.isEmpty():
         return found
-    return components(spark, edges.unionByName(_cluster_edges(rest, False)), reduced=True)
+    return components(spark, edges.unionByName(_cluster_edges(rest.join(sketches, "node"), False)), reduced=True)
 
 
 def band_start(size: int) -> int:
@@ -550,17 +550,20 @@ def _solve_in_rounds(docs: DataFrame, groups: DataFrame, needed: DataFrame) -> D
     spark = docs.sparkSession
     items = _item_table(docs, needed)
     try:
-        return _rounds(groups, items)
+        return _rounds(groups.select("gid", "node"), needed.select(F.col("cluster").alias("gid"), "node"), items)
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {items}")
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {items}")
 
 
-def _rounds(groups: DataFrame, items: str) -> DataFrame:
+def _rounds(groups: DataFrame, clusters: DataFrame, items: str) -> DataFrame:
+    """The first round compares all members of a cluster with its leaders; only groups that it leaves in several components
+    go on to the others."""
     spark = groups.sparkSession
-    groups = cut(spark, groups.select("gid", "node").join(_sketches(spark.table(items)), "node"), "groups")
+    sketches = cut(spark, _sketches(spark.table(items)), "dense")
     tested = links = comps = None
     for most in ROUNDS:
-        now = cut(spark, _labelled(groups, comps), "open")
+        now = _labelled(clusters if most == "leaders" else groups, comps)
+        now = cut(spark, now.join(sketches, "node"), "open")
         if now.isEmpty():
             break
         pairs = _nominate(now, most)
