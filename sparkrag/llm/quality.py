@@ -83,10 +83,12 @@ class Model:
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, l2: float = 1e-4, steps: int = 400, rate: float = 0.05) -> Model:
     """Minimise the non-negative risk by Adam; where the negative part falls below zero, its gradient is reversed."""
-    mean, std = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    p, u = (positive - mean) / std, (unlabelled - mean) / std
-    np.clip(p, -8, 8, out=p)
-    np.clip(u, -8, 8, out=u)
+    mean = unlabelled.mean(0)
+    p, u = positive - mean, unlabelled - mean
+    std = np.sqrt(np.einsum("ij,ij->j", u, u) / len(u)) + 1e-3
+    for x in (p, u):
+        x /= std
+        np.clip(x, -8, 8, out=x)
     w, b = np.zeros(p.shape[1], np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
@@ -136,7 +138,7 @@ def _features(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for first, n, data, offsets in text_steps(batch, "text", rows=STEP_TEXTS):
                 x = featurise(data, offsets)
-                yield pa.record_batch([batch.column(0).slice(first, n), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+                yield pa.record_batch([batch.column(0).slice(first, n), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["doc_id", "x"])
 
     return docs.select("doc_id", "text").mapInArrow(lean(scan), "doc_id long, x binary")
 
@@ -149,10 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 8_000, most_unl
     free = docs.where(fold() != 0).select("doc_id").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(most_unlabelled).withColumn("kind", F.lit(0))
     ids = chosen.unionByName(free)  # at most most_positive + most_unlabelled rows of two numbers
     texts = docs.where(fold() != 0).join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = _features(texts).groupBy("doc_id").agg(F.min("x").alias("x")).collect()  # a row for each chosen id
-    x = {r.doc_id: np.frombuffer(r.x, np.float32) for r in found}
-    pick = lambda kind: np.array([x[r.doc_id] for r in ids.where(F.col("kind") == kind).collect() if r.doc_id in x], np.float32)
+    found = _features(texts).groupBy("doc_id").agg(F.min("x").alias("x")).toArrow()  # a row of 1.1 KB for each chosen id
+    row = {d: i for i, d in enumerate(found["doc_id"].to_pylist())}
+    x = np.array([np.frombuffer(v.as_buffer(), np.float16) for v in found["x"]], np.float16).reshape(-1, WIDTH)
+    kinds = [(r.doc_id, r.kind) for r in ids.collect()]
+    pick = lambda kind: x[[row[d] for d, k in kinds if k == kind and d in row]].astype(np.float32)
     positive, unlabelled = pick(1), pick(0)
+    del x, found, row
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(WIDTH, np.float32), 0.0, 0.5)
     return fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled))

@@ -336,28 +336,115 @@ def test_probabilities_add_up():
     """In one context, known words and the unknown event share all probability, whatever the seating."""
     rng = np.random.default_rng(0)
     c = rng.integers(0, 40, 50)
-    t = pitman_yor._seat(c, np.full(50, 0.7), 0.6, rng.integers(0, 1 << 63, 50, dtype=np.uint64), 1)
+    t = pitman_yor.seat(c, 0.6, lambda rows, i: np.full((len(rows), len(i)), 0.7), rng.random(50))
     assert ((t >= np.minimum(c, 1)) & (t <= c)).all()
     s_w = rng.integers(1, 9, 50)
-    state = pitman_yor._State([], "", "", (), 0, 50, 0.6, ((int(s_w.sum()), 0.5),))
+    state = pitman_yor._State([], [], "", "", (), 0, 50, 0.6, ((int(s_w.sum()), 0.5),))
     p = np.append(state.root_p(s_w, 0), state.root_p(np.zeros(1, np.int64), 0))
     assert p.sum() == pytest.approx(1)
     own = np.append(np.maximum(c - 0.6 * t, 0), 0) + (pitman_yor.STRENGTH + 0.6 * t.sum()) * p
     assert (own / (pitman_yor.STRENGTH + c.sum())).sum() == pytest.approx(1)
 
 
-def test_seating_follows_the_restaurant():
-    """The mean number of tables agrees with seating customers one by one, also past the exact part."""
+def stirling(most, d):
+    """log S_d(c, t) as rows, by the recursion, one number after another."""
+    rows = [[], [0.0]]
+    for c in range(1, most):
+        last = rows[c]
+        row = []
+        for t in range(1, c + 2):
+            stay = last[t - 1] + math.log(c - d * t) if t <= c else -math.inf
+            new = last[t - 2] if t > 1 else -math.inf
+            top = max(stay, new)
+            row.append(top + math.log(math.exp(stay - top) + math.exp(new - top)))
+        rows.append(row)
+    return rows
+
+
+def test_stirling_numbers_of_partitions():
+    """S_d(c, t) sums, over the partitions of c customers to t tables, the products of (1-d)(2-d)...(n-1-d)."""
+
+    def total(c, t, d):
+        if t == 0 or c == 0:
+            return float(c == t)
+        block = lambda n: math.prod(k - d for k in range(1, n))
+        return sum(math.comb(c - 1, n - 1) * block(n) * total(c - n, t - 1, d) for n in range(1, c - t + 2))
+
+    for d in (0.3, 0.8):
+        table_, plain = pitman_yor._stirling_table(d, 64), stirling(64, d)
+        for c in range(1, 9):
+            assert [math.exp(x) for x in table_[c, 1 : c + 1]] == pytest.approx([total(c, t, d) for t in range(1, c + 1)])
+        assert table_[64, 1:65] == pytest.approx(plain[64])
+
+
+def test_tables_follow_their_law():
+    """Means and shares of drawn tables agree with the law itself, also past the tabulated numbers."""
     rng = np.random.default_rng(1)
-    for c, a, d in ((5, 0.5, 0.5), (200, 0.3, 0.7), (400, 3.0, 0.4)):
-        want = []
-        for _ in range(300):
-            t = 1
-            for j in range(1, c):
-                t += rng.random() * (a + j - d * t) < a
-            want.append(t)
-        got = pitman_yor._seat(np.full(3000, c), np.full(3000, a), d, rng.integers(0, 1 << 63, 3000, dtype=np.uint64), 0)
-        assert abs(got.mean() - np.mean(want)) < 0.35 + 0.05 * np.mean(want)
+    for c, a, d in ((2, 0.5, 0.5), (5, 0.5, 0.5), (20, 0.3, 0.7), (60, 1, 0.8), (200, 0.3, 0.7), (400, 3.0, 0.4), (1500, 6.0, 0.6), (1500, 60.0, 0.8)):
+        log_p = np.array(stirling(c, d)[c]) + np.arange(c) * math.log(a)
+        p = np.exp(log_p - log_p.max())
+        p /= p.sum()
+        got = pitman_yor.seat(np.full(40_000, c), d, lambda rows, i, a=a: np.full((len(rows), len(i)), a), (np.arange(40_000) + rng.random()) / 40_000)
+        mean = (p * np.arange(1, c + 1)).sum()
+        assert abs(got.mean() - mean) < 0.002 * mean
+        share = np.bincount(got, minlength=c + 1)[1 : c + 1] / 40_000
+        assert np.abs(share - p).max() < 2e-4
+
+
+def plain_scores(rows, held, sweeps, burn_in):
+    """The model by its definitions, one pair after another, with the operator's random numbers."""
+    from collections import Counter
+
+    texts = [words(t) for _, t in rows]
+    flat = sorted({w for t in texts for w in t})
+    data = np.frombuffer(" ".join(flat).encode(), np.uint8)
+    name = dict(zip(flat, common.word_hashes(data, np.array([0, len(data)]))[0].tolist(), strict=True)) | {None: int(pitman_yor.END)}
+    pairs = [list(zip([None, *t], [*t, None], strict=True)) for t in texts]
+    count = Counter(p for own, h in zip(pairs, held, strict=True) if not h for p in own)
+    n_w = Counter()
+    for (_, w), c in count.items():
+        n_w[w] += c
+    n, v = sum(n_w.values()), len(n_w)
+    kneser = lambda xs: pitman_yor._kneser(sum(x == 1 for x in xs), sum(x == 2 for x in xs))
+    d = kneser(count.values())
+    logs = stirling(max(count.values()) + 1, d)
+    t, t_u, s_w, d0 = dict(count), n_w, n_w, 0.5
+    scores = {p: 0.0 for own in pairs for p in own}
+    for sweep in range(sweeps):
+        now = {}
+        for (u, w), c in count.items():
+            own, weights, product = t[u, w], [], 0.0
+            for k in range(1, c + 1):
+                if k > 1:
+                    i = k - 1
+                    product += math.log((1 + d * (t_u[u] - own + i)) * (s_w[w] - own + i - d0) / (1 + sum(s_w.values()) - own + i))
+                weights.append(logs[c][k - 1] + product)
+            weights = np.cumsum(np.exp(np.array(weights) - max(weights)))
+            at = np.uint64
+            with np.errstate(over="ignore"):
+                h = common.mix(np.array([name[u]], at) * pitman_yor._A + common.mix(np.array([name[w]], at) + pitman_yor._B))
+                seed = common.mix(h + at((sweep + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+            now[u, w] = 1 + int((weights < float(seed[0] >> at(11)) * 2.0**-53 * weights[-1]).sum())
+        t, t_u, s_w = now, Counter(), Counter()
+        for (u, w), k in t.items():
+            t_u[u] += k
+            s_w[w] += k
+        d0, whole = kneser(s_w.values()), sum(s_w.values())
+        if sweep >= burn_in:
+            for u, w in scores:
+                root = (s_w[w] - d0) / (1 + whole) if w in s_w else (1 + d0 * v) / (1 + whole)
+                scores[u, w] += (max(count[u, w] - d * t.get((u, w), 0), 0) + (1 + d * t_u[u]) * root) / (1 + n_w[u]) / (sweeps - burn_in)
+    return [sum(math.log10(scores[p]) for p in own) for own in pairs], n
+
+
+def test_scores_agree_with_the_plain_model(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["The", "cat", "dog", "sat", "on", "a", "mat", f"w{rng.randint(0, 30)}"]) for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    want, n = plain_scores(rows, [i % 5 == 1 for i, _ in rows], 4, 1)
+    got = {r.doc_id: r for r in pitman_yor.score(table(spark, rows), F.col("doc_id") % 5 == 1, sweeps=4, burn_in=1).collect()}
+    assert all(got[i].score == pytest.approx(x) and got[i].train_tokens == n for (i, _), x in zip(rows, want, strict=True))
+    with pytest.raises(ValueError):
+        pitman_yor.score(table(spark, rows), F.lit(False), sweeps=2, burn_in=2)
 
 
 def test_chunks_don_t_change_scores(spark, monkeypatch):
