@@ -523,8 +523,25 @@ def test_target_entropy(spark):
     rows = mixing.exponents(totals, None, 0.9).collect()
     w = [r.weight for r in rows if r.weight > 0]
     assert sum(w) == pytest.approx(1) and -sum(x * math.log(x) for x in w) == pytest.approx(0.9, abs=1e-6)
+    high = {r.source: r.weight for r in mixing.exponents(totals, None, 0.05).collect()}  # under the entropy of the shares: alpha over 1
+    assert -sum(x * math.log(x) for x in high.values() if x) == pytest.approx(0.05, abs=1e-6) and high["a"] > 0.98
+    flat = [r.weight for r in mixing.exponents(totals, None, math.log(3)).collect()]
+    assert sorted(flat) == pytest.approx([0, 1 / 3, 1 / 3, 1 / 3], abs=1e-4)
+    for bad in ((None, None), (2.0, 0.9), (None, 5.0), (None, -0.1), (0.5, None)):
+        with pytest.raises(ValueError):
+            mixing.exponents(totals, *bad)
     with pytest.raises(ValueError):
-        mixing.exponents(totals, None, None)
+        mixing.plan(mixed(spark, source_rows(10)), budget=-1)
+
+
+def test_many_passes_and_given_counts(spark):
+    rows = [(i, "big" if i else "tiny", "w " * 9, "en", 7 if i else 2, 0.0, 0.0, "k", 1, 1) for i in range(60)]
+    plan = mixing.plan(mixed(spark, rows), None, 0.69, tokens_col="n_chars").collect()
+    tiny = [r for r in plan if r.source == "tiny"]
+    assert sorted(r["pass"] for r in tiny) == list(range(len(tiny))) and len(tiny) > 100 and {r.n_tokens for r in tiny} == {2}
+    assert sorted(r.doc_id for r in plan if r.source == "big") == list(range(1, 60))
+    copies = [r.doc_id for r in mixing.mix(mixed(spark, rows), None, 0.69, tokens_col="n_chars").collect()]
+    assert copies.count(0) == len(tiny) and len(copies) == len(plan)
 
 
 def test_mix_of_odd_tables(spark):
