@@ -63,12 +63,13 @@ def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b"
     """
     now = edges.select(F.least(a, b).alias("m"), F.greatest(a, b).alias("v")).where("m < v")
     now = (now if reduced else _forest(now)).distinct()
-    now, before = cut(spark, now, "edges"), None
+    now = cut(spark, now, "edges")
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return now.select(F.col("v").alias("node"), F.col("m").alias("component")).unionByName(now.select(F.col("m").alias("node"), F.col("m").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-        before = state
+        ends = now.select(F.col("v").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(now.select(F.col("m").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        # stars: no node hangs on two others, or on one and holds others itself
+        seen = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if seen.where("below + above > 1").isEmpty():
+            return now.select(F.col("v").alias("node"), F.col("m").alias("component")).unionByName(now.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
         both = now.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(now.select(F.col("m").alias("u"), "v"))
         large = _star(both).where("v > u").select("v", "m").distinct()
         down = large.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
