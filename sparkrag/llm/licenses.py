@@ -1,15 +1,19 @@
 """Licence scan with DataFrame functions only: a trained paragraph classifier, confirmed by templates.
 
 ``fit`` trains a multinomial logistic regression with an elastic-net penalty on sparse word 1- and 2-grams: notices of
-each licence family (``NOTICES``, whole and cut), against ordinary paragraphs of the corpus (at most ``most_plain``,
-those with the smallest hash) and hand-written near misses. Words that ordinary paragraphs use often are no features.
-A quarter of the examples is held back; on them the least probability is set at which a family may be named
-(``floor``), so that at most 1 % of plain paragraphs would be; below it a paragraph is of class "unknown".
+each licence family (what ``NAMES`` are called in ``CARRIERS``, identifiers, and sentences of ``GRANTS``; whole, cut, and
+after a copyright line), against paragraphs of the corpus (at most ``most_plain``, those with the smallest hash) and
+hand-written near misses. Corpus paragraphs that mention licences are examples like others, unless they cover a template,
+and so are notices themselves. Words that ordinary paragraphs use often are no features. A quarter of the notices and of
+the plain paragraphs is held back, so that no form of them is seen in training. On these the probabilities are calibrated
+(a temperature, and an offset for the class "unknown", that give them the least log loss), and the least probability is set
+at which a family may be named (``floor``): at most 1 % of held-out plain paragraphs reach it. Then the weights are fitted
+again to all examples.
 
 ``scan`` splits texts into paragraphs (lines) and looks in each for feature words, in one pass without a shuffle.
 A paragraph without any has the same, "unknown", prediction as the empty one, so only the others (a few in a thousand)
-go on to be scored by a join with the weights. A named family counts once its words also cover a notice of the family
-by at least ``COVER`` (template comparison); others are reported as unconfirmed.
+go on to be scored by a join with the weights. A named family counts once its words also cover a template of the family,
+in order: at least ``COVER`` of the template's runs of three words; others are reported as unconfirmed.
 
 Notices are often wrapped, so that no line of them covers enough of a template. So neighbouring lines are scored as one
 text, too: windows of two lines or more around feature words, without a line that has no words inside, with fewer words
@@ -24,61 +28,101 @@ near misses alone; further columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
 
-# Phrases by which public licences are named or granted.
-NOTICES: dict[str, list[str]] = {
+# Names, identifiers and sentences of public licences.
+NAMES: dict[str, list[str]] = {
+    "agpl": ["GNU Affero General Public License", "GNU AGPL v3"],
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license"],
+    "bsd": ["BSD 3-Clause License", "BSD 2-Clause License", "BSD License", "New BSD license"],
+    "cc-by": ["Creative Commons Attribution 4.0 International License", "CC BY 4.0", "Creative Commons Attribution License"],
+    "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC BY-NC-SA 4.0"],
+    "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike License"],
+    "cc0": ["CC0 1.0 Universal Public Domain Dedication", "Creative Commons Zero license"],
+    "epl-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v. 2.0"],
+    "gpl": ["GNU General Public License, version 3", "GNU General Public License", "GNU GPL v3", "GPLv2"],
+    "isc": ["ISC License", "ISC licence"],
+    "lgpl": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License", "GNU LGPL v3"],
+    "mit": ["MIT License", "MIT license", "Expat License"],
+    "mpl-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"],
+    "unlicense": ["Unlicense", "terms of the Unlicense"],
+}
+IDENTIFIERS: dict[str, list[str]] = {
+    "agpl": ["AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "apache-2.0": ["Apache-2.0"],
+    "bsd": ["BSD-3-Clause", "BSD-2-Clause"],
+    "cc-by": ["CC-BY-4.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0"],
+    "cc0": ["CC0-1.0"],
+    "epl-2.0": ["EPL-2.0"],
+    "gpl": ["GPL-3.0-or-later", "GPL-2.0-only"],
+    "isc": ["ISC"],
+    "lgpl": ["LGPL-2.1-or-later", "LGPL-3.0-only"],
+    "mit": ["MIT"],
+    "mpl-2.0": ["MPL-2.0"],
+    "unlicense": ["Unlicense"],
+}
+GRANTS: dict[str, list[str]] = {
+    "agpl": ["under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "This project is released under the Apache License 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
+        "The ASF licenses this file to you under the Apache License, Version 2.0",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Licensed under the BSD 3-Clause License.",
-        "Released under the BSD License.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ],
-    "cc-by": [
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "Licensed under CC BY 4.0.",
-        "Licensed under CC BY-SA 4.0.",
-        "Text is available under the Creative Commons Attribution-ShareAlike License.",
-        "SPDX-License-Identifier: CC-BY-4.0",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
     ],
-    "cc-by-nc": [
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "Licensed under CC BY-NC 4.0.",
-        "Licensed under CC BY-NC-SA 4.0.",
-        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    "cc-by": ["You are free to share and adapt the material for any purpose, even commercially, under the following terms: Attribution"],
+    "cc-by-nc": ["You may not use the material for commercial purposes. Licensed under Creative Commons Attribution-NonCommercial"],
+    "cc-by-sa": [
+        "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.",
+        "If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original.",
     ],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-2.0"],
     "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "Released under the GNU GPL v3.",
-        "Licensed under the GNU Lesser General Public License, version 2.1.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+        "This work is licensed under the GNU General Public License, version 3.",
+    ],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Lesser General Public License along with this library",
     ],
     "mit": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "The software is provided as is, without warranty of any kind, express or implied",
-        "SPDX-License-Identifier: MIT",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License, version 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    "proprietary": [
+        "All rights reserved.",
+        "Copyright 2019 Example Corporation. All rights reserved.",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
+        "No part of this publication may be reproduced, distributed, or transmitted in any form without the prior written permission of the publisher.",
+        "This document contains confidential and proprietary information of its owner and may not be disclosed without written consent.",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary",
     ],
 }
+CARRIERS = ["Licensed under the {}.", "Released under the {}.", "This project is licensed under the {}.", "This work is licensed under the {}.", "Distributed under the {}; see LICENSE for details.", "Made available under the {}.", "The code is covered by the {}.", "Text is available under the {}."]
 NEAR_MISSES = [
     "He was driving without a license.",
     "The public library is free of charge to any person.",
@@ -92,10 +136,46 @@ NEAR_MISSES = [
     "International attribution of the painting is under dispute.",
     "The source of the Nile and its forms.",
     "Copyright law was discussed at the conference.",
+    "He got his driving license under the Apache tribe version 2.0.",
+    "All seats were reserved and all rights were read to him.",
+    "The court debated whether a software license is a contract.",
+    "The eclipse was visible to the general public for two minutes.",
+    "She asked for permission to use the kitchen free of charge.",
+    "A bachelor of science degree from the university is required.",
+    "The domain of the function is public knowledge.",
+    "The restaurant renewed its license, version after version of the form.",
+    "Any person may obtain a copy of the timetable at the station.",
+    "The material was distributed in binary form in the exhibition.",
+    "The Mozilla browser and the Eclipse editor were compared in a public test.",
+    "Fishing licenses are available at the harbour office.",
 ]
 UNKNOWN = "unknown"
 COVER = 0.6
-LONGEST = max(len("".join(x if x.isascii() and x.isalnum() else " " for x in s.lower()).split()) for notices in NOTICES.values() for s in notices)
+RUN = 3  # words of a template that count as one when texts are compared with it
+
+
+def _plain_words(text: str) -> list[str]:
+    return "".join(x if x.isascii() and x.isalnum() else " " for x in text.lower()).split()
+
+
+def notices() -> dict[str, list[str]]:
+    """All notices of each family."""
+    out = {f: list(xs) for f, xs in GRANTS.items()}
+    for family, names in NAMES.items():
+        # names of some licences have no article
+        out[family] += [c.format(name).replace("the CC", "CC").replace("the GPLv2", "GPLv2") for name in names for c in CARRIERS]
+        out[family] += [f"SPDX-License-Identifier: {x}" for x in IDENTIFIERS[family]]
+    return dict(sorted(out.items()))
+
+
+def templates() -> list[tuple[str, list[str]]]:
+    """(family, words) of what a notice must cover: one carrier for each name, identifiers and grants."""
+    out = [(f, _plain_words(x)) for f, xs in GRANTS.items() for x in xs]
+    out += [(f, _plain_words(CARRIERS[0].format(name).replace("the CC", "CC").replace("the GPLv2", "GPLv2"))) for f, names in NAMES.items() for name in names]
+    return out + [(f, _plain_words(f"SPDX-License-Identifier: {x}")) for f, xs in IDENTIFIERS.items() for x in xs]
+
+
+LONGEST = max(len(w) for _, w in templates())
 FREQUENT = 0.002  # share of plain paragraphs that a feature word may occur in
 
 
@@ -106,8 +186,22 @@ def line_words(text: Column) -> Column:
 
 def ngrams(words: Column) -> Column:
     """Distinct words and pairs of neighbours."""
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(words, pairs))
+
+    def make(w: Column) -> Column:
+        pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(w, pairs))
+
+    return _once(words, make)
+
+
+def runs(words: Column) -> Column:
+    """Distinct runs of ``RUN`` words, or the whole of fewer."""
+
+    def make(w: Column) -> Column:
+        long_ = F.transform(F.sequence(F.lit(1), F.size(w) - (RUN - 1)), lambda i: F.concat_ws(" ", F.slice(w, i, RUN)))
+        return F.array_distinct(F.when(F.size(w) >= RUN, long_).otherwise(F.array(F.concat_ws(" ", w))))
+
+    return _once(words, make)
 
 
 @dataclass(frozen=True)
@@ -116,65 +210,122 @@ class Classifier:
     weights: DataFrame  # gram string, w array<double>: at most a few thousand rows
     bias: list[float]
     vocabulary: list[str]  # the words of the grams
+    temperature: float
+    offset: float  # of the class "unknown"
     floor: float
 
 
+def _variants(text: str) -> list[str]:
+    w = text.split()
+    cuts = {(0, len(w))} | ({(0, len(w) * 3 // 4), (len(w) // 4, len(w))} if len(w) > 12 else set())
+    return [before + " ".join(w[a:b]) for a, b in sorted(cuts) for before in ("", "Copyright (c) 2020 The Authors. ")]
+
+
+def _known(spark: SparkSession) -> DataFrame:
+    """(guess, templates): the templates of each family as runs of words."""
+    rows = spark.createDataFrame(templates(), "guess string, words array<string>").select("guess", runs(F.col("words")).alias("runs"))
+    return rows.groupBy("guess").agg(F.collect_list("runs").alias("templates"))
+
+
+def _once(x: Column, use) -> Column:
+    """use(x) with x evaluated once, also inside functions over arrays: there a column would be computed for each element."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _cover(templates_: Column, line: Column) -> Column:
+    return _once(runs(line_words(line)), lambda own: F.array_max(F.transform(templates_, lambda t: F.size(F.array_intersect(t, own)) / F.size(t))))
+
+
 def _examples(spark: SparkSession, docs: DataFrame, most_plain: int) -> DataFrame:
-    own = [(family, s) for family, notices in NOTICES.items() for s in notices] + [(UNKNOWN, s) for s in NEAR_MISSES]
-    rows = []
-    for family, s in own:
-        w = s.split()
-        for cut_ in {(0, len(w)), (0, max(4, len(w) * 3 // 4)), (len(w) // 4, len(w))} if family != UNKNOWN and len(w) > 12 else {(0, len(w))}:
-            rows += [(family, " ".join(w[cut_[0] : cut_[1]]), k) for k in range(4)]
-    near = spark.createDataFrame(rows, "family string, line string, part int")
+    """(family, line, part, plain): a notice and its variants are of one part; part 0 is held out."""
+    rows = [(family, x, i % 4, False) for family, own in notices().items() for i, s in enumerate(own) for x in _variants(s)]
+    rows += [(UNKNOWN, x, i % 4, False) for i, x in enumerate(NEAR_MISSES)]
+    near = spark.createDataFrame(rows, "family string, line string, part int, plain boolean")
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_plain // 4)
-    lines = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select(F.explode(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 4)).alias("line")).where("line <> ''")
-    known = [w for s in NOTICES.values() for x in s for w in ("licen", "copyright", "spdx") if w in x.lower()]
-    lines = lines.where(~F.lower("line").rlike("|".join(sorted(set(known))))).dropDuplicates(["line"])
-    return near.unionByName(lines.select(F.lit(UNKNOWN).alias("family"), "line", F.pmod(F.xxhash64("line"), F.lit(4)).cast("int").alias("part")))
+    lines = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where("line <> ''").dropDuplicates(["line"])
+    lines = lines.orderBy(F.xxhash64("line"), "line").limit(most_plain)
+    every = _known(spark).agg(F.flatten(F.collect_list("templates")).alias("templates"))
+    lines = lines.crossJoin(F.broadcast(every)).where(_cover(F.col("templates"), F.col("line")) < COVER)  # one row on the other side
+    return near.unionByName(lines.select(F.lit(UNKNOWN).alias("family"), "line", F.pmod(F.xxhash64("line"), F.lit(4)).cast("int").alias("part"), F.lit(True).alias("plain")))
 
 
-def fit(docs: DataFrame, most_plain: int = 2_000, penalty: float = 1e-3) -> Classifier:
+def _calibrate(rows: list[tuple[int, list[float]]]) -> tuple[float, float]:
+    """(temperature, offset of class 0) that give the held-out rows (class, scores) the least log loss, each class counting alike."""
+    share = {k: 1 / sum(c == k for c, _ in rows) for k in {c for c, _ in rows}}
+
+    def loss(t: float, b: float) -> float:
+        total = 0.0
+        for k, z in rows:
+            own = [(x + (b if i == 0 else 0)) / t for i, x in enumerate(z)]
+            top = max(own)
+            total += share[k] * (top + log(sum(exp(x - top) for x in own)) - own[k])
+        return total
+
+    best = (1.0, 0.0)
+    for width in (4.0, 1.0, 0.25):  # a grid around the best point so far, then a finer one
+        t0, b0 = best
+        best = min(((t0 * 2 ** (i * width / 4), b0 + j * width / 2) for i in range(-3, 4) for j in range(-3, 4)), key=lambda x: loss(*x))
+    return best
+
+
+def _train(data: DataFrame, grams: list[str], families: list[str], words: list[str], penalty: float) -> Classifier:
     from pyspark.ml.classification import LogisticRegression
+
+    spark = data.sparkSession
+    model = LogisticRegression(family="multinomial", weightCol="weight", regParam=penalty, elasticNetParam=0.3, maxIter=60, standardization=False).fit(data.select("features", "label", "weight"))
+    matrix = model.coefficientMatrix.toArray()
+    pairs = [(g, [float(x) for x in matrix[:, i]]) for i, g in enumerate(grams) if abs(matrix[:, i]).max() > 1e-9]
+    weights = spark.createDataFrame(pairs, "gram string, w array<double>")
+    vocabulary = sorted({w for g, _ in pairs for w in g.split(" ")} & set(words))
+    return Classifier(families, weights, [float(x) for x in model.interceptVector], vocabulary, 1.0, 0.0, 0.0)
+
+
+def fit(docs: DataFrame, most_plain: int = 2_000, penalty: float = 1e-3, refit: bool = True) -> Classifier:
+    """Train on three quarters of the examples and calibrate on the others; then, with ``refit``, train on all of them."""
     from pyspark.ml.feature import CountVectorizer
 
     spark = docs.sparkSession
-    families = [UNKNOWN, *NOTICES]
-    rows = cut(spark, _examples(spark, docs, most_plain).withColumn("w", line_words(F.col("line"))).withColumn("grams", ngrams(F.col("w"))), "examples")
-    plain = rows.where((F.col("family") == UNKNOWN) & ~F.col("line").isin(NEAR_MISSES))
+    families = [UNKNOWN, *notices()]
+    examples = _examples(spark, docs, most_plain).withColumn("w", line_words(F.col("line"))).withColumn("grams", ngrams(F.col("w")))
+    rows = cut(spark, examples.coalesce(1), "examples")  # a few thousand rows: ``most_plain`` and the notices
+    plain = rows.where("plain")
     n_plain = plain.count()
-    often = [r.word for r in plain.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").count().where(F.col("count") > max(1, FREQUENT * n_plain)).orderBy(F.desc("count"), "word").limit(20_000).collect()]
-    named = rows.where(F.col("family") != UNKNOWN).select(F.explode("w").alias("word")).distinct()
-    words = sorted(r.word for r in named.collect() if r.word not in set(often))
+    # at most 1 / FREQUENT times the mean number of words of a paragraph
+    often = {r.word for r in plain.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").count().where(F.col("count") > max(1, FREQUENT * n_plain)).collect()}
+    words = sorted({w for own in notices().values() for x in own for y in _variants(x) for w in _plain_words(y)} - often)
     keep = F.array(*map(F.lit, words))
-    # a gram is a feature if all its words are feature words or one of them is and the other one is a number or a short function word
+    # a gram is a feature if one of its words is a feature word
     rows = rows.withColumn("grams", F.filter("grams", lambda g: F.arrays_overlap(F.split(g, " "), keep)))
     rows = rows.withColumn("label", F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1)
     vector = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 13, minDF=1.0).fit(rows.where("family <> 'unknown'"))
     data = vector.transform(rows).withColumn("weight", F.when(F.col("family") == UNKNOWN, 1.0).otherwise(3.0))
-    model = LogisticRegression(family="multinomial", weightCol="weight", regParam=penalty, elasticNetParam=0.3, maxIter=60, standardization=False).fit(data.where("part <> 0").select("features", "label", "weight"))
-    matrix = model.coefficientMatrix.toArray()
-    pairs = [(g, [float(x) for x in matrix[:, i]]) for i, g in enumerate(vector.vocabulary) if abs(matrix[:, i]).max() > 1e-9]
-    weights = spark.createDataFrame(pairs, "gram string, w array<double>")
-    vocabulary = sorted({w for g, _ in pairs for w in g.split(" ")} & set(words))
-    half = Classifier(families, weights, [float(x) for x in model.interceptVector], vocabulary, 0.0)
-    held = _scored(rows.where("part = 0").select(F.monotonically_increasing_id().alias("row"), "family", "line"), half)
-    wrong = sorted((r.p for r in held.where("family = 'unknown'").select("p").collect()), reverse=True)
-    floor = max(0.5, wrong[len(wrong) // 100] if wrong else 0.5)
-    return Classifier(families, weights, half.bias, vocabulary, min(floor, 0.95))
+    half = _train(data.where("part <> 0"), vector.vocabulary, families, words, penalty)
+    held = cut(spark, rows.where("part = 0").select(F.monotonically_increasing_id().alias("row"), "family", "line", "plain", F.col("label").cast("int").alias("label")), "held")
+    scores = _logits(held, half).select("label", "z").collect()  # about a quarter of the examples
+    temperature, offset = _calibrate([(r.label, list(r.z)) for r in scores])
+    half = replace(half, temperature=temperature, offset=offset)
+    wrong = sorted((r.p for r in _scored(held.where("plain"), half).select("p").collect()), reverse=True)
+    floor = max(0.5, wrong[len(wrong) // 100] + 1e-9 if wrong else 0.5)
+    whole = _train(data, vector.vocabulary, families, words, penalty) if refit else half
+    return replace(whole, temperature=temperature, offset=offset, floor=floor)
+
+
+def _logits(lines: DataFrame, c: Classifier) -> DataFrame:
+    """lines (row, ..., line) with the scores of all families as z."""
+    grams = lines.select("row", F.explode(ngrams(line_words(F.col("line")))).alias("gram")).join(F.broadcast(c.weights), "gram")
+    sums = grams.groupBy("row").agg(*(F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(c.families))))
+    z = F.array(*((F.coalesce(F.col(f"z{k}"), F.lit(0.0)) + c.bias[k] + (c.offset if k == 0 else 0.0)) / c.temperature for k in range(len(c.families))))
+    return lines.join(sums, "row", "left").select(*lines.columns, z.alias("z"))
 
 
 def _scored(lines: DataFrame, c: Classifier) -> DataFrame:
     """lines (row, ..., line) with best family other than unknown and its probability p."""
-    grams = lines.select("row", F.explode(ngrams(line_words(F.col("line")))).alias("gram")).join(F.broadcast(c.weights), "gram")
-    sums = grams.groupBy("row").agg(*(F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(c.families))))
-    z = F.array(*(F.coalesce(F.col(f"z{k}"), F.lit(0.0)) + c.bias[k] for k in range(len(c.families))))
-    powers = F.transform(z, lambda x: F.exp(F.least(x, F.lit(60.0))))
-    ranked = F.transform(powers, lambda x, k: F.struct(F.when(k > 0, x).alias("p"), (-k).alias("k")))
-    best = F.struct((F.array_max(ranked)["p"] / F.aggregate(powers, F.lit(0.0), lambda t, x: t + x)).alias("p"), F.array_max(ranked)["k"].alias("k"))
+    powers = F.transform("z", lambda x: F.exp(x - F.array_max("z")))
+    ranked = F.transform("powers", lambda x, k: F.struct(F.when(k > 0, x).alias("p"), (-k).alias("k")))
+    scored = _logits(lines, c).withColumn("powers", powers)
+    best = F.struct((F.array_max(ranked)["p"] / F.aggregate("powers", F.lit(0.0), lambda t, x: t + x)).alias("p"), F.array_max(ranked)["k"].alias("k"))
     named = F.array(*map(F.lit, c.families))
-    scored = lines.join(sums, "row", "left").withColumn("best", best)
-    return scored.select(*lines.columns, F.get(named, -F.col("best.k")).alias("guess"), F.col("best.p").alias("p"))
+    return scored.withColumn("best", best).select(*lines.columns, F.get(named, -F.col("best.k")).alias("guess"), F.col("best.p").alias("p"))
 
 
 def _near(lines: Column, at: Column, keep: Column) -> Column:
@@ -211,7 +362,7 @@ def _windows(lines: DataFrame, known: Column) -> DataFrame:
     tail = F.slice(first["w"], -F.least(F.size(first["w"]), F.lit(LONGEST)), F.lit(LONGEST))
     words = F.concat(tail, F.flatten(F.transform(inside(F.col("j")), lambda x: x.w)), F.slice(last["w"], 1, LONGEST))
     rows = rows.select(F.struct("doc_row", first["at"].alias("first"), last["at"].alias("last")).alias("row"), words.alias("w"))
-    covered = F.exists(known, lambda t: F.size(F.array_intersect(t, F.col("w"))) >= COVER * F.size(t))
+    covered = _once(F.array_distinct("w"), lambda w: F.exists(known, lambda t: F.size(F.array_intersect(t, w)) >= COVER * F.size(t)))
     return rows.where(covered).select("row", F.concat_ws(" ", "w").alias("line"))
 
 
@@ -234,17 +385,14 @@ def scan(docs: DataFrame, c: Classifier, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.size(F.array_remove(lines, "")).cast("long").alias("n_paragraphs"), found.alias("found"))
     rows = cut(spark, rows, "paragraphs")
     lines_ = rows.where(F.size("found") > 0).select(F.col("row").alias("doc_row"), F.inline("found"))
-    templates = [(family, sorted({w for w in "".join(x if x.isascii() and x.isalnum() else " " for x in s.lower()).split()})) for family, s_ in NOTICES.items() for s in s_]
-    known = spark.createDataFrame(templates, "guess string, words array<string>").groupBy("guess").agg(F.collect_list("words").alias("templates"))
-    own = line_words(F.col("line"))
-    cover = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, own)) / F.size(t)))
+    known = _known(spark)
 
     def named(texts: DataFrame) -> DataFrame:
-        return _scored(texts, c).where(F.col("p") >= c.floor).join(F.broadcast(known), "guess").withColumn("confirmed", cover >= COVER)
+        return _scored(texts, c).where(F.col("p") >= c.floor).join(F.broadcast(known), "guess").withColumn("confirmed", _cover(F.col("templates"), F.col("line")) >= COVER)
 
     single = named(lines_.select("doc_row", "at", "line").withColumn("row", F.struct("doc_row", "at")))
     single = cut(spark, single.select(F.col("doc_row").alias("row"), "at", F.col("guess").alias("family"), "p", "confirmed"), "named")
-    wide = cut(spark, _windows(lines_, F.array(*(F.array(*map(F.lit, w)) for _, w in templates))), "windows")
+    wide = cut(spark, _windows(lines_, F.array(*(F.array(*map(F.lit, sorted(set(w)))) for _, w in templates()))), "windows")
     wide = named(wide).where("confirmed").select("row.doc_row", "row.first", "row.last", F.col("guess").alias("family"), "p")
     sure = single.where("confirmed").select(F.col("row").alias("doc_row"), "at", "family")
     wide = wide.join(sure, (wide["doc_row"] == sure["doc_row"]) & (wide["family"] == sure["family"]) & sure["at"].between(wide["first"], wide["last"]), "left_anti")

@@ -1,7 +1,9 @@
 """Archives, rollups and licences."""
 
 import json
+import math
 import random
+import re
 
 import pytest
 
@@ -188,9 +190,76 @@ def test_revisions(spark):
 # ---------------------------------------------------------------- licences
 
 
-def test_licences(spark, sf):
-    corpus = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    c = licenses.fit(corpus)
+def plain_scan(text, c, weights):
+    """Lines that the classifier names, one by one: (line number, family, confirmed)."""
+    out = []
+    for at, line in enumerate((text or "").split("\n")):
+        w = licenses._plain_words(line)
+        grams = set(w) | {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+        z = [(b + sum(weights[g][k] for g in grams if g in weights) + (c.offset if k == 0 else 0)) / c.temperature for k, b in enumerate(c.bias)]
+        total = sum(math.exp(x - max(z)) for x in z)
+        k = max(range(1, len(z)), key=lambda i: (z[i], -i))
+        if math.exp(z[k] - max(z)) / total >= c.floor and set(w) & set(c.vocabulary):
+            cover = 0
+            own = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or {tuple(w)}
+            for family, t in licenses.templates():
+                if family == c.families[k]:
+                    runs = {tuple(t[i : i + 3]) for i in range(len(t) - 2)} or {tuple(t)}
+                    cover = max(cover, len(own & runs) / len(runs))
+            out.append((at, c.families[k], cover >= licenses.COVER))
+    return out
+
+
+@pytest.fixture(scope="module")
+def classifier(spark, sf):
+    return licenses.fit(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+
+
+def test_single_lines_agree_with_a_plain_scan(spark, sf, classifier):
+    weights = {r.gram: list(r.w) for r in classifier.weights.collect()}
+    corpus = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    lines = [x for own in licenses.notices().values() for x in own] + licenses.NEAR_MISSES
+    texts = corpus + [(10_000 + i, x) for i, x in enumerate(lines)]
+    base, found = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"), classifier)
+    got = {}
+    for r in found.join(base, "row").collect():
+        got.setdefault(r.doc_id, []).append((r.at, r.family, r.confirmed))
+    want = {i: own for i, t in texts if (own := plain_scan(t, classifier, weights))}
+    assert {i: sorted(x) for i, x in got.items()} == want
+    planted = {i for i, t in corpus if re.search("MIT License|Apache License|General Public License|CC BY-NC|All rights reserved", t or "")}
+    assert planted == {i for i, own in want.items() if i < 10_000 and any(ok for _, _, ok in own)}
+
+
+def test_held_out_notices_are_named(spark, sf):
+    classifier = licenses.fit(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), refit=False)
+    rows = [(f, x) for f, own in licenses.notices().items() for i, x in enumerate(own) if i % 4 == 0]  # no form of these was learnt from
+    base, found = licenses.scan(spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows)], "doc_id long, text string"), classifier)
+    named = {r.doc_id: r.family for r in found.join(base, "row").collect()}
+    right = sum(named.get(i) == f for i, (f, _) in enumerate(rows))
+    assert right / len(rows) > 0.8 and sum(f != named[i] for i, (f, _) in enumerate(rows) if i in named) / len(rows) < 0.1
+    assert 0.05 < classifier.temperature < 20 and 0.5 <= classifier.floor < 1
+
+
+def test_families_are_told_apart(spark, classifier):
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files (the Software)"
+    texts = {
+        "He got his driving license under the Apache tribe version 2.0": None,
+        mit: "mit",
+        "Licensed under the GNU Lesser General Public License, version 2.1.": "lgpl",
+        "Licensed under CC BY-SA 4.0.": "cc-by-sa",
+        "Licensed under CC BY 4.0.": "cc-by",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "Made available under the Eclipse Public License 2.0.": "epl-2.0",
+        "Copyright 2021 Some Company. All rights reserved.": "proprietary",
+    }
+    base, found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), classifier)
+    got = {r.doc_id: r.family for r in found.where("confirmed").join(base, "row").collect()}
+    assert got == {i: f for i, f in enumerate(texts.values()) if f}
+
+
+def test_licences(spark, classifier):
+    c = classifier
     texts = [
         (1, "Intro.\nReleased under the MIT License.\nThe end."),
         (2, "This work is licensed under the GNU General Public License, version 3."),
@@ -210,8 +279,8 @@ def test_licences(spark, sf):
     assert none[0].count() == 0 and none[1].count() == 0
 
 
-def test_wrapped_licences(spark, sf):
-    c = licenses.fit(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+def test_wrapped_licences(spark, classifier):
+    c = classifier
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
     apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."
