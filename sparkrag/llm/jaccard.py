@@ -55,10 +55,10 @@ SMALL = 128
 WIDE = 4
 SKETCH_BITS = 4096
 #: What one task solves: clusters of at most so many shingles (8 MB) and so many classes.
-CLUSTER_ITEMS, CLUSTER_CLASSES = 1_000_000, 1024
+CLUSTER_ITEMS, CLUSTER_CLASSES = 1_000_000, 4096
 #: How many of its nearest classes a class is compared with in each round: first among the leaders of its group, ...
 ROUNDS = ("leaders", 8, None)  # ... in the last one, with all that remain
-BLOCK = 256  # members of a group that one step takes from either side
+BLOCK = 2048  # members of a group that one step takes from either side
 LEADERS = 16  # members of a larger group, on average, that all its blocks are compared with first
 MOST_SENT = 200_000  # classes in clusters whose names (24 bytes each) are broadcast rather than joined by a shuffle of texts
 FLUSH = 1 << 19  # keys that a task holds before it packs them
