@@ -100,6 +100,34 @@ def bpe_offsets(path: str):
     return make
 
 
+def tiktoken_offsets(path: str, pattern: str):
+    """Token ends by a file of ranks (base64 token and rank a line) and the pattern that cuts texts first.
+
+    A token can end inside a character; the character then counts to the token that completes it.
+    """
+
+    def make():
+        import base64
+
+        import tiktoken
+
+        with open(path, encoding="ascii") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, f)}
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        sizes = {i: sum((b & 0xC0) != 0x80 for b in token) for token, i in ranks.items()}  # characters that begin in it
+
+        def ends(text: str) -> list[int]:
+            ids, out, at = encoding.encode_ordinary(text), [], 0
+            for i in ids:
+                at += sizes[i]
+                out.append(at)
+            return out
+
+        return ends
+
+    return make
+
+
 def sentence_chunks(docs: DataFrame, max_chars: int = 1000, source_id: str = "source_id", content: str = "content") -> DataFrame:
     """Whole sentences packed greedily into chunks of at most ``max_chars`` characters (a longer sentence is one chunk)."""
     parts = F.regexp_extract_all(F.col(content), F.lit(r"(?s).+?(?:[.!?\n]+\s*|$)"), F.lit(0))

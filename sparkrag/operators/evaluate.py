@@ -37,10 +37,11 @@ class MetricRegistry:
             k = int(m[2])
         return base, k
 
-    def get(self, name: str, k: int | None = None) -> Callable[[Column, Column], Column]:
+    def get(self, name: str, k: int | None = None, **more) -> Callable[[Column, Column], Column]:
+        """The expression of a metric; ``more`` is passed on to its builder."""
         base, k = self.parse(name, k)
         builder = self.builders[base][1]
-        return lambda got, relevant: builder(got, relevant, 5 if k is None else k)
+        return lambda got, relevant: builder(got, relevant, 5 if k is None else k, **more)
 
     def names(self, category: str | None = None) -> list[str]:
         return sorted(n for n, (c, _) in self.builders.items() if category in (None, c))
@@ -83,7 +84,8 @@ def case_metrics(cases: DataFrame, ks: list[int] | None = None, names: list[str]
     for name in names or registry.names("retrieval"):
         base, own = registry.parse(name)
         wanted = [None] if base in WITHOUT_K else [own] if own else resolve_ks(ks, (parameters or {}).get(base))
-        pairs += [F.struct(F.lit(base if k is None else f"{base}@{k}").alias("metric"), registry.get(base, k or 5)(F.col("got"), F.col("relevant")).alias("value")) for k in wanted]
+        more = {x: v for x, v in (parameters or {}).get(base, {}).items() if x not in ("k", "ks")}
+        pairs += [F.struct(F.lit(base if k is None else f"{base}@{k}").alias("metric"), registry.get(base, k or 5, **more)(F.col("got"), F.col("relevant")).alias("value")) for k in wanted]
     return cases.select(case, F.inline(F.array(*pairs)))
 
 

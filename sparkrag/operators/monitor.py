@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 import time
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from contextlib import ExitStack, contextmanager
+from dataclasses import replace
 from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import StreamingMetricsConfig
+
 # Names of the stages of a pipeline.
 STAGES = ("parsing", "chunking", "qa_generation", "indexing", "retrieval", "generation")
 
@@ -79,6 +82,43 @@ class Monitors:
         return self._stack.__exit__(*why)
 
 
+class QueueMonitor:
+    """Samples of a queue's size, the last ``max_samples`` of them."""
+
+    def __init__(self, maxsize: int, config: StreamingMetricsConfig | None = None):
+        self.maxsize, self.config, self.sizes = maxsize, config or StreamingMetricsConfig(), deque()
+
+    def configure(self, **changes) -> QueueMonitor:
+        """Change settings, which are checked as in a profile; samples that no longer fit are dropped."""
+        self.config = replace(self.config, **changes)
+        while len(self.sizes) > self.config.max_samples:
+            self.sizes.popleft()
+        return self
+
+    def record(self, size: int) -> None:
+        if self.config.enabled:
+            self.sizes.append(size)
+            self.configure()
+
+    def summary(self) -> dict[str, float]:
+        if not self.sizes:
+            return {}
+        n = len(self.sizes)
+        high = sum(x > self.maxsize * self.config.backpressure_threshold for x in self.sizes)
+        return {"total_samples": n, "avg_queue_size": sum(self.sizes) / n, "max_queue_size": max(self.sizes), "min_queue_size": min(self.sizes), "backpressure_events": high}
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *why) -> None:
+        pass
+
+
+def combined_summary(stages: StageTimer | None = None, queue: QueueMonitor | None = None) -> dict[str, dict]:
+    """What is known of a run: "monitoring" by stage and "streaming" of the queue, each only if it is there."""
+    return {k: x.summary() for k, x in (("monitoring", stages), ("streaming", queue)) if x is not None}
+
+
 def _stamp(when: datetime | None) -> str:
     when = when or datetime.now(UTC)
     return (when if when.tzinfo else when.replace(tzinfo=UTC)).astimezone(UTC).strftime("%Y%m%dT%H%M%SZ")

@@ -10,7 +10,7 @@ A table is an immutable DataFrame; changes give a new one. Two ways of scoring g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,11 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from ..errors import VectorIndexError
-from ..functions.vectors import EPSILON, METRICS, similarity
+from ..functions.vectors import EPSILON, METRICS, norm, similarity
+from ..registry import Registry
 
 MOST_QUERY_BYTES = 64 << 20
+MOST_TOKENS = 1_000_000  # distinct query tokens that are broadcast to the words of the corpus; more meet them in a shuffle
+RANGES = 256  # into which eviction cuts the order of its rows
 DIGITS = 9  # scores are rounded before they are ranked, so that ties don't depend on the order of additions
 
 
@@ -59,26 +65,48 @@ class VectorTable:
         self.df, self.dim, self.metric, self.node_id, self.vector = df, dim, metric, node_id, vector
         self.max_nodes, self.eviction, self.order = max_nodes, eviction, order or node_id
 
+    @classmethod
+    def from_config(cls, config, df: DataFrame, **options) -> VectorTable:
+        """The table that a profile's ``index`` section asks for; only "memory" has an implementation."""
+        return INDEXES.create(config.backend, df, config, **options)
+
     def _new(self, df: DataFrame) -> VectorTable:
         return VectorTable(df, self.dim, self.metric, self.node_id, self.vector, self.max_nodes, self.eviction, self.order)
 
     def checked(self) -> DataFrame:
         """The rows; their evaluation fails at a vector of another length."""
-        bad = F.raise_error(F.concat(F.lit(f"expected {self.dim} dimensions, got "), F.size(self.vector).cast("string")))
+        bad = F.raise_error(F.concat(F.lit(f"expected {self.dim} dimensions, got "), F.coalesce(F.size(self.vector).cast("string"), F.lit("none"))))
         return self.df.withColumn(self.vector, F.when(F.size(self.vector) == self.dim, F.col(self.vector)).otherwise(bad.cast(self.df.schema[self.vector].dataType)))
 
-    def add(self, nodes: DataFrame) -> VectorTable:
-        """Append nodes, then evict down to ``max_nodes``; ids that are present are an error."""
-        clash = nodes.join(self.df.select(self.node_id), self.node_id, "left_semi")
-        if not clash.isEmpty():
-            raise VectorIndexError("ids are in the table already; delete them first")
+    def add(self, nodes: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> VectorTable:
+        """Append nodes, then evict down to ``max_nodes``.
+
+        No nodes change nothing. Nodes without a vector get one from ``embed`` (a function of a DataFrame without that column,
+        such as ``plans.models.embed_column`` with its model given); without ``embed`` they are an error when rows are read,
+        as are vectors of another length. Ids that are present, or come twice, are an error at once.
+        """
+        if nodes.isEmpty():
+            return self
+        if self.vector not in nodes.columns:
+            nodes = nodes.withColumn(self.vector, F.lit(None).cast(self.df.schema[self.vector].dataType))
+        clash = nodes.join(self.df.select(self.node_id), self.node_id, "left_semi").select(self.node_id)
+        twice = nodes.groupBy(self.node_id).count().where("count > 1").select(self.node_id)
+        if not clash.unionByName(twice).isEmpty():
+            raise VectorIndexError("ids come twice or are in the table already; delete them first")
+        if embed is not None:
+            made = embed(nodes.where(F.col(self.vector).isNull()).drop(self.vector))
+            nodes = nodes.where(F.col(self.vector).isNotNull()).unionByName(made, allowMissingColumns=True)
+        nodes = self._new(nodes).checked()
         grown = self._new(self.df.unionByName(nodes, allowMissingColumns=True))
         return grown.evict() if self.max_nodes else grown
 
     def search(self, queries: DataFrame, k: int = 10, filters: dict[str, object] | None = None, query_vector: str = "query_vector") -> DataFrame:
-        """query_id, node_id, score, rank for a batch of few queries (columns query_id and query_vector)."""
+        """query_id, node_id, score, rank for a batch of few queries (columns query_id and query_vector); more than
+        ``MOST_QUERY_BYTES`` of them go the way of ``search_blocks``."""
+        if queries.count() * self.dim * 8 > MOST_QUERY_BYTES:
+            return self.search_blocks(queries, k, filters, query_vector)
         nodes = where_equal(self.df, filters).select(F.col(self.node_id).alias("node_id"), F.col(self.vector).alias("_v"))
-        # few by contract: the nested loop sends the queries, not the table
+        # the nested loop sends the queries, not the table
         pairs = nodes.join(F.broadcast(queries.select("query_id", F.col(query_vector).alias("_q"))))
         scored = pairs.select("query_id", "node_id", F.round(similarity(self.metric, F.col("_v"), F.col("_q")), DIGITS).alias("score"))
         return ranked(scored, k)
@@ -92,16 +120,19 @@ class VectorTable:
         found = reduce(DataFrame.unionByName, (self._block(nodes, part, k, kind, id_kind, query_vector) for part in parts))
         return ranked(found, k)
 
-    def _block(self, nodes: DataFrame, queries: DataFrame, k: int, kind: str, id_kind: str, query_vector: str) -> DataFrame:
+    def _block(self, nodes: DataFrame, queries: DataFrame, k: int | None, kind: str, id_kind: str, query_vector: str) -> DataFrame:
+        """The k best of each task a query; without k, its least and greatest score and, as node_id, the number of nodes."""
         rows = queries.select("query_id", F.col(query_vector).cast("array<double>")).collect()  # bounded by MOST_QUERY_BYTES
         ids, q = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
         if len(rows) and q.shape[1] != self.dim:
             raise VectorIndexError(f"expected {self.dim} dimensions, got {q.shape[1]}")
         metric, shared = self.metric, nodes.sparkSession.sparkContext.broadcast((ids, q))
+        plain = pa.schema([("query_id", to_arrow_type(_parse_datatype_string(id_kind))), ("node_id", to_arrow_type(_parse_datatype_string(kind))), ("score", pa.float64()), *([("high", pa.float64())] if k is None else [])])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
             best: list[tuple[np.ndarray, np.ndarray]] | None = None
+            low, high, seen = np.full(len(names), np.inf), np.full(len(names), -np.inf), 0
             for batch in batches:
                 if not batch.num_rows or not len(names):
                     continue
@@ -114,20 +145,60 @@ class VectorTable:
                     if metric == "cosine":
                         s /= np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None] + EPSILON
                 s = np.round(s, DIGITS)
+                if k is None:
+                    low, high, seen = np.minimum(low, s.min(1)), np.maximum(high, s.max(1)), seen + batch.num_rows
+                    continue
                 kept = []
                 for i in range(len(names)):
                     score, own = (s[i], node) if best is None else (np.concatenate([best[i][0], s[i]]), np.concatenate([best[i][1], node]))
                     if len(score) > k:
                         edge = np.partition(score, len(score) - k)[len(score) - k]
                         at = np.flatnonzero(score >= edge)  # with all ties, which the ids decide
-                        at = np.array(sorted(at.tolist(), key=lambda j: (-score[j], own[j]))[:k])
+                        at = at[np.lexsort((own[at], -score[at]))][:k]
                         score, own = score[at], own[at]
                     kept.append((score, own))
                 best = kept
             for name, (score, own) in zip(names, best or [], strict=False):
-                yield pa.RecordBatch.from_pylist([{"query_id": name, "node_id": o, "score": float(x)} for x, o in zip(score, own, strict=True)], schema=pa.schema([("query_id", _arrow(id_kind)), ("node_id", _arrow(kind)), ("score", pa.float64())]))
+                yield pa.RecordBatch.from_pylist([{"query_id": name, "node_id": o, "score": float(x)} for x, o in zip(score, own, strict=True)], schema=plain)
+            if k is None and seen:
+                yield pa.record_batch([pa.array(names, plain[0].type), pa.array([seen] * len(names), pa.int64()), pa.array(low), pa.array(high)], schema=plain)
+
+        return nodes.mapInArrow(run, f"query_id {id_kind}, node_id {kind}, score double" + (", high double" if k is None else ""))
 
-        return nodes.mapInArrow(run, f"query_id {id_kind}, node_id {kind}, score double")
+    def search_hybrid(self, queries: DataFrame, sparse: DataFrame, alpha: float, k: int = 10, filters: dict[str, object] | None = None, query_vector: str = "query_vector") -> DataFrame:
+        """alpha * dense + (1 - alpha) * sparse, each scaled to 0..1 over all nodes of a query; sparse: query_id, node_id, score.
+
+        Nodes without sparse score have the same one, 0, so that their fused scores follow the dense ones. So the first k are
+        among the k best by the dense score and the nodes of ``sparse`` (and, where ``alpha`` is 0 and ids decide, the k least
+        ids beside those): only they, with the extremes of the dense scores, leave the scan.
+        """
+        wanted = sparse.select("query_id", "node_id")
+        if alpha == 0:
+            most = sparse.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+            least = where_equal(self.df, filters).select(F.col(self.node_id).alias("node_id")).orderBy("node_id").limit(k + most)
+            wanted = wanted.unionByName(queries.select("query_id").crossJoin(least))
+        dense = self.score_blocks(queries, k, wanted, filters, query_vector)
+        return fuse(dense, sparse, alpha, k)
+
+    def score_blocks(self, queries: DataFrame, k: int, wanted: DataFrame, filters: dict[str, object] | None = None, query_vector: str = "query_vector") -> DataFrame:
+        """query_id, node_id, dense, lo, hi, n: the k best nodes of each query and those that ``wanted`` (query_id, node_id)
+        names, with the least and the greatest score and the number of all nodes of the query."""
+        nodes = where_equal(self.df, filters)
+        best = self.search_blocks(queries, k, filters, query_vector).select("query_id", "node_id", F.col("score").alias("dense"))
+        asked = queries.select("query_id", F.col(query_vector).alias("_q"))
+        named = wanted.select("query_id", "node_id").distinct().join(asked, "query_id").join(nodes.select(F.col(self.node_id).alias("node_id"), F.col(self.vector).alias("_v")), "node_id")
+        named = named.select("query_id", "node_id", F.round(similarity(self.metric, F.col("_v"), F.col("_q")), DIGITS).alias("dense"))
+        worst = VectorTable(self.df, self.dim, self.metric, self.node_id, self.vector)._extremes(nodes, queries, query_vector)
+        return best.unionByName(named).distinct().join(worst, "query_id")
+
+    def _extremes(self, nodes: DataFrame, queries: DataFrame, query_vector: str) -> DataFrame:
+        """query_id, lo, hi, n over all nodes: each task sends one row a query."""
+        table = nodes.select(F.col(self.node_id).alias("node_id"), F.col(self.vector).cast("array<double>").alias("v"))
+        id_kind = queries.schema["query_id"].dataType.simpleString()
+        size = max(1, queries.count() * self.dim * 8 // MOST_QUERY_BYTES + 1)
+        parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(size)) == i) for i in range(size)]
+        found = reduce(DataFrame.unionByName, (self._block(table, part, None, "bigint", id_kind, query_vector) for part in parts))
+        return found.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("high").alias("hi"), F.sum("node_id").alias("n"))
 
     def search_page(self, queries: DataFrame, cursor: Cursor, filters: dict[str, object] | None = None) -> tuple[DataFrame, Cursor]:
         """Rows of one page, and the next cursor, whose total is the table's size."""
@@ -146,8 +217,14 @@ class VectorTable:
     def exists(self, node_id: object) -> bool:
         return not self.df.where(F.col(self.node_id) == node_id).isEmpty()
 
-    def count(self) -> int:
-        return self.df.count()
+    def exist(self, ids: DataFrame) -> DataFrame:
+        """``ids`` with a column ``found``; the answer for a whole batch."""
+        known = self.df.select(self.node_id).distinct().withColumn("found", F.lit(True))
+        return ids.join(known, self.node_id, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+    def count(self, by: str | None = None) -> int | DataFrame:
+        """Number of rows; with ``by``, a table of the numbers by a column's values."""
+        return self.df.count() if by is None else self.df.groupBy(by).agg(F.count("*").alias("n"))
 
     def clear(self) -> VectorTable:
         return self._new(self.df.limit(0))
@@ -155,7 +232,9 @@ class VectorTable:
     def evict(self, accesses: DataFrame | None = None) -> VectorTable:
         """The ``max_nodes`` rows that stay: last accessed ("lru"; never counts as first) or last added ("fifo").
 
-        A cut-off is found by a distributed top-k on (time, order), not by ranking all rows in one task.
+        The cut-off on (time, order) is found by counting, not by sorting the rows that stay in one task: rows are counted by
+        time, the times that stay whole are summed up over a few thousand ranges, and only the range in which the limit falls
+        is looked at row by row.
         """
         if self.max_nodes is None:
             return self
@@ -165,30 +244,50 @@ class VectorTable:
             rows = rows.join(last, self.node_id, "left")
         else:
             rows = rows.withColumn("_at", F.lit(None).cast("timestamp"))
-        keep = rows.orderBy(F.desc_nulls_last("_at"), F.desc(self.order)).limit(self.max_nodes).select(self.node_id)
-        return self._new(self.df.join(keep, self.node_id, "left_semi"))
+        key = F.struct(F.coalesce(F.unix_micros(F.col("_at").cast("timestamp")), F.lit(-(1 << 62))).alias("t"), F.col(self.order).alias("o"))
+        rows = rows.select(self.node_id, key.alias("_key"))
+        if rows.count() <= self.max_nodes:
+            return self
+        # a sample of keys cuts the order into ranges; a limit within a range is found in that range alone
+        edges = sorted((r["_key"] for r in rows.select("_key").orderBy(F.xxhash64("_key")).limit(RANGES).collect()), key=lambda k: (k["t"], k["o"]), reverse=True)
+        place = F.lit(len(edges))
+        if edges:
+            kind = rows.schema["_key"].dataType
+            listed = rows.sparkSession.createDataFrame([([tuple(e) for e in edges],)], T.StructType([T.StructField("_edges", T.ArrayType(kind))]))
+            rows = rows.crossJoin(F.broadcast(listed))  # one row of at most RANGES keys
+            place = F.size(F.filter("_edges", lambda e: e > F.col("_key")))
+        placed = rows.withColumn("_range", place).drop("_edges")
+        before, limit = 0, None
+        for r in sorted(placed.groupBy("_range").count().collect(), key=lambda r: r["_range"]):  # at most RANGES + 1 rows
+            if before + r["count"] > self.max_nodes:
+                limit = r["_range"]
+                break
+            before += r["count"]
+        keep = placed.where(F.col("_range") < limit).select(self.node_id)
+        rest = placed.where(F.col("_range") == limit).orderBy(F.desc("_key")).limit(self.max_nodes - before).select(self.node_id)
+        return self._new(self.df.join(keep.unionByName(rest), self.node_id, "left_semi"))
 
     def save(self, path: str) -> None:
-        """Parquet, with vectors and each vector's norm."""
-        self.df.write.mode("overwrite").parquet(path)
+        """Parquet, with each vector's norm as column ``norm``."""
+        self.df.withColumn("norm", norm(F.col(self.vector))).write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, dim: int, **options) -> VectorTable:
         return cls(spark.read.parquet(path), dim, **options)
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
-
-
 def postings(nodes: DataFrame, node_id: str = "node_id", sparse: str = "sparse_vector") -> DataFrame:
     """Inverted index: token_id, node_id, weight."""
     return nodes.select(F.col(node_id).alias("node_id"), F.explode(sparse).alias("token_id", "weight"))
 
 
-def term_frequencies(nodes: DataFrame, node_id: str, content: str) -> DataFrame:
-    """postings of lower-cased words with their counts as weights."""
+def term_frequencies(nodes: DataFrame, node_id: str, content: str, only: DataFrame | None = None) -> DataFrame:
+    """postings of lower-cased words with their counts as weights; with ``only`` (token_id), of those words alone, which are
+    picked before anything is counted or shuffled (``MOST_TOKENS``)."""
     words = nodes.select(F.col(node_id).alias("node_id"), F.explode(F.regexp_extract_all(F.lower(content), F.lit(r"\S+"), F.lit(0))).alias("token_id"))
+    if only is not None:
+        tokens = only.select("token_id").distinct()
+        words = words.join(F.broadcast(tokens) if tokens.count() <= MOST_TOKENS else tokens, "token_id", "left_semi")
     return words.groupBy("token_id", "node_id").agg(F.count("*").cast("double").alias("weight"))
 
 
@@ -201,8 +300,26 @@ def sparse_scores(index: DataFrame, query_terms: DataFrame) -> DataFrame:
 def min_max(scores: DataFrame, column: str = "score", query: str = "query_id", out: str | None = None) -> DataFrame:
     """Scores scaled to 0..1 within each query; all ones where they hardly differ (by less than 1e-8)."""
     span = scores.groupBy(query).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    scaled = F.when(F.col("_hi") - F.col("_lo") < 1e-8, 1.0).otherwise((F.col(column) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)))
-    return scores.join(span, query).withColumn(out or column, scaled).drop("_lo", "_hi")
+    return scores.join(span, query).withColumn(out or column, scaled(F.col(column), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+
+
+def scaled(x: Column, low: Column, high: Column) -> Column:
+    return F.when(high - low < 1e-8, 1.0).otherwise((x - low) / F.nullif(high - low, F.lit(0.0)))
+
+
+def fuse(dense: DataFrame, sparse: DataFrame, alpha: float, k: int | None) -> DataFrame:
+    """Fusion from what ``VectorTable.score_blocks`` gives: dense scores with the extremes of their query, and sparse scores.
+
+    Nodes without a sparse score have 0, which counts in the extremes if any node lacks one.
+    """
+    own = sparse.groupBy("query_id").agg(F.min("score").alias("s_lo"), F.max("score").alias("s_hi"), F.count("*").alias("s_n"))
+    both = dense.join(sparse.select("query_id", "node_id", F.col("score").alias("sparse")), ["query_id", "node_id"], "left").join(own, "query_id", "left")
+    all_have = F.coalesce(F.col("s_n"), F.lit(0)) >= F.col("n")
+    s_lo = F.when(all_have, F.col("s_lo")).otherwise(F.least(F.coalesce("s_lo", F.lit(0.0)), F.lit(0.0)))
+    s_hi = F.when(all_have, F.col("s_hi")).otherwise(F.greatest(F.coalesce("s_hi", F.lit(0.0)), F.lit(0.0)))
+    x = scaled(F.col("dense"), F.col("lo"), F.col("hi"))
+    y = scaled(F.coalesce("sparse", F.lit(0.0)), s_lo, s_hi)
+    return ranked(both.select("query_id", "node_id", F.round(F.lit(float(alpha)) * x + F.lit(1.0 - alpha) * y, DIGITS).alias("score")), k)
 
 
 def hybrid(dense: DataFrame, sparse: DataFrame, alpha: float, k: int | None = 10) -> DataFrame:
@@ -228,3 +345,14 @@ def word_overlap(question: str, content: str) -> Column:
     """Share of a question's distinct words that a text has: a plain scorer for ``rerank``."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\S+"), F.lit(0)))
     return F.coalesce(F.size(F.array_intersect(words(question), words(content))) / F.nullif(F.size(words(question)), F.lit(0)), F.lit(0.0))
+
+
+def _remote(backend: str):
+    def refuse(df: DataFrame, config, **options) -> VectorTable:
+        raise NotImplementedError(f"index backend {backend} has no implementation")
+
+    return refuse
+
+
+#: Makers of tables (rows, index section of a profile, options) by backend.
+INDEXES = Registry("index", memory=lambda df, config, **options: VectorTable(df, config.embedding_dim, **options), qdrant=_remote("qdrant"), milvus=_remote("milvus"), lancedb=_remote("lancedb"))

@@ -11,10 +11,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import EmbeddingError, GenerationError, UnsupportedBackendError
+from ..errors import EmbeddingError, GenerationError
+from ..operators import context
+from ..registry import Registry
 
 
 class Embedder(Protocol):
@@ -103,13 +105,36 @@ def embed_column(df: DataFrame, embedder: Embedder, text: str = "content", out:
 
 
 class LLMDriver(Protocol):
+    """What generation needs: ``generate`` gives text, prompt tokens, completion tokens and the reason it ended.
+
+    Drivers can also have ``stream`` (pieces of text), ``count_tokens`` (a list of texts to a list of numbers), ``json_mode``
+    (``generate`` then takes ``response_format``) and ``close``; drivers are context managers that load once and release.
+    """
+
     context_window: int
 
     def generate(self, prompt: str, max_tokens: int, temperature: float) -> tuple[str, int, int, str]: ...
 
 
+class Lifecycle:
+    """A driver that loads at its first use, or on entering, and is released on leaving; entering again loads it anew."""
+
+    def load(self) -> None:
+        pass
+
+    def close(self) -> None:
+        pass
+
+    def __enter__(self):
+        self.load()
+        return self
+
+    def __exit__(self, *why) -> None:
+        self.close()
+
+
 @dataclass
-class EchoDriver:
+class EchoDriver(Lifecycle):
     """Answers with the start of the prompt's first numbered chunk, or of the prompt: deterministic, for tests and dry runs."""
 
     context_window: int = 4096
@@ -120,30 +145,92 @@ class EchoDriver:
         text = " ".join(words[:max_tokens])
         return text, max(1, len(prompt) // 5), max(1, len(text) // 5), "length" if len(words) > max_tokens else "stop"
 
-    def stream(self, prompt: str, max_tokens: int = 512) -> Iterator[str]:
+    def stream(self, prompt: str, max_tokens: int = 512, temperature: float = 0.0) -> Iterator[str]:
         for i, word in enumerate(self.generate(prompt, max_tokens)[0].split()):
             yield (" " if i else "") + word
 
+    def count_tokens(self, texts: list[str]) -> list[int]:
+        return [max(1, len(x) // 5) for x in texts]
+
 
 @dataclass
-class LlamaDriver:
+class LlamaDriver(Lifecycle):
     """A GGUF model by llama-cpp, where that package is installed; one model a worker."""
 
     model_path: str
     context_window: int = 4096
     n_gpu_layers: int = 0
+    json_mode: bool = False
     _model: object = field(default=None, repr=False)
 
-    def generate(self, prompt: str, max_tokens: int = 512, temperature: float = 0.7) -> tuple[str, int, int, str]:
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_model": None}  # each worker loads its own
+
+    def load(self):
         if self._model is None:
             try:
                 from llama_cpp import Llama
             except ImportError as e:
                 raise GenerationError("this driver needs the llama-cpp-python package") from e
             self._model = Llama(self.model_path, n_ctx=self.context_window, n_gpu_layers=self.n_gpu_layers, verbose=False)
-        got = self._model.create_completion(prompt, max_tokens=max_tokens, temperature=temperature)
+        return self._model
+
+    def close(self) -> None:
+        if self._model is not None and hasattr(self._model, "close"):
+            self._model.close()
+        self._model = None
+
+    def _ask(self, prompt: str, max_tokens: int, temperature: float, stream: bool):
+        more = {"response_format": {"type": "json_object"}} if self.json_mode else {}
+        return self.load().create_chat_completion([{"role": "user", "content": prompt}], max_tokens=max_tokens, temperature=temperature, stream=stream, **more)
+
+    def generate(self, prompt: str, max_tokens: int = 512, temperature: float = 0.7) -> tuple[str, int, int, str]:
+        got = self._ask(prompt, max_tokens, temperature, False)
         use, choice = got["usage"], got["choices"][0]
-        return choice["text"], use["prompt_tokens"], use["completion_tokens"], choice["finish_reason"]
+        return choice["message"]["content"], use["prompt_tokens"], use["completion_tokens"], choice["finish_reason"]
+
+    def stream(self, prompt: str, max_tokens: int = 512, temperature: float = 0.7) -> Iterator[str]:
+        for part in self._ask(prompt, max_tokens, temperature, True):
+            if text := part["choices"][0].get("delta", {}).get("content"):
+                yield text
+
+    def count_tokens(self, texts: list[str]) -> list[int]:
+        model = self.load()
+        return [len(model.tokenize(x.encode(), add_bos=False)) for x in texts]
+
+
+def token_counter(driver: LLMDriver) -> Callable[[Column], Column]:
+    """A function of a text column for ``context.fit_context(count=...)``: the driver's own token counts.
+
+    The echoing driver's rule is an expression; others are asked in Arrow batches.
+    """
+    if isinstance(driver, EchoDriver):
+        return context.count_tokens
+
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(driver.count_tokens([x or "" for x in texts.to_pylist()]), pa.int32())
+
+    return F.arrow_udf(count, "int")
+
+
+def stream_column(df: DataFrame, driver: LLMDriver, prompt: str = "prompt", max_tokens: int = 512, temperature: float = 0.7) -> DataFrame:
+    """``df`` with a row for each piece that the driver streams: columns ``piece_no`` (from 0) and ``piece``."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "piece_no int, piece string"])
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, no, pieces = [], [], []
+            for i, text in enumerate(batch.column(batch.schema.get_field_index(prompt)).to_pylist()):
+                for j, piece in enumerate(driver.stream(text or "", max_tokens, temperature)):
+                    at.append(i)
+                    no.append(j)
+                    pieces.append(piece)
+            own = [c.take(pa.array(at, pa.int64())) for c in batch.columns]
+            yield pa.record_batch([*own, pa.array(no, pa.int32()), pa.array(pieces, pa.string())], names=[*names, "piece_no", "piece"])
+
+    return df.mapInArrow(run, schema)
 
 
 def generate_column(df: DataFrame, driver: LLMDriver, prompt: str = "prompt", out: str = "generation_result", max_tokens: int = 512, temperature: float = 0.7) -> DataFrame:
@@ -167,28 +254,18 @@ def generate_column(df: DataFrame, driver: LLMDriver, prompt: str = "prompt", ou
     return df.mapInArrow(run, schema)
 
 
-class Registry:
-    """Makers of components by name; those that are registered later win."""
-
-    def __init__(self, kind: str, **makers: Callable):
-        self.kind, self.makers = kind, dict(makers)
-
-    def register(self, name: str, maker: Callable) -> None:
-        self.makers[name] = maker
-
-    def create(self, name: str, *args, **options):
-        if name not in self.makers:
-            raise UnsupportedBackendError(f"{self.kind} {name}", sorted(self.makers))
-        return self.makers[name](*args, **options)
-
-
 EMBEDDERS = Registry("embedder", hashing=lambda dim=384, **_: HashingEmbedder(dim), sentence_transformer=SentenceTransformerEmbedder)
 DRIVERS = Registry("driver", echo=EchoDriver, llama=LlamaDriver)
 
 
 def sparse_embed(df: DataFrame, text: str = "content", out: str = "sparse_vector") -> DataFrame:
-    """Term frequencies as a map from a word's 31-bit hash to its count, within the row."""
+    """Term frequencies as a map from a word's 31-bit hash to its count, within the row: hashes are sorted, and each run of
+    equal ones is an entry."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))
-    ids = F.transform(words, lambda w: F.hash(w).bitwiseAND(0x7FFFFFFF))
-    pairs = F.transform(F.array_distinct(ids), lambda i: F.struct(i.alias("k"), F.size(F.filter(ids, lambda x: x == i)).cast("double").alias("v")))
-    return df.withColumn(out, F.map_from_entries(pairs))
+    ids = F.array_sort(F.transform(words, lambda w: F.hash(w).bitwiseAND(0x7FFFFFFF)))
+    # generators make each step once a row, where nested expressions would be copied into the loops
+    rows = df.select("*", F.explode(F.array(F.coalesce(ids, F.array().cast("array<int>")))).alias("_ids"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_ids")), lambda i: (i == 0) | (i == F.size("_ids")) | (F.get(F.col("_ids"), i) != F.get(F.col("_ids"), i - 1)))
+    rows = rows.select("*", F.explode(F.array(starts)).alias("_at"))
+    runs = F.transform(F.slice("_at", 1, F.size("_at") - 1), lambda a, k: F.struct(F.get(F.col("_ids"), a).alias("k"), (F.get(F.col("_at"), k + 1) - a).cast("double").alias("v")))
+    return rows.withColumn(out, F.map_from_entries(F.when(F.size("_ids") > 0, runs).otherwise(F.array().cast("array<struct<k:int,v:double>>")))).drop("_ids", "_at")

@@ -13,7 +13,9 @@ from ..operators import chunk, context, evaluate
 from ..operators import vector_index as vi
 from ..operators.ingest import quarantine
 from ..schemas import require, valid_source_doc
-from .models import DRIVERS, EMBEDDERS, Embedder, EchoDriver, HashingEmbedder, LLMDriver, Registry, embed_column, generate_column
+from ..registry import Registry
+from .models import DRIVERS, EMBEDDERS, EchoDriver, Embedder, HashingEmbedder, LLMDriver, embed_column, generate_column, token_counter
+
 
 def _missing(strategy: str):
     def refuse(docs: DataFrame, c) -> DataFrame:
@@ -60,28 +62,27 @@ class Retriever:
     def retrieve(self, queries: DataFrame, k: int = 10, filters: dict | None = None) -> DataFrame:
         if k < 1:
             raise RetrievalError("k must be at least 1")
-        found = self._first(queries, None if self.mode == "hybrid" else self.rerank_k or k, filters)
-        found = found if self.mode != "hybrid" else found.where(F.col("rank") <= (self.rerank_k or k))
+        found = self._first(queries, self.rerank_k or k, filters)
         if self.rerank_k:
             texts = found.join(queries.select("query_id", "query"), "query_id").join(self.nodes.select("node_id", "content"), "node_id")
             found = vi.rerank(texts, F.round(vi.word_overlap("query", "content"), vi.DIGITS), k).select("query_id", "node_id", "score", "rank")
         return found
 
-    def _first(self, queries: DataFrame, k: int | None, filters: dict | None) -> DataFrame:
+    def _first(self, queries: DataFrame, k: int, filters: dict | None) -> DataFrame:
         nodes = vi.where_equal(self.nodes, filters)
         if self.mode != "sparse":
             asked = embed_column(queries.select("query_id", "query"), self.embedder, "query", "query_vector")
             table = vi.VectorTable(nodes, self.embedder.dim, self.metric)
-            dense = table.search_blocks(asked, k or max(1, nodes.count()))
             if self.mode == "dense":
-                return dense
+                return table.search_blocks(asked, k)
         terms = vi.term_frequencies(queries, "query_id", "query").withColumnRenamed("node_id", "query_id")
-        sparse = vi.sparse_scores(vi.term_frequencies(nodes, "node_id", "content"), terms)
-        return vi.ranked(sparse, k) if self.mode == "sparse" else vi.hybrid(dense, sparse, self.alpha, k)
+        sparse = vi.sparse_scores(vi.term_frequencies(nodes, "node_id", "content", only=terms), terms)
+        return vi.ranked(sparse, k) if self.mode == "sparse" else table.search_hybrid(asked, sparse, self.alpha, k)
 
 
 def retriever(nodes: DataFrame, profile: ExperimentProfile) -> Retriever:
     r = profile.retrieval
+    vi.VectorTable.from_config(profile.index, nodes)  # a backend without implementation, or an unknown one, is refused here
     return Retriever(nodes, EMBEDDERS.create(profile.embedder.model_name, dim=profile.index.embedding_dim), r.mode, r.alpha if r.alpha is not None else 0.5, rerank_k=r.top_k if r.reranker else None)
 
 
@@ -92,8 +93,9 @@ def answer(queries: DataFrame, found: DataFrame, nodes: DataFrame, driver: LLMDr
     """query_id, query, chunks, prompt, generation_result, answer, sources (source ids in rank order, repeats kept)."""
     rows = found.join(nodes.select("node_id", "source_id", "content"), "node_id")
     sources = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source_id"))), lambda x: x.source_id).alias("sources"))
-    packed = context.fit_context(queries, rows.select("query_id", "rank", "content"), window, completion, SYSTEM, strategy)
-    out = generate_column(packed.select("query_id", "query", "chunks", "prompt"), driver or EchoDriver(), max_tokens=completion)
+    driver = driver or EchoDriver()
+    packed = context.fit_context(queries, rows.select("query_id", "rank", "content"), window, completion, SYSTEM, strategy, token_counter(driver) if hasattr(driver, "count_tokens") else context.count_tokens)
+    out = generate_column(packed.select("query_id", "query", "chunks", "prompt"), driver, max_tokens=completion)
     return out.join(sources, "query_id", "left").withColumn("answer", F.col("generation_result.text"))
 
 

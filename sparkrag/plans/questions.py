@@ -9,7 +9,8 @@ from ..config import QuestionGeneratorConfig
 from ..functions.templates import SYNTHETIC_QA, PromptTemplate
 from ..functions.text import strip
 from ..operators import qa
-from .models import LLMDriver, Registry, generate_column
+from ..registry import Registry
+from .models import LLMDriver, generate_column
 
 
 def batch_prompts(batched: DataFrame, num_questions: int, template: PromptTemplate = SYNTHETIC_QA) -> DataFrame:

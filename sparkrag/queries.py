@@ -6,8 +6,6 @@ queries); they run over all rows of their tables.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -43,7 +41,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "sparkrag-work")
+    """A new folder below the one that the cluster shares; a session on one machine has its warehouse for that."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_sparkrag_work"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -59,7 +63,7 @@ def _(s, d):
 
 @query("ingest_content_hash", "SELECT sha256(text) AS source_id, count(*) AS copies FROM documents GROUP BY 1")
 def _(s, d):
-    return table(s, d, "documents").groupBy(F.sha2("text", 256).alias("source_id")).agg(F.count("*").alias("copies"))
+    return table(s, d, "documents").groupBy(tx.content_id(F.lit(None).cast("string"), "text").alias("source_id")).agg(F.count("*").alias("copies"))
 
 
 @query("ingest_exact_dedup", "SELECT min(doc_id) AS doc_id, sha256(text) AS source_id FROM documents GROUP BY 2")
@@ -73,10 +77,14 @@ def _(s, d):
     return table(s, d, "documents").where(tx.non_blank("text")).select("doc_id")
 
 
-@query("ingest_format_filter", "SELECT page_id, lower(regexp_extract(url, '(\\.[a-z]+)/', 1)) AS suffix FROM pages WHERE lower(regexp_extract(url, '(\\.[a-z]+)/', 1)) IN ('.net', '.org')")
+_SUFFIX = "['.PDF', '.txt', '.epub', '.doc', '', '.tar.gz', '.Md', '.xps']"
+
+
+@query("ingest_format_filter", f"WITH p AS (SELECT page_id, lower(regexp_extract({_SUFFIX}[1 + page_id % 8], '(\\.[^.]+)$', 1)) AS suffix FROM pages) SELECT * FROM p WHERE suffix IN ('.pdf', '.txt', '.epub', '.md', '.xps')")
 def _(s, d):
-    host = F.regexp_extract("url", r"^https?://([^/]+)/", 1)
-    return table(s, d, "pages").where(sources.supports_format(host, [".net", ".org"])).select("page_id", tx.file_suffix(host).alias("suffix"))
+    suffix = F.element_at(F.array(*map(F.lit, [".PDF", ".txt", ".epub", ".doc", "", ".tar.gz", ".Md", ".xps"])), (F.col("page_id") % 8 + 1).cast("int"))
+    path = F.concat(F.lit("/data/v1.0/page-"), F.col("page_id").cast("string"), suffix)
+    return table(s, d, "pages").where(sources.supports_format(path, sorted(sources.EXTRACTORS))).select("page_id", tx.file_suffix(path).alias("suffix"))
 
 
 @query("ingest_quarantine_split", "SELECT doc_id, CASE WHEN n_chars > 5000 AND lang <> 'en' THEN 'language,too_long' WHEN n_chars > 5000 THEN 'too_long' WHEN lang <> 'en' THEN 'language' ELSE '' END AS broken FROM documents")
@@ -100,9 +108,16 @@ def _(s, d):
     return p.select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.char_length("html").cast("long").alias("html_chars"), F.contains(F.col("html"), F.lit("<script>")).alias("has_script"))
 
 
-@query("ingest_html_text")
+_HTML = r"""WITH a AS (SELECT url, html, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->', ' ', 'g') AS t FROM pages),
+b AS (SELECT url, html, regexp_replace(regexp_replace(t, '(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM a),
+c AS (SELECT url, html, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b),
+e AS (SELECT url, html, regexp_replace(regexp_replace(t, '[ \t\f\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g') AS t FROM c)
+SELECT url AS source_id, sha256(trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS content_hash, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ' || chr(9) || chr(10) || chr(13)) AS title FROM e"""
+
+
+@query("ingest_html_text", _HTML)
 def _(s, d):
-    return sources.from_html(table(s, d, "pages")).select("source_id", F.char_length("content").alias("n_chars"), F.col("metadata")["title"].alias("title"))
+    return sources.from_html(table(s, d, "pages")).select("source_id", F.sha2("content", 256).alias("content_hash"), F.col("metadata")["title"].alias("title"))
 
 
 # ------------------------------------------------------------------ chunks
@@ -236,13 +251,13 @@ def _(s, d):
 
 @query("index_exists", "SELECT e.vec_id, d.doc_id IS NOT NULL AS found FROM embeddings e LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d ON d.doc_id = e.vec_id")
 def _(s, d):
-    known = table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("vec_id"), F.lit(True).alias("found"))
-    return table(s, d, "embeddings").select("vec_id").join(known, "vec_id", "left").select("vec_id", F.coalesce("found", F.lit(False)).alias("found"))
+    known = vi.VectorTable(table(s, d, "documents").where("lang = 'en'"), 64, node_id="doc_id")
+    return known.exist(table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"))).select(F.col("doc_id").alias("vec_id"), "found")
 
 
 @query("index_count", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
 def _(s, d):
-    return table(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return _vectors(s, d).count("label")
 
 
 @query("index_evict_fifo", "SELECT vec_id FROM embeddings ORDER BY vec_id DESC LIMIT 300")
@@ -270,9 +285,10 @@ s AS (SELECT query_id, node_id, sum(qw * weight) AS score FROM p JOIN q USING (t
 
 
 def _sparse(s, d) -> tuple[DataFrame, DataFrame]:
-    index = vi.term_frequencies(table(s, d, "documents"), "doc_id", "text")
+    """(postings of all words, scores of the benchmark's queries, for which only their own words are counted)."""
+    docs = table(s, d, "documents")
     terms = vi.term_frequencies(table(s, d, "benchmark"), "item_id", "text").withColumnRenamed("node_id", "query_id")
-    return index, vi.sparse_scores(index, terms)
+    return vi.term_frequencies(docs, "doc_id", "text"), vi.sparse_scores(vi.term_frequencies(docs, "doc_id", "text", only=terms), terms)
 
 
 @query("sparse_postings", _TF + " SELECT token_id, count(*) AS df, sum(weight) AS cf FROM p GROUP BY 1")
@@ -308,11 +324,10 @@ def _hybrid_sql(alpha: float) -> str:
 
 def _hybrid(s, d, alpha: float, labels: bool = True) -> DataFrame:
     e = table(s, d, "embeddings")
-    dense = _vectors(s, d).search_blocks(_asked(s, d, 100), e.count())
     label = e.select(F.col("vec_id").alias("node_id"), F.col("label"))
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("_l"))
     sparse = label.join(asked, F.col("label") == F.col("_l")).select("query_id", "node_id", (F.lit(1.0) + F.col("node_id") % 7).alias("score"))
-    return _shown(vi.hybrid(dense, sparse if labels else sparse.where(F.lit(False)), alpha))
+    return _shown(_vectors(s, d).search_hybrid(_asked(s, d, 100), sparse if labels else sparse.where(F.lit(False)), alpha))
 
 
 for _alpha in (0.0, 0.5, 1.0):
@@ -472,9 +487,10 @@ def _(s, d):
     return _valid(s, d).select("conv_id", "pos", "question", "answer")
 
 
-@query("qa_validate_question_mark", _PAIRS + r" SELECT conv_id, pos FROM p WHERE length(question) BETWEEN 10 AND 500 AND length(answer) >= 5 AND regexp_matches(question, '\?\s*$')")
+@query("qa_validate_question_mark", _PAIRS + r", x AS (SELECT conv_id, pos, answer, question || CASE pos % 3 WHEN 0 THEN '?' WHEN 1 THEN '? ' || chr(10) ELSE '' END AS question FROM p), u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(trim(question, ' ?' || chr(10))) , question LIKE '%?' OR question LIKE '%? ' || chr(10) ORDER BY pos) AS n FROM x WHERE length(question) BETWEEN 10 AND 500 AND length(answer) >= 5 AND pos % 3 < 2) SELECT conv_id, pos FROM u WHERE n = 1")
 def _(s, d):
-    return qa.validate_pairs(_pairs(s, d), "conv_id", "pos").select("conv_id", "pos")
+    mark = F.element_at(F.array(F.lit("?"), F.lit("? \n"), F.lit("")), (F.col("pos") % 3 + 1).cast("int"))
+    return qa.validate_pairs(_pairs(s, d).withColumn("question", F.concat("question", mark)), "conv_id", "pos").select("conv_id", "pos")
 
 
 @query("qa_dedup", _PAIRS + " SELECT conv_id, lower(trim(question)) AS question, min(pos) AS pos FROM p GROUP BY ALL")

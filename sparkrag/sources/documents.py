@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import IngestionError
 from ..functions.text import content_id, file_suffix, non_blank, strip
+from ..registry import Registry
 
 # Formats and their MIME types.
 MIME = {".pdf": "application/pdf", ".xps": "application/vnd.ms-xpsdocument", ".epub": "application/epub+zip", ".mobi": "application/x-mobipocket-ebook", ".fb2": "application/x-fictionbook+xml", ".txt": "text/plain", ".md": "text/markdown", ".html": "text/html"}
@@ -87,6 +90,8 @@ def pdf_extractor(data: bytes) -> tuple[list[str], dict[str, str]]:
         if doc.is_encrypted:
             raise IngestionError("document is encrypted")
         meta = {k: v for k, v in (doc.metadata or {}).items() if k in ("title", "author") and v}
+        if toc := doc.get_toc():  # rows of level, title, page
+            meta["toc"] = json.dumps([list(x[:3]) for x in toc], ensure_ascii=False)
         return [page.get_text() for page in doc], meta
 
 
@@ -158,5 +163,29 @@ def with_language(df: DataFrame, content: str = "content", out: str = "language"
     return df.mapInArrow(run, schema)
 
 
-#: Readers of documents by name; those that are registered later win.
-INGESTORS = {"text": read_files, "fitz": read_files}
+def write_files(df: DataFrame, folder: str, name: str = "name", data: str = "data") -> DataFrame:
+    """Write a binary column as one file a row below a folder that all executors see; gives name and path of each.
+
+    A file is written under a name of its own and renamed, so a task that runs again does no harm.
+    """
+    if not folder.startswith(("file:", "/")):
+        raise ValueError("files are written to a folder that is mounted on all machines")
+    root = "/" + folder.removeprefix("file:").lstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(root, exist_ok=True)
+        for batch in batches:
+            names, paths = batch.column(0).to_pylist(), []
+            for own, raw in zip(names, batch.column(1).to_pylist(), strict=True):
+                paths.append(f"{root}/{own}")
+                part = f"{root}/.{own}.{os.urandom(4).hex()}"
+                with open(part, "wb") as f:
+                    f.write(raw or b"")
+                os.replace(part, paths[-1])
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(paths, pa.string())], names=["name", "path"])
+
+    return df.select(F.col(name).cast("string"), F.col(data).cast("binary")).mapInArrow(run, "name string, path string")
+
+
+#: Readers of documents (session, paths) by name; those that are registered later win.
+INGESTORS = Registry("ingestor", text=read_files, fitz=read_files)

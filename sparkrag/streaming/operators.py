@@ -39,7 +39,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour",
 
 
 def last_access(events: DataFrame, key: str = "user_id", ts: str = "ts", idle_ms: int = 0) -> DataFrame:
-    """Latest access of each key, updated as events arrive; with ``idle_ms``, keys that stay silent so long are forgotten."""
+    """Latest access of each key, updated as events arrive: a streaming aggregation. Only with ``idle_ms``, by which keys that
+    stay silent so long are forgotten, it needs state of its own."""
+    if not idle_ms:
+        return events.groupBy(key).agg(F.max(F.unix_micros(ts)).alias("last_us"), F.count("*").alias("n"))
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -49,14 +52,12 @@ def last_access(events: DataFrame, key: str = "user_id", ts: str = "ts", idle_ms
         for f in frames:
             latest, n = max(latest, int(f["_us"].max())), n + len(f)
         state.update((latest, n))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({key: [k[0]], "last_us": [latest], "n": [n]})
 
     rows = events.select(key, F.unix_micros(ts).alias("_us"))
     kind = rows.schema[key].dataType.simpleString()
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, last_us long, n long", "last_us long, n long", "update", timeout)
+    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, last_us long, n long", "last_us long, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_to_end(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
