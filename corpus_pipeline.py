@@ -1,6 +1,9 @@
 """From raw documents to training shards, in five stages.
 
-Each stage works on all that the one before kept; all but the last keep the columns of ``documents``.
+Each stage works on all that the one before kept; all but the last keep the columns of ``documents``, and further ones.
+
+Odd input: a null text counts as an empty one and a null id is an id like others; rows are judged each by their own text,
+so rows that repeat an id can part ways; an empty table stays empty in every stage; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -17,27 +20,27 @@ REPEAT = 1.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier rejects go."""
+    """Documents that the positive-unlabelled classifier rejects (score under 0.3) go; without any positive label none goes."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least id."""
+    """One row of each group of near copies stays: one with the least id. Rows with null ids or without words stay, too."""
     return jaccard.dedup(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of the benchmark occurs go."""
+    """Documents in which a window of the benchmark occurs go; documents and items without words match nothing."""
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are repeated up to the limit; every document stays at least once."""
+    """Small sources are repeated up to the limit; every document stays at least once. Null and empty sources are one."""
     return mixing.mix(docs, repeat=REPEAT)
 
 
 def output_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in sorted shards, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token ids in sorted shards, read back: doc_id, start, n_tokens, ids_crc32; null ids come first."""
     return sstable.read(sstable.write(docs, work_dir(spark, "shards"), added=True), digests_only=True)
 
 
