@@ -4,8 +4,9 @@ The windows of all benchmark items (``WINDOW`` consecutive normalised words, or
 set of hashes travels to every task inside the plan, as one hash set, if it has at most ``MOST_WINDOWS`` entries. A
 document's words are scanned once: each of its windows is hashed and looked up in that set where it stands, without
 exploding or shuffling the text. Only windows that hit leave the scan; they are verified by their words against the
-windows of the items. A larger benchmark takes the other way: windows of documents meet those of items in a shuffled
-join on their words. Both ways give the same rows.
+windows of the items. A larger benchmark takes the other way: hashes of the documents' windows (never their words) meet
+those of the items in a shuffled semi-join, and only documents with a hit are read again for the words at the positions
+that hit, which are verified as before. Both ways give the same rows.
 
 Fixed results: null texts and texts without words have no window, so they are clean; rows that repeat a doc_id are
 judged each by their own text (equal rows alike); items that share a window all count; an empty benchmark or table
@@ -65,8 +66,14 @@ def _hits(docs: DataFrame, wins: DataFrame, most: int) -> tuple[DataFrame, DataF
         hits = F.concat(*(found(n) for n in lengths)) if lengths else F.expr("CAST(array() AS array<struct<pos:int,n:int,win:string>>)")
         scanned = cut(spark, rows.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), hits.alias("hits")), "scanned")
         return scanned.drop("hits"), scanned.where(F.size("hits") > 0).select("doc_id", "key", F.inline("hits")), True
-    every = F.concat(*(_windows("w", n, lambda i, s, n=n: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(s, " ").alias("win"))) for n in lengths))
-    return rows.select("doc_id", "key", F.size("w").cast("long").alias("n_words")), rows.select("doc_id", "key", F.inline(every)), False
+    every = F.concat(*(_windows("w", n, lambda i, s, n=n: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(s).alias("h"))) for n in lengths))
+    near = rows.select("doc_id", "key", F.inline(every)).join(wins.select("n", "h").distinct(), ["n", "h"], "left_semi")
+    places = near.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("pos", "n")).alias("_places"))
+    places = cut(spark, places, "places")
+    # rows of one id and one text have the same hits, so one of them is enough
+    met = rows.join(places, rows["doc_id"].eqNullSafe(places["_id"]) & (rows["key"] == places["_key"])).dropDuplicates(["doc_id", "key"])
+    words_at = F.transform("_places", lambda p: F.struct(p.pos.alias("pos"), p.n.alias("n"), F.array_join(F.slice(F.col("w"), p.pos, p.n), " ").alias("win")))
+    return rows.select("doc_id", "key", F.size("w").cast("long").alias("n_words")), met.select("doc_id", "key", F.inline(words_at)), False
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

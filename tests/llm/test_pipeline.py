@@ -5,9 +5,12 @@ import os
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 
-from sparkrag.llm import queries
+from sparkrag.llm import mixing, quality, queries
+
+from .test_text_ops import ODD, brute, brute_hits, table
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -23,6 +26,50 @@ def test_query(spark, sf, name):
     assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
 
 
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_stages_agree_with_plain_ones(spark, sf):
+    """Which rows stay: near duplicates and contaminated documents against brute force, on all documents."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = {r.doc_id for r in cp.near_duplicate_stage(spark, docs, sf).collect()}
+    assert kept == {c if n else d for d, n, c in brute(rows)}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {r.doc_id for r in cp.decontamination_stage(spark, docs, sf).collect()}
+    assert clean == {d for d, t in rows if not brute_hits(t, items)[1]} and clean < {d for d, _ in rows}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs.select("doc_id", "text"), labels)
+    scores = {}
+    for d, t in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        scores[d] = float(model.score(quality.featurise(data, np.array([0, len(data)])))[0])
+    good = {r.doc_id for r in cp.quality_stage(spark, docs, sf).collect()}
+    assert good == {d for d, x in scores.items() if x >= 0.3}
+    mixed = [r.doc_id for r in cp.mixing_stage(spark, docs, sf).collect()]
+    plan = [r.doc_id for r in mixing.plan(docs, repeat=cp.REPEAT).collect()]
+    assert sorted(mixed) == sorted(plan)
+
+
+def test_run_on_odd_tables(spark, sf, tmp_path):
+    import corpus_pipeline as cp
+
+    odd = [*ODD, (40, None), (40, None), (41, "x " * 20_000), (None, "no id at all")]
+    docs = table(spark, odd)
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for d in ("odd", "none"):
+        spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 1)], LABELS).write.parquet(f"{tmp_path}/{d}/labels.parquet")
+        spark.createDataFrame([(1, "a b c d e"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/{d}/benchmark.parquet")
+    out = cp.run(spark, f"{tmp_path}/odd").collect()
+    ids = [r.doc_id for r in out]
+    assert {4, 6, 7, 41} <= set(ids) and 5 in ids and ids.count(None) >= 2  # of id 5, "a b c d e f" went, the other text stays
+    assert [r.start for r in sorted(out, key=lambda r: r.start)][0] == 0 and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_stages(spark, sf):
     import corpus_pipeline as cp
 
