@@ -22,14 +22,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the cluster shares (``spark.checkpoint.dir``).
 
     Where that setting is absent there is no folder that all executors see: an error on a cluster. A session on one
-    machine (``local`` masters) gets a folder in its warehouse, and the setting with it.
+    machine (``local`` masters) gets a folder in its warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_sparkrag_work"
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
