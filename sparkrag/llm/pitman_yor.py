@@ -25,8 +25,8 @@ How it runs: texts are never shuffled. One pass cuts them into chunks of bounded
 and pairs with their counts, and stores these in the shared folder; sweeps read only that. Three kinds of exchange take
 place, each packed in numpy arrays by hash range, in buckets of a bounded number of entries: counts of words; counts of
 pairs (answers only say which pairs occur elsewhere too); and, each sweep, tables by preceding and by following word.
-Random numbers are hashes of pair and sweep, so every task that holds a pair seats it alike and seatings need no exchange:
-a task replays the sweeps from their stored sums. A frequent word or pair is one entry of a chunk at most, however often it
+Random numbers are hashes of pair and sweep, so every chunk that holds a pair seats it alike and seatings need no exchange;
+a chunk's tables are kept beside it for the next sweep and the last pass. A frequent word or pair is one entry of a chunk at most, however often it
 occurs, and so meets its like pre-aggregated. The last pass reads the texts again; a checksum verifies that its chunks are
 those of the first. Nothing is collected on the driver but sums.
 
@@ -57,6 +57,7 @@ from .jaccard import _spread
 END = np.uint64(0x5D588B656C078965)
 CHUNK_TOKENS = 2 << 20
 SWEEPS, BURN_IN = 5, 2
+MOST_TASKS = 100_000
 TABLE = 1024  # customers of one dish up to which Stirling numbers are tabulated
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -201,8 +202,8 @@ def _prepare(rows: DataFrame) -> DataFrame:
 class _Exchange:
     """Requests of chunks go to buckets, answers come back by chunk through the shared folder."""
 
-    def __init__(self, manifest: DataFrame, name: str, buckets: list[int]):
-        self.manifest, self.spark, self.buckets = manifest, manifest.sparkSession, buckets
+    def __init__(self, manifest: DataFrame, name: str, buckets: list[int], tasks: int):
+        self.manifest, self.spark, self.buckets, self.tasks = manifest, manifest.sparkSession, buckets, tasks
         self.folder = work_dir(self.spark, name)
 
     def run(self, ask, answer) -> tuple[str, list[int]]:
@@ -235,7 +236,7 @@ class _Exchange:
             if held:
                 yield close(now, held)
 
-        sent = self.manifest.select("uri").repartition("uri").mapInArrow(lean(send), "bucket int, part long, check long, packed array<binary>")
+        sent = self.manifest.select("uri").repartition(self.tasks).mapInArrow(lean(send), "bucket int, part long, check long, packed array<binary>")
         met = sent.repartition("bucket").sortWithinPartitions("bucket", "part").mapInArrow(lean(meet), "part long, bucket int, check long, packed array<binary>")
         met.repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(self.folder)
         sums: list[int] = []
@@ -348,6 +349,7 @@ class _State:
     pair_buckets: list[int]
     words: str
     pairs: str
+    seats: str
     sweeps: tuple[str, ...]
     n: int
     v: int
@@ -384,22 +386,31 @@ class _State:
         known = np.maximum(s_w - d0, 0) / (ROOT_STRENGTH + whole)
         return np.where(s_w > 0, known, (ROOT_STRENGTH + d0 * self.v) / (ROOT_STRENGTH + whole))
 
-    def seatings(self, chunk: Counts, n_w: np.ndarray, total: np.ndarray, last: int) -> Iterator[np.ndarray]:
-        """Tables of each pair after sweeps 0 .. last, each given the state that the one before has left."""
+    def seated(self, chunk: Counts, n_w: np.ndarray, total: np.ndarray, sweep: int) -> np.ndarray:
+        """Tables of each pair after a sweep, given the state that the one before has left."""
         t, t_u, s_w, (whole, d0) = total, n_w, n_w, (self.n, 0.5)
-        for sweep in range(last + 1):
-            if sweep:
-                t_u, s_w = self.tables(chunk, sweep - 1)
-                whole, d0 = self.root[sweep - 1]
-            other_u, other_w, other = t_u[chunk.u] - t, s_w[chunk.w] - t, whole - t
+        if sweep:
+            t, (t_u, s_w), (whole, d0) = self.stored(chunk, sweep - 1), self.tables(chunk, sweep - 1), self.root[sweep - 1]
+        other_u, other_w, other = t_u[chunk.u] - t, s_w[chunk.w] - t, whole - t
 
-            def step(rows: np.ndarray, i: np.ndarray, a=other_u, b=other_w, c=other, d0=d0) -> np.ndarray:
-                a, b, c = a[rows][:, None], b[rows][:, None], c[rows][:, None]
-                return (STRENGTH + self.discount * (a + i)) * (b + i - d0) / (ROOT_STRENGTH + c + i)
+        def step(rows: np.ndarray, i: np.ndarray) -> np.ndarray:
+            a, b, c = other_u[rows][:, None], other_w[rows][:, None], other[rows][:, None]
+            return (STRENGTH + self.discount * (a + i)) * (b + i - d0) / (ROOT_STRENGTH + c + i)
 
-            seed = mix(chunk.name + np.uint64((sweep + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-            t = seat(total, self.discount, step, (seed >> np.uint64(11)).astype(np.float64) * 2.0**-53)
-            yield t
+        seed = mix(chunk.name + np.uint64((sweep + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+        return seat(total, self.discount, step, (seed >> np.uint64(11)).astype(np.float64) * 2.0**-53)
+
+    def store(self, chunk: Counts, sweep: int, t: np.ndarray) -> None:
+        """Keep a chunk's tables; a task that runs again writes the same bytes under the same name, whole or not at all."""
+        write_file(f"{self.seats}/{chunk.part:x}-{sweep}", struct.pack("<q", chunk.check) + zstandard.ZstdCompressor(level=1).compress(pack_small(t)))
+
+    def stored(self, chunk: Counts, sweep: int) -> np.ndarray:
+        where, path = open_fs(f"{self.seats}/{chunk.part:x}-{sweep}")
+        with where.open_input_file(path) as f:
+            raw = f.read()
+        if struct.unpack_from("<q", raw)[0] != chunk.check:
+            raise RuntimeError("a task's documents changed between two passes over the same input")
+        return unpack_small(zstandard.ZstdDecompressor().decompress(raw[8:]), len(chunk.name))
 
 
 def _ask_words(chunk: Counts, buckets: int) -> list:
@@ -465,26 +476,27 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.spark_partition_id().alias("task"), F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text_col).cast("string").alias("text"))
     manifest = _prepare(rows)
-    entries = manifest.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_pairs"), F.lit(0))).first()
-    word_buckets, pair_buckets = (_spread(spark, int(x)) for x in entries)
-    words, sums = _Exchange(manifest, "words", word_buckets).run(_ask_words, _answer_words)
+    entries = manifest.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_pairs"), F.lit(0)), F.count("*")).first()
+    word_buckets, pair_buckets = (_spread(spark, int(x)) for x in entries[:2])
+    tasks = min(max(1, entries[2]), MOST_TASKS)  # a chunk each, as far as that goes: rows this few would else end in one task
+    words, sums = _Exchange(manifest, "words", word_buckets, tasks).run(_ask_words, _answer_words)
     n, v = sums if sums else (0, 0)
-    pairs, sums = _Exchange(manifest, "pairs", pair_buckets).run(_ask_pairs, _answer_pairs)
-    state = _State(word_buckets, pair_buckets, words, pairs, (), n, v, _kneser(*(sums if sums else (0, 0))), ())
+    pairs, sums = _Exchange(manifest, "pairs", pair_buckets, tasks).run(_ask_pairs, _answer_pairs)
+    state = _State(word_buckets, pair_buckets, words, pairs, work_dir(spark, "seats"), (), n, v, _kneser(*(sums if sums else (0, 0))), ())
     for sweep in range(sweeps):
 
         def ask(chunk: Counts, buckets: int, now: _State = state, sweep: int = sweep) -> list:
             n_w, slot = now.counts(chunk)
             total, mine = now.customers(chunk)
-            for t in now.seatings(chunk, n_w, total, sweep):  # noqa: B007
-                pass
+            t = now.seated(chunk, n_w, total, sweep)
+            now.store(chunk, sweep, t)
             t = t * mine
             t_u = np.bincount(chunk.u, weights=t, minlength=len(chunk.voc)).astype(np.int64)
             s_w = np.bincount(chunk.w, weights=t, minlength=len(chunk.voc)).astype(np.int64)
             at = _slices(chunk.voc, buckets)
             return [[slot[a:b].tobytes(), pack_small(t_u[a:b]), pack_small(s_w[a:b])] if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
 
-        folder, sums = _Exchange(manifest, f"sweep-{sweep}", word_buckets).run(ask, _answer_tables)
+        folder, sums = _Exchange(manifest, f"sweep-{sweep}", word_buckets, tasks).run(ask, _answer_tables)
         s, n1, n2 = sums if sums else (0, 0, 0)
         state = replace(state, sweeps=(*state.sweeps, folder), root=(*state.root, (s, _kneser(n1, n2))))
 
@@ -494,11 +506,10 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             n_w, _ = state.counts(own)
             total, _ = state.customers(own)
             p = np.zeros(len(chunk.name))
-            for sweep, t in enumerate(state.seatings(own, n_w, total, sweeps - 1)):
-                if sweep >= burn_in:
-                    t_u, s_w = state.tables(own, sweep)
-                    down = (STRENGTH + state.discount * t_u[chunk.u]) * state.root_p(s_w, sweep)[chunk.w]
-                    p += (np.maximum(total - state.discount * t, 0) + down) / (STRENGTH + n_w[chunk.u]) / (sweeps - burn_in)
+            for sweep in range(burn_in, sweeps):
+                t, (t_u, s_w) = state.stored(own, sweep), state.tables(own, sweep)
+                down = (STRENGTH + state.discount * t_u[chunk.u]) * state.root_p(s_w, sweep)[chunk.w]
+                p += (np.maximum(total - state.discount * t, 0) + down) / (STRENGTH + n_w[chunk.u]) / (sweeps - burn_in)
             base = np.log10((n_w + 0.5) / (state.n + 0.5 * (state.v + 1)))
             rows_ = [np.add.reduceat(x, chunk.starts) for x in (np.ones(len(chunk.word), np.int64), (n_w > 0)[chunk.word].astype(np.int64), base[chunk.word], np.log10(p)[chunk.pair])]
             yield pa.record_batch([chunk.doc_ids, pa.array(chunk.held), pa.array(rows_[0]), pa.array(rows_[1]), pa.array(np.full(len(chunk.held), state.n, np.int64)), pa.array(rows_[2]), pa.array(rows_[3])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

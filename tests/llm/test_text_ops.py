@@ -339,7 +339,7 @@ def test_probabilities_add_up():
     t = pitman_yor.seat(c, 0.6, lambda rows, i: np.full((len(rows), len(i)), 0.7), rng.random(50))
     assert ((t >= np.minimum(c, 1)) & (t <= c)).all()
     s_w = rng.integers(1, 9, 50)
-    state = pitman_yor._State([], [], "", "", (), 0, 50, 0.6, ((int(s_w.sum()), 0.5),))
+    state = pitman_yor._State([], [], "", "", "", (), 0, 50, 0.6, ((int(s_w.sum()), 0.5),))
     p = np.append(state.root_p(s_w, 0), state.root_p(np.zeros(1, np.int64), 0))
     assert p.sum() == pytest.approx(1)
     own = np.append(np.maximum(c - 0.6 * t, 0), 0) + (pitman_yor.STRENGTH + 0.6 * t.sum()) * p
