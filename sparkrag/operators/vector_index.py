@@ -168,16 +168,18 @@ class VectorTable:
     def search_hybrid(self, queries: DataFrame, sparse: DataFrame, alpha: float, k: int = 10, filters: dict[str, object] | None = None, query_vector: str = "query_vector") -> DataFrame:
         """alpha * dense + (1 - alpha) * sparse, each scaled to 0..1 over all nodes of a query; sparse: query_id, node_id, score.
 
-        Nodes without sparse score have the same one, 0, so that their fused scores follow the dense ones. So the first k are
-        among the k best by the dense score and the nodes of ``sparse`` (and, where ``alpha`` is 0 and ids decide, the k least
-        ids beside those): only they, with the extremes of the dense scores, leave the scan.
+        Nodes without sparse score have the same one, 0, so that their fused scores follow the dense ones. As long as no score
+        is under 0, the first k are among the k best by the dense score and the nodes of ``sparse``; otherwise among as many
+        more as a query has sparse scores. Where ``alpha`` is 0 and ids decide, the least ids take the place of the best. Only
+        these, with the extremes of the dense scores, leave the scan.
         """
+        per = sparse.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.min("least"), F.lit(0.0)).alias("least")).first()
+        more = k + per.n if per.least < 0 or alpha == 0 else k
         wanted = sparse.select("query_id", "node_id")
         if alpha == 0:
-            most = sparse.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-            least = where_equal(self.df, filters).select(F.col(self.node_id).alias("node_id")).orderBy("node_id").limit(k + most)
+            least = where_equal(self.df, filters).select(F.col(self.node_id).alias("node_id")).orderBy("node_id").limit(more)
             wanted = wanted.unionByName(queries.select("query_id").crossJoin(least))
-        dense = self.score_blocks(queries, k, wanted, filters, query_vector)
+        dense = self.score_blocks(queries, more if alpha else k, wanted, filters, query_vector)
         return fuse(dense, sparse, alpha, k)
 
     def score_blocks(self, queries: DataFrame, k: int, wanted: DataFrame, filters: dict[str, object] | None = None, query_vector: str = "query_vector") -> DataFrame:

@@ -97,7 +97,7 @@ def test_token_ends_by_ranks(tmp_path):
 
 def test_windows_by_ranks(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
-    docs = spark.createDataFrame([("a", "one two three four five six seven eight nine ten " * 20), ("b", None)], "source_id string, content string")
+    docs = spark.createDataFrame([("a", "one two three four five six seven eight nine ten" * 20), ("b", None)], "source_id string, content string")
     rows = chunk.windows_by(docs, chunk.tiktoken_offsets(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), 50, 0).orderBy("chunk_index").collect()
     assert "".join(r.content for r in rows) == docs.first().content and {r.source_id for r in rows} == {"a"}
 
