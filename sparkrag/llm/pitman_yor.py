@@ -18,7 +18,7 @@ where S_d are generalised Stirling numbers and the dashes mean "without this dis
 law itself: the numbers come from their recursion for up to ``TABLE`` customers and from their alternating sum beyond,
 which converges to machine precision for t up to 10 c^d (more tables have no weight in any corpus: the product falls off
 far earlier); there is no other law for large counts. All dishes are redrawn at once, given the state that the sweep before
-has left. The start is a table for each customer; the predictive probabilities of the ``SWEEPS - BURN_IN`` states after
+has left. The start is one table for each dish and, in a context of n customers, n^d; the predictive probabilities of the ``SWEEPS - BURN_IN`` states after
 the burn-in are averaged. Discounts are n1 / (n1 + 2 n2), from the numbers of dishes with one and two customers.
 
 How it runs: texts are never shuffled. One pass cuts them into chunks of bounded size, reduces each to its distinct words
@@ -388,7 +388,8 @@ class _State:
 
     def seated(self, chunk: Counts, n_w: np.ndarray, total: np.ndarray, sweep: int) -> np.ndarray:
         """Tables of each pair after a sweep, given the state that the one before has left."""
-        t, t_u, s_w, (whole, d0) = total, n_w, n_w, (self.n, 0.5)
+        # the start: a table for each dish, and about as many in a context as n customers make, n ** discount
+        t, t_u, s_w, (whole, d0) = np.minimum(total, 1), np.ceil(n_w**self.discount).astype(np.int64), n_w, (self.n, 0.5)
         if sweep:
             t, (t_u, s_w), (whole, d0) = self.stored(chunk, sweep - 1), self.tables(chunk, sweep - 1), self.root[sweep - 1]
         other_u, other_w, other = t_u[chunk.u] - t, s_w[chunk.w] - t, whole - t

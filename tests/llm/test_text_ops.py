@@ -408,7 +408,7 @@ def plain_scores(rows, held, sweeps, burn_in):
     kneser = lambda xs: pitman_yor._kneser(sum(x == 1 for x in xs), sum(x == 2 for x in xs))
     d = kneser(count.values())
     logs = stirling(max(count.values()) + 1, d)
-    t, t_u, s_w, d0 = dict(count), n_w, n_w, 0.5
+    t, t_u, s_w, d0 = dict.fromkeys(count, 1), {w: math.ceil(c**d) for w, c in n_w.items()}, n_w, 0.5
     scores = {p: 0.0 for own in pairs for p in own}
     for sweep in range(sweeps):
         now = {}
