@@ -22,13 +22,16 @@ has left. The start is one table for each dish and, in a context of n customers,
 the burn-in are averaged. Discounts are n1 / (n1 + 2 n2), from the numbers of dishes with one and two customers.
 
 How it runs: texts are never shuffled. One pass cuts them into chunks of bounded size, reduces each to its distinct words
-and pairs with their counts, and stores these in the shared folder; sweeps read only that. Three kinds of exchange take
+and pairs with their counts, and stores these in the shared folder; sweeps read only that. Four kinds of exchange take
 place, each packed in numpy arrays by hash range, in buckets of a bounded number of entries: counts of words; counts of
-pairs (answers only say which pairs occur elsewhere too); and, each sweep, tables by preceding and by following word.
-Random numbers are hashes of pair and sweep, so every chunk that holds a pair seats it alike and seatings need no exchange;
-a chunk's tables are kept beside it for the next sweep and the last pass. A frequent word or pair is one entry of a chunk at most, however often it
-occurs, and so meets its like pre-aggregated. The last pass reads the texts again; a checksum verifies that its chunks are
-those of the first. Nothing is collected on the driver but sums.
+pairs (answers only say which pairs occur elsewhere too, and which chunk seats them); each sweep, tables by preceding and by
+following word; and, after the last, tables of pairs.
+Each pair is seated in one of the chunks that hold it, which its hash says, and that chunk's tables are kept beside it for
+the next sweep: work grows with the distinct pairs, not with the chunks that a frequent pair is in. The last exchange takes
+the sums of the tables over the averaged sweeps, all that the predictive probabilities need, to the other chunks. Random
+numbers are hashes of pair and sweep, so chunks don't change results. A frequent word or pair is one entry of a chunk at
+most, however often it occurs, and so meets its like pre-aggregated. The last pass reads the texts again; a checksum
+verifies that its chunks are those of the first. Nothing is collected on the driver but sums.
 
 Fixed results: a null or empty text has only its end token; without training text every token is the unknown event, with
 probability one; rows that repeat a doc_id are scored each; a null id counts as the text ""; an empty table stays empty;
@@ -184,6 +187,16 @@ def unpack_small(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
+def pack_ascending(x: np.ndarray) -> bytes:
+    """Ascending numbers as gaps: their low bytes, then the rest, which is mostly zero or small."""
+    gap = np.diff(x, prepend=0)
+    return (gap & 255).astype(np.uint8).tobytes() + pack_small(gap >> 8)
+
+
+def unpack_ascending(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8, n) + (unpack_small(raw[n:], n) << 8))
+
+
 def _prepare(rows: DataFrame) -> DataFrame:
     """Store the counts of all chunks; (uri, n_words, n_pairs) of each."""
     folder = work_dir(rows.sparkSession, "chunks")
@@ -355,24 +368,43 @@ class _State:
     v: int
     discount: float
     root: tuple[tuple[int, float], ...]  # of each sweep: S and the root's discount
+    sums: str = ""
 
     def counts(self, chunk: Counts) -> tuple[np.ndarray, np.ndarray]:
         got = [x for x in _answers(self.words, chunk, self.word_buckets) if x]
         return tuple(np.concatenate([np.frombuffer(x[i], t) for x in got]) for i, t in enumerate(("<i8", "<u4")))
 
-    def customers(self, chunk: Counts) -> tuple[np.ndarray, np.ndarray]:
-        """(customers of each pair in all training text, which pairs this chunk accounts for)."""
-        total, mine = chunk.own.copy(), chunk.own > 0
+    def customers(self, chunk: Counts) -> tuple[np.ndarray, np.ndarray, list]:
+        """(customers of each pair in all training text, which pairs this chunk seats, for each bucket of pairs None or the
+        pairs that other chunks hold too, as indexes, and their packed numbers in the bucket)."""
+        total, mine, shared = chunk.own.copy(), chunk.own > 0, [None] * len(self.pair_buckets)
         at = _slices(chunk.name, len(self.pair_buckets))
         for b, x in enumerate(_answers(self.pairs, chunk, self.pair_buckets)):
             if x:
                 n = at[b + 1] - at[b]
                 other = np.unpackbits(np.frombuffer(x[0], np.uint8), count=n).astype(bool)
-                first = np.unpackbits(np.frombuffer(x[1], np.uint8), count=n).astype(bool)
-                rows = np.arange(at[b], at[b + 1])
-                total[rows[other]] = unpack_small(x[2], int(other.sum()))
-                mine[rows[other]] = first[other]
-        return total, mine & (total > 0)
+                owner = np.unpackbits(np.frombuffer(x[1], np.uint8), count=n).astype(bool)
+                rows = at[b] + np.flatnonzero(other)
+                if len(rows):
+                    total[rows] = unpack_small(x[2], len(rows))
+                    mine[rows] = owner[other]
+                    shared[b] = rows, x[3]
+        return total, mine & (total > 0), shared
+
+    def seatings(self, chunk: Counts, mine: np.ndarray, shared: list, kept: range) -> np.ndarray:
+        """Tables of each pair of a chunk, added up over the sweeps that are kept: its own and those of other chunks."""
+        out = self.added(chunk, mine, kept)
+        for x, own in zip(shared, _answers(self.sums, chunk, self.pair_buckets), strict=True):
+            if x:
+                out[x[0]] = unpack_small(own[0], len(x[0]))
+        return out
+
+    def added(self, chunk: Counts, mine: np.ndarray, kept: range) -> np.ndarray:
+        """The same of the pairs that this chunk seats; 0 for others."""
+        out = np.zeros(len(mine), np.int64)
+        for sweep in kept:
+            out[mine] += self.stored(chunk, int(mine.sum()), sweep)
+        return out
 
     def tables(self, chunk: Counts, sweep: int) -> tuple[np.ndarray, np.ndarray]:
         got = [x for x in _answers(self.sweeps[sweep], chunk, self.word_buckets) if x]
@@ -386,32 +418,33 @@ class _State:
         known = np.maximum(s_w - d0, 0) / (ROOT_STRENGTH + whole)
         return np.where(s_w > 0, known, (ROOT_STRENGTH + d0 * self.v) / (ROOT_STRENGTH + whole))
 
-    def seated(self, chunk: Counts, n_w: np.ndarray, total: np.ndarray, sweep: int) -> np.ndarray:
-        """Tables of each pair after a sweep, given the state that the one before has left."""
+    def seated(self, chunk: Counts, n_w: np.ndarray, total: np.ndarray, mine: np.ndarray, sweep: int) -> np.ndarray:
+        """Tables of each pair that the chunk seats after a sweep, given the state that the one before has left."""
+        total, u, w = total[mine], chunk.u[mine], chunk.w[mine]
         # the start: a table for each dish, and about as many in a context as n customers make, n ** discount
         t, t_u, s_w, (whole, d0) = np.minimum(total, 1), np.ceil(n_w**self.discount).astype(np.int64), n_w, (self.n, 0.5)
         if sweep:
-            t, (t_u, s_w), (whole, d0) = self.stored(chunk, sweep - 1), self.tables(chunk, sweep - 1), self.root[sweep - 1]
-        other_u, other_w, other = t_u[chunk.u] - t, s_w[chunk.w] - t, whole - t
+            t, (t_u, s_w), (whole, d0) = self.stored(chunk, len(total), sweep - 1), self.tables(chunk, sweep - 1), self.root[sweep - 1]
+        other_u, other_w, other = t_u[u] - t, s_w[w] - t, whole - t
 
         def step(rows: np.ndarray, i: np.ndarray) -> np.ndarray:
             a, b, c = other_u[rows][:, None], other_w[rows][:, None], other[rows][:, None]
             return (STRENGTH + self.discount * (a + i)) * (b + i - d0) / (ROOT_STRENGTH + c + i)
 
-        seed = mix(chunk.name + np.uint64((sweep + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+        seed = mix(chunk.name[mine] + np.uint64((sweep + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
         return seat(total, self.discount, step, (seed >> np.uint64(11)).astype(np.float64) * 2.0**-53)
 
     def store(self, chunk: Counts, sweep: int, t: np.ndarray) -> None:
         """Keep a chunk's tables; a task that runs again writes the same bytes under the same name, whole or not at all."""
         write_file(f"{self.seats}/{chunk.part:x}-{sweep}", struct.pack("<q", chunk.check) + zstandard.ZstdCompressor(level=1).compress(pack_small(t)))
 
-    def stored(self, chunk: Counts, sweep: int) -> np.ndarray:
+    def stored(self, chunk: Counts, n: int, sweep: int) -> np.ndarray:
         where, path = open_fs(f"{self.seats}/{chunk.part:x}-{sweep}")
         with where.open_input_file(path) as f:
             raw = f.read()
         if struct.unpack_from("<q", raw)[0] != chunk.check:
             raise RuntimeError("a task's documents changed between two passes over the same input")
-        return unpack_small(zstandard.ZstdDecompressor().decompress(raw[8:]), len(chunk.name))
+        return unpack_small(zstandard.ZstdDecompressor().decompress(raw[8:]), n)
 
 
 def _ask_words(chunk: Counts, buckets: int) -> list:
@@ -443,13 +476,16 @@ def _answer_pairs(held: list) -> tuple[list, list[int]]:
     edge = np.flatnonzero(np.diff(name[order], prepend=name[order[:1]] ^ np.uint64(1)))
     total = np.add.reduceat(count[order], edge)
     size = np.diff(np.append(edge, len(order)))
-    other, first, sums = np.zeros(len(name), bool), np.zeros(len(name), bool), np.zeros(len(name), np.int64)
+    other, owner, sums, slot = np.zeros(len(name), bool), np.zeros(len(name), bool), np.zeros(len(name), np.int64), np.zeros(len(name), np.int64)
     other[order] = np.repeat(size > 1, size)
     sums[order] = np.repeat(total, size)
-    first[order[edge]] = True
+    slot[order] = np.repeat(np.cumsum(size > 1) - 1, size)  # among the pairs of several chunks
+    # any of a pair's chunks may seat it: which one, its hash says, so that no chunk seats more than its share
+    owner[order[edge + ((name[order[edge]] & np.uint64(0xFFFFFFFF)) % size.astype(np.uint64)).astype(np.int64)]] = True
     out = []
     for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
-        out.append([np.packbits(other[a:b]).tobytes(), np.packbits(first[a:b]).tobytes(), pack_small(sums[a:b][other[a:b]])])
+        both = other[a:b]
+        out.append([np.packbits(both).tobytes(), np.packbits(owner[a:b]).tobytes(), pack_small(sums[a:b][both]), pack_ascending(slot[a:b][both])])
     return out, [int((total == 1).sum()), int((total == 2).sum())]
 
 
@@ -463,6 +499,16 @@ def _answer_tables(held: list) -> tuple[list, list[int]]:
     return [[pack_small(t_u[s]), pack_small(s_w[s])] for s in slots], [int(s_w.sum()), int((s_w == 1).sum()), int((s_w == 2).sum())]
 
 
+def _answer_sums(held: list) -> tuple[list, list[int]]:
+    """Each pair's tables go from the chunk that seats it to all that hold it."""
+    slots = [unpack_ascending(x[0], struct.unpack("<q", x[3])[0]) for x in held]
+    tables = np.zeros(1 + max(int(s[-1]) for s in slots), np.int64)
+    for x, s in zip(held, slots, strict=True):
+        own = s[np.unpackbits(np.frombuffer(x[1], np.uint8), count=len(s)).astype(bool)]
+        tables[own] = unpack_small(x[2], len(own))
+    return [[pack_small(tables[s])] for s in slots], [0]
+
+
 def _kneser(n1: int, n2: int) -> float:
     return min(max(n1 / (n1 + 2 * n2), 0.05), 0.98) if n1 else 0.5
 
@@ -488,12 +534,11 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
 
         def ask(chunk: Counts, buckets: int, now: _State = state, sweep: int = sweep) -> list:
             n_w, slot = now.counts(chunk)
-            total, mine = now.customers(chunk)
-            t = now.seated(chunk, n_w, total, sweep)
+            total, mine, _ = now.customers(chunk)
+            t = now.seated(chunk, n_w, total, mine, sweep)
             now.store(chunk, sweep, t)
-            t = t * mine
-            t_u = np.bincount(chunk.u, weights=t, minlength=len(chunk.voc)).astype(np.int64)
-            s_w = np.bincount(chunk.w, weights=t, minlength=len(chunk.voc)).astype(np.int64)
+            t_u = np.bincount(chunk.u[mine], weights=t, minlength=len(chunk.voc)).astype(np.int64)
+            s_w = np.bincount(chunk.w[mine], weights=t, minlength=len(chunk.voc)).astype(np.int64)
             at = _slices(chunk.voc, buckets)
             return [[slot[a:b].tobytes(), pack_small(t_u[a:b]), pack_small(s_w[a:b])] if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
 
@@ -501,16 +546,25 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         s, n1, n2 = sums if sums else (0, 0, 0)
         state = replace(state, sweeps=(*state.sweeps, folder), root=(*state.root, (s, _kneser(n1, n2))))
 
+    kept = range(burn_in, sweeps)
+
+    def give(chunk: Counts, buckets: int, now: _State = state) -> list:
+        _, mine, shared = now.customers(chunk)
+        t = now.added(chunk, mine, kept)
+        return [x and [x[1], np.packbits(mine[x[0]]).tobytes(), pack_small(t[x[0]][mine[x[0]]]), struct.pack("<q", len(x[0]))] for x in shared]
+
+    state = replace(state, sums=_Exchange(manifest, "sums", pair_buckets, tasks).run(give, _answer_sums)[0])
+
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             own = Counts.of(chunk)
             n_w, _ = state.counts(own)
-            total, _ = state.customers(own)
-            p = np.zeros(len(chunk.name))
-            for sweep in range(burn_in, sweeps):
-                t, (t_u, s_w) = state.stored(own, sweep), state.tables(own, sweep)
-                down = (STRENGTH + state.discount * t_u[chunk.u]) * state.root_p(s_w, sweep)[chunk.w]
-                p += (np.maximum(total - state.discount * t, 0) + down) / (STRENGTH + n_w[chunk.u]) / (sweeps - burn_in)
+            total, mine, shared = state.customers(own)
+            p = len(kept) * total - state.discount * state.seatings(own, mine, shared, kept)
+            for sweep in kept:
+                t_u, s_w = state.tables(own, sweep)
+                p += (STRENGTH + state.discount * t_u)[chunk.u] * state.root_p(s_w, sweep)[chunk.w]
+            p /= (len(kept) * (STRENGTH + n_w))[chunk.u]
             base = np.log10((n_w + 0.5) / (state.n + 0.5 * (state.v + 1)))
             rows_ = [np.add.reduceat(x, chunk.starts) for x in (np.ones(len(chunk.word), np.int64), (n_w > 0)[chunk.word].astype(np.int64), base[chunk.word], np.log10(p)[chunk.pair])]
             yield pa.record_batch([chunk.doc_ids, pa.array(chunk.held), pa.array(rows_[0]), pa.array(rows_[1]), pa.array(np.full(len(chunk.held), state.n, np.int64)), pa.array(rows_[2]), pa.array(rows_[3])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from sparkrag.llm import audio, common, components, decontaminate, jaccard, mixing, pitman_yor, quality, sstable
@@ -454,6 +455,24 @@ def test_chunks_don_t_change_scores(spark, monkeypatch):
     assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k]) for k in one)
 
 
+def test_ascending_numbers_are_packed_whole():
+    for gaps in ([], [0, 1, 255, 256, 65_279, 65_280, 1 << 20, 3, 1 << 40], [1] * 50):
+        x = np.cumsum(np.array(gaps, np.int64))
+        assert pitman_yor.unpack_ascending(pitman_yor.pack_ascending(x), len(x)).tolist() == x.tolist()
+
+
+def test_each_pair_is_seated_once(spark, monkeypatch, tmp_path):
+    """Chunks that hold the same pairs share them out, and each knows the tables of all in the end."""
+    monkeypatch.setattr(pitman_yor, "work_dir", lambda spark, name: f"file://{tmp_path}/{name}")
+    texts = [(i, " ".join(f"w{(i * k) % 23}" for k in range(1, 40))) for i in range(120)]
+    got = pitman_yor.score(table(spark, texts).repartition(4), F.col("doc_id") % 5 == 1, sweeps=3, burn_in=1)
+    distinct = {p for i, t in texts if i % 5 != 1 for p in zip([None, *words(t)], [*words(t), None], strict=True)}
+    stored = [len(zstandard.ZstdDecompressor().decompress(f.read_bytes()[8:])) for f in (tmp_path / "seats").glob("*-0")]
+    assert len(stored) == 4 and sum(stored) == len(distinct) and min(stored) > len(distinct) / 8
+    want, _ = plain_scores(texts, [i % 5 == 1 for i, _ in texts], 3, 1)
+    assert [r.score for r in sorted(got.collect(), key=lambda r: r.doc_id)] == pytest.approx(want)
+
+
 # ---------------------------------------------------------------- quality
 
 
