@@ -143,24 +143,39 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lean(scan), "doc_id long, x binary")
 
 
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (kind, place, doc_id, x) of a task, taken by kind, place and id."""
+    held = list(batches)
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    kind, place, ids = (t[i].to_numpy() for i in range(3))
+    order = np.lexsort((ids, place, kind))
+    x = np.frombuffer(b"".join(v.as_buffer() for v in t["x"]), np.float16).reshape(-1, WIDTH)
+    del held, t
+    positive, unlabelled = (x[order[kind[order] == k]].astype(np.float32) for k in (1, 0))
+    del x
+    if len(positive) and len(unlabelled):
+        model = fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled))
+        yield pa.record_batch([pa.array([model.weights.tobytes()]), pa.array([model.bias]), pa.array([model.prior])], names=["weights", "bias", "prior"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 8_000, most_unlabelled: int = 16_000) -> Model:
-    """Fit on rows outside the held-out fold: positives from ``labels``, unlabelled text from ``docs``."""
+    """Fit on rows outside the held-out fold: positives from ``labels``, unlabelled text from ``docs``.
+
+    The sample, a row of 1.1 KB for each chosen id, meets in one task; only the model comes to the driver.
+    """
     known = labels.where(F.col("quality").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = F.xxhash64("doc_id")
-    chosen = known.where("quality = 1").select("doc_id").orderBy(order, "doc_id").limit(most_positive).withColumn("kind", F.lit(1))
-    free = docs.where(fold() != 0).select("doc_id").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(most_unlabelled).withColumn("kind", F.lit(0))
-    ids = chosen.unionByName(free)  # at most most_positive + most_unlabelled rows of two numbers
+    pick = lambda rows, place, most, kind: rows.select("doc_id", place.alias("place")).orderBy("place", "doc_id").limit(most).withColumn("kind", F.lit(kind))
+    chosen = pick(known.where("quality = 1"), F.xxhash64("doc_id"), most_positive, 1)
+    free = pick(docs.where(fold() != 0), F.xxhash64(F.lit(7), "doc_id"), most_unlabelled, 0)
+    ids = chosen.unionByName(free)  # at most most_positive + most_unlabelled rows of three numbers
     texts = docs.where(fold() != 0).join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = _features(texts).groupBy("doc_id").agg(F.min("x").alias("x")).toArrow()  # a row of 1.1 KB for each chosen id
-    row = {d: i for i, d in enumerate(found["doc_id"].to_pylist())}
-    x = np.array([np.frombuffer(v.as_buffer(), np.float16) for v in found["x"]], np.float16).reshape(-1, WIDTH)
-    kinds = [(r.doc_id, r.kind) for r in ids.collect()]
-    pick = lambda kind: x[[row[d] for d, k in kinds if k == kind and d in row]].astype(np.float32)
-    positive, unlabelled = pick(1), pick(0)
-    del x, found, row
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(WIDTH, np.float32), 0.0, 0.5)
-    return fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled))
+    found = _features(texts).groupBy("doc_id").agg(F.min("x").alias("x"))
+    rows = found.join(F.broadcast(ids), "doc_id").select("kind", "place", "doc_id", "x").repartition(1)
+    for r in rows.mapInArrow(lean(_learn), "weights binary, bias double, prior double").collect():
+        return Model(np.frombuffer(r.weights, np.float32), r.bias, r.prior)
+    return Model(np.zeros(WIDTH, np.float32), 0.0, 0.5)
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:

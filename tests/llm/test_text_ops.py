@@ -476,6 +476,32 @@ def test_each_pair_is_seated_once(spark, monkeypatch, tmp_path):
 # ---------------------------------------------------------------- quality
 
 
+def test_quality_is_not_fitted_on_the_driver(spark, monkeypatch):
+    """The sample's features stay in a task, and the model is that of the rows in the order of their hashes."""
+    rng = random.Random(8)
+    good, bad = "the report says that many people of this town read good books".split(), "$$$ win!!! click >>> 0000 free %%% #### cash".split()
+    rows = [(i, " ".join(rng.choice(bad if i % 3 == 0 else good) for _ in range(30))) for i in range(300)]
+    docs = table(spark, rows).select("doc_id", "text")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)], "doc_id long, quality int")
+    place = {r.doc_id: (r.p, r.u) for r in docs.where(quality.fold() != 0).select("doc_id", F.xxhash64("doc_id").alias("p"), F.xxhash64(F.lit(7), "doc_id").alias("u")).collect()}
+
+    def features(ids):
+        data = [rows[i][1].encode() for i in ids]
+        return quality.featurise(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])).astype(np.float16).astype(np.float32)
+
+    positive = features(sorted((i for i in place if i % 3), key=lambda i: place[i][0])[:50])
+    unlabelled = features(sorted(place, key=lambda i: place[i][1])[:90])
+    want = quality.fit_nnpu(positive, unlabelled, quality.estimate_prior(positive, unlabelled))
+
+    def stop(*args, **more):
+        raise AssertionError("the driver holds features")
+
+    monkeypatch.setattr(quality, "fit_nnpu", stop)
+    monkeypatch.setattr(quality, "estimate_prior", stop)
+    model = quality.fit(docs, labels, 50, 90)
+    assert model.prior == pytest.approx(want.prior, abs=1e-3) and model.weights == pytest.approx(want.weights, abs=0.02 * float(np.abs(want.weights).max()))
+
+
 def test_quality_learns_and_handles_odd_rows(spark):
     rng = random.Random(0)
     good = lambda: " ".join(rng.choice(["the", "cat", "sat", "on", "a", "warm", "mat", "and", "slept", "well."]) for _ in range(40))
