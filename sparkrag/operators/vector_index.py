@@ -123,8 +123,8 @@ class VectorTable:
     def _block(self, nodes: DataFrame, queries: DataFrame, k: int | None, kind: str, id_kind: str, query_vector: str) -> DataFrame:
         """The k best of each task a query; without k, its least and greatest score and, as node_id, the number of nodes."""
         rows = queries.select("query_id", F.col(query_vector).cast("array<double>")).collect()  # bounded by MOST_QUERY_BYTES
-        ids, q = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-        if len(rows) and q.shape[1] != self.dim:
+        ids, q = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1 if rows else self.dim)
+        if q.shape[1] != self.dim:
             raise VectorIndexError(f"expected {self.dim} dimensions, got {q.shape[1]}")
         metric, shared = self.metric, nodes.sparkSession.sparkContext.broadcast((ids, q))
         plain = pa.schema([("query_id", to_arrow_type(_parse_datatype_string(id_kind))), ("node_id", to_arrow_type(_parse_datatype_string(kind))), ("score", pa.float64()), *([("high", pa.float64())] if k is None else [])])

@@ -39,6 +39,16 @@ def test_many_queries_take_the_way_of_blocks(spark, monkeypatch):
     assert "MapInArrow" in many._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, many.select("query_id", "node_id", "score", "rank").collect())) == few
 
 
+@pytest.mark.parametrize("n", [0, 1, 2])
+def test_blocks_without_queries(spark, monkeypatch, n):
+    """Queries are dealt over blocks by a hash, which leaves some of them empty."""
+    table = vi.VectorTable(vectors(spark), 4)
+    asked = vectors(spark, 2, seed=3).where(F.col("node_id") < n).select(F.col("node_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    few = sorted(map(tuple, table.search(asked, 3).collect()))
+    monkeypatch.setattr(vi, "MOST_QUERY_BYTES", 8)
+    assert len(few) == 3 * n and sorted(map(tuple, table.search_blocks(asked, 3).select("query_id", "node_id", "score", "rank").collect())) == few
+
+
 @pytest.mark.parametrize("limit", [1, 7, 299, 300, 1000])
 def test_eviction_keeps_the_newest(spark, limit, monkeypatch):
     monkeypatch.setattr(vi, "RANGES", 8)
