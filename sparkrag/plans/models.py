@@ -259,13 +259,13 @@ DRIVERS = Registry("driver", echo=EchoDriver, llama=LlamaDriver)
 
 
 def sparse_embed(df: DataFrame, text: str = "content", out: str = "sparse_vector") -> DataFrame:
-    """Term frequencies as a map from a word's 31-bit hash to its count, within the row: hashes are sorted, and each run of
-    equal ones is an entry."""
+    """Term frequencies as a map from a word's 63-bit hash to its count, within the row: hashes are sorted, and each run of
+    equal ones is an entry. (Of 31 bits, two words of one long text share a hash now and then, and would be one entry.)"""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))
-    ids = F.array_sort(F.transform(words, lambda w: F.hash(w).bitwiseAND(0x7FFFFFFF)))
+    ids = F.array_sort(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 63) - 1))))
     # generators make each step once a row, where nested expressions would be copied into the loops
-    rows = df.select("*", F.explode(F.array(F.coalesce(ids, F.array().cast("array<int>")))).alias("_ids"))
+    rows = df.select("*", F.explode(F.array(F.coalesce(ids, F.array().cast("array<bigint>")))).alias("_ids"))
     starts = F.filter(F.sequence(F.lit(0), F.size("_ids")), lambda i: (i == 0) | (i == F.size("_ids")) | (F.get(F.col("_ids"), i) != F.get(F.col("_ids"), i - 1)))
     rows = rows.select("*", F.explode(F.array(starts)).alias("_at"))
     runs = F.transform(F.slice("_at", 1, F.size("_at") - 1), lambda a, k: F.struct(F.get(F.col("_ids"), a).alias("k"), (F.get(F.col("_at"), k + 1) - a).cast("double").alias("v")))
-    return rows.withColumn(out, F.map_from_entries(F.when(F.size("_ids") > 0, runs).otherwise(F.array().cast("array<struct<k:int,v:double>>")))).drop("_ids", "_at")
+    return rows.withColumn(out, F.map_from_entries(F.when(F.size("_ids") > 0, runs).otherwise(F.array().cast("array<struct<k:bigint,v:double>>")))).drop("_ids", "_at")

@@ -379,7 +379,8 @@ def _(s, d):
 def _(s, d):
     rows = models.sparse_embed(table(s, d, "documents").select("doc_id", "text"), "text")
     weights = F.map_values("sparse_vector")
-    return rows.select("doc_id", F.aggregate(weights, F.lit(0.0), lambda a, x: a + x).alias("total"), F.size(weights).cast("long").alias("terms"))
+    known = F.col("text").isNotNull()  # an absent text has no counts in SQL, where its map is empty here
+    return rows.select("doc_id", F.when(known, F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)).alias("total"), F.when(known, F.size(weights).cast("long")).alias("terms"))
 
 
 @query("rate_limiter", "SELECT r_regionkey, round(greatest(0, (r_regionkey + 1) * 5 - 10) / 10.0, 6)::DOUBLE AS waited FROM region")

@@ -17,7 +17,7 @@ SYNTHETIC_QA = f"struct<qa_pairs:array<{QA_PAIR}>,generated_at:string,model:stri
 USAGE = "struct<prompt_tokens:int,completion_tokens:int,total_tokens:int>"
 
 SOURCE_DOCS = "source_id string, content string, metadata map<string,string>, mime_type string, page_count int"
-NODES = f"node_id string, source_id string, content string, metadata map<string,string>, position {POSITION}, dense_vector array<float>, sparse_vector map<int,double>"
+NODES = f"node_id string, source_id string, content string, metadata map<string,string>, position {POSITION}, dense_vector array<float>, sparse_vector map<bigint,double>"
 RETRIEVED = "query_id string, node_id string, score double, rank int"
 TRIAL_CASES = "case_id string, question string, ground_truth_answer string, ground_truth_node_ids array<string>, metadata map<string,string>"
 GENERATION_RESULT = f"struct<text:string,usage:{USAGE},finish_reason:string>"

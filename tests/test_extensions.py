@@ -161,3 +161,13 @@ def test_sparse_embedding_counts_words(spark):
     df = spark.createDataFrame([("a b a A",), ("",), (None,)], "content string")
     got = [sorted(r.sparse_vector.values()) for r in models.sparse_embed(df).collect()]
     assert got == [[1.0, 3.0], [], []]
+
+
+def test_sparse_embedding_keeps_words_apart(spark):
+    """These words have equal 31-bit hashes, so that they were one entry."""
+    by = {}
+    for w, h in spark.range(200_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("w")).select("w", F.hash("w").bitwiseAND(0x7FFFFFFF)).collect():
+        by.setdefault(h, []).append(w)
+    alike = next(ws for ws in by.values() if len(ws) > 1)
+    row = models.sparse_embed(spark.createDataFrame([(" ".join(alike),)], "content string")).first()
+    assert sorted(row.sparse_vector.values()) == [1.0] * len(alike)
