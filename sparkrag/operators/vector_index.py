@@ -3,9 +3,9 @@
 A table is an immutable DataFrame; changes give a new one. Two ways of scoring give the same rows:
 
 * ``search``: expressions in the JVM; for few queries. Filters come before scoring, so they reach the scan.
-* ``search_blocks``: NumPy blocks in Arrow batches; for many. Queries go to all tasks only if they are within
-  ``MOST_QUERY_BYTES``, else they are taken in slices of that size, one scan each. Each task keeps its k best a query,
-  so the shuffle holds k rows a query and task, however many vectors there are.
+* ``search_blocks``: NumPy tiles in Arrow batches (``best``); for many. Queries go to all tasks only if they are within a
+  quarter of ``MOST_QUERY_BYTES``, else blocks of them meet groups of nodes by a shuffle, one task for each pair. Each task
+  keeps its k best a query, so the shuffle holds k rows a query and task, however many vectors there are.
 """
 
 from __future__ import annotations
@@ -20,16 +20,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import _parse_datatype_string
 
 from ..errors import VectorIndexError
-from ..functions.vectors import EPSILON, METRICS, norm, similarity
+from ..functions.vectors import METRICS, norm, similarity
 from ..registry import Registry
+from .best import DIGITS, Best, Vectors, ids_of, matrix
 
-MOST_QUERY_BYTES = 64 << 20
+MOST_QUERY_BYTES = 64 << 20  # of queries that a task holds; a quarter of it is sent to all tasks
+FEW_QUERIES = 64  # that are compared by expressions
 MOST_TOKENS = 1_000_000  # distinct query tokens that are broadcast to the words of the corpus; more meet them in a shuffle
 RANGES = 256  # into which eviction cuts the order of its rows
-DIGITS = 9  # scores are rounded before they are ranked, so that ties don't depend on the order of additions
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,27 @@ def ranked(scores: DataFrame, k: int | None, query: str = "query_id", node: str
     return out.where(F.col("rank") <= k) if k is not None else out
 
 
+def _fields(query: T.StructField, node: T.StructField) -> pa.Schema:
+    return pa.schema([("query_id", to_arrow_type(query.dataType)), ("node_id", to_arrow_type(node.dataType)), ("score", pa.float64())])
+
+
+def _ddl(query: T.StructField, node: T.StructField) -> str:
+    return f"query_id {query.dataType.simpleString()}, node_id {node.dataType.simpleString()}, score double"
+
+
+def _batches(best: Best, names: pa.Array, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+    at, ids, score = best.rows()
+    for i in range(0, len(at), 1 << 16):
+        rows = slice(i, i + (1 << 16))
+        yield pa.record_batch([names.take(pa.array(at[rows])).cast(fields[0].type), pa.array(ids[rows], fields[1].type), pa.array(score[rows])], schema=fields)
+
+
+def _slices(queries: DataFrame, each: int) -> list[DataFrame]:
+    """Queries of ``each`` bytes in slices that can be sent to all tasks."""
+    size = max(1, -(-queries.count() * each // (MOST_QUERY_BYTES // 4 or 1)))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(size)) == i) for i in range(size)] if size > 1 else [queries]
+
+
 class VectorTable:
     def __init__(self, df: DataFrame, dim: int, metric: str = "cosine", node_id: str = "node_id", vector: str = "vector", max_nodes: int | None = None, eviction: str = "lru", order: str | None = None):
         if metric not in METRICS:
@@ -102,8 +123,9 @@ class VectorTable:
 
     def search(self, queries: DataFrame, k: int = 10, filters: dict[str, object] | None = None, query_vector: str = "query_vector") -> DataFrame:
         """query_id, node_id, score, rank for a batch of few queries (columns query_id and query_vector); more than
-        ``MOST_QUERY_BYTES`` of them go the way of ``search_blocks``."""
-        if queries.count() * self.dim * 8 > MOST_QUERY_BYTES:
+        ``FEW_QUERIES`` of them, or than ``MOST_QUERY_BYTES``, go the way of ``search_blocks``."""
+        n = queries.count()
+        if n > FEW_QUERIES or n * self.dim * 8 > MOST_QUERY_BYTES:
             return self.search_blocks(queries, k, filters, query_vector)
         nodes = where_equal(self.df, filters).select(F.col(self.node_id).alias("node_id"), F.col(self.vector).alias("_v"))
         # the nested loop sends the queries, not the table
@@ -113,57 +135,77 @@ class VectorTable:
 
     def search_blocks(self, queries: DataFrame, k: int = 10, filters: dict[str, object] | None = None, query_vector: str = "query_vector") -> DataFrame:
         """The same for many queries."""
-        nodes = where_equal(self.df, filters).select(F.col(self.node_id).alias("node_id"), F.col(self.vector).cast("array<double>").alias("v"))
-        kind, id_kind = nodes.schema["node_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-        size = max(1, queries.count() * self.dim * 8 // MOST_QUERY_BYTES + 1)
-        parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(size)) == i) for i in range(size)]
-        found = reduce(DataFrame.unionByName, (self._block(nodes, part, k, kind, id_kind, query_vector) for part in parts))
-        return ranked(found, k)
-
-    def _block(self, nodes: DataFrame, queries: DataFrame, k: int | None, kind: str, id_kind: str, query_vector: str) -> DataFrame:
-        """The k best of each task a query; without k, its least and greatest score and, as node_id, the number of nodes."""
-        rows = queries.select("query_id", F.col(query_vector).cast("array<double>")).collect()  # bounded by MOST_QUERY_BYTES
-        ids, q = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1 if rows else self.dim)
-        if q.shape[1] != self.dim:
-            raise VectorIndexError(f"expected {self.dim} dimensions, got {q.shape[1]}")
-        metric, shared = self.metric, nodes.sparkSession.sparkContext.broadcast((ids, q))
-        plain = pa.schema([("query_id", to_arrow_type(_parse_datatype_string(id_kind))), ("node_id", to_arrow_type(_parse_datatype_string(kind))), ("score", pa.float64()), *([("high", pa.float64())] if k is None else [])])
+        nodes = where_equal(self.df, filters).select(F.col(self.node_id).alias("node_id"), self._floats(self.df, self.vector).alias("v"))
+        asked = queries.select("query_id", self._floats(queries, query_vector).alias("v"))
+        size = queries.count() * (self.dim * 8 + k * 24)  # a query with its k best
+        return ranked(self._scan(nodes, asked, k) if size <= MOST_QUERY_BYTES // 4 else self._grid(nodes, asked, k, size), k)
+
+    @staticmethod
+    def _floats(df: DataFrame, column: str) -> Column:
+        """A column of vectors; single precision is left as it is."""
+        return F.col(column) if df.schema[column].dataType == T.ArrayType(T.FloatType()) else F.col(column).cast("array<double>")
+
+    def _scan(self, nodes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+        """The k best of each task a query; the queries go to all tasks."""
+        got = asked.toArrow()  # bounded by MOST_QUERY_BYTES
+        names, q = got.column(0).combine_chunks(), matrix(got.column(1), self.dim)
+        dim, metric, shared = self.dim, self.metric, nodes.sparkSession.sparkContext.broadcast((names, q))
+        fields = _fields(asked.schema["query_id"], nodes.schema["node_id"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] | None = None
-            low, high, seen = np.full(len(names), np.inf), np.full(len(names), -np.inf), 0
+            block, best = Vectors(q, metric), Best(len(q), k)
             for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                node = np.array(batch.column(0).to_pylist(), object)
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                if metric == "euclidean":
-                    s = np.stack([-np.sqrt(((v - one) ** 2).sum(1)) for one in q])
-                else:
-                    s = q @ v.T
-                    if metric == "cosine":
-                        s /= np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None] + EPSILON
-                s = np.round(s, DIGITS)
-                if k is None:
-                    low, high, seen = np.minimum(low, s.min(1)), np.maximum(high, s.max(1)), seen + batch.num_rows
+                if batch.num_rows and len(q):
+                    block.add(best, ids_of(batch.column(0)), matrix(batch.column(1), dim))
+            yield from _batches(best, names, fields)
+
+        return nodes.mapInArrow(run, _ddl(asked.schema["query_id"], nodes.schema["node_id"]))
+
+    def _grid(self, nodes: DataFrame, asked: DataFrame, k: int, size: int) -> DataFrame:
+        """The k best of each cell a query. Blocks of queries meet groups of nodes, each pair of them in one task, where the
+        queries come first and the nodes stream past; ``size`` (bytes of all queries with their k best) sets the number of
+        blocks. A task holds one block, whatever the number of nodes, and nothing goes to the driver."""
+        blocks = max(1, -(-size // MOST_QUERY_BYTES))
+        groups = max(1, -(-2 * nodes.sparkSession.sparkContext.defaultParallelism // blocks))
+        dim, metric = self.dim, self.metric
+        id_field, node_field = asked.schema["query_id"], nodes.schema["node_id"]
+        fields = _fields(id_field, node_field)
+        vector = nodes.schema["v"].dataType if nodes.schema["v"].dataType == asked.schema["v"].dataType else T.ArrayType(T.DoubleType())
+        dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.select("query_id", "v", dealt("query_id", blocks).alias("_b"), every(groups).alias("_g"))
+        right = nodes.select("node_id", "v", every(blocks).alias("_b"), dealt("node_id", groups).alias("_g"))
+        cell = (F.col("_b") * groups + F.col("_g")).cast("int").alias("_cell")
+        left = left.select(cell, F.lit(False).alias("_node"), "query_id", F.lit(None).cast(node_field.dataType).alias("node_id"), F.col("v").cast(vector).alias("v"))
+        right = right.select(cell, F.lit(True).alias("_node"), F.lit(None).cast(id_field.dataType).alias("query_id"), "node_id", F.col("v").cast(vector).alias("v"))
+        rows = left.unionByName(right).repartitionById(blocks * groups, F.col("_cell")).sortWithinPartitions("_cell", "_node")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, names, parts, block, best = None, [], [], None, None
+            for batch in batches:
+                if not batch.num_rows:
                     continue
-                kept = []
-                for i in range(len(names)):
-                    score, own = (s[i], node) if best is None else (np.concatenate([best[i][0], s[i]]), np.concatenate([best[i][1], node]))
-                    if len(score) > k:
-                        edge = np.partition(score, len(score) - k)[len(score) - k]
-                        at = np.flatnonzero(score >= edge)  # with all ties, which the ids decide
-                        at = at[np.lexsort((own[at], -score[at]))][:k]
-                        score, own = score[at], own[at]
-                    kept.append((score, own))
-                best = kept
-            for name, (score, own) in zip(names, best or [], strict=False):
-                yield pa.RecordBatch.from_pylist([{"query_id": name, "node_id": o, "score": float(x)} for x, o in zip(score, own, strict=True)], schema=plain)
-            if k is None and seen:
-                yield pa.record_batch([pa.array(names, plain[0].type), pa.array([seen] * len(names), pa.int64()), pa.array(low), pa.array(high)], schema=plain)
-
-        return nodes.mapInArrow(run, f"query_id {id_kind}, node_id {kind}, score double" + (", high double" if k is None else ""))
+                key = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy(zero_copy_only=False)
+                edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    at, node = divmod(int(key[a]), 2)
+                    if at != now:
+                        if best is not None:
+                            yield from _batches(best, pa.concat_arrays(names), fields)
+                        now, names, parts, block, best = at, [], [], None, None
+                    x = matrix(batch.column(4).slice(a, b - a), dim)
+                    if not node:
+                        names.append(batch.column(2).slice(a, b - a))
+                        parts.append(x.copy())
+                    elif names:
+                        if block is None:
+                            block, best, parts = Vectors(np.concatenate(parts), metric), Best(sum(map(len, names)), k), []
+                        block.add(best, ids_of(batch.column(3).slice(a, b - a)), x)
+            if best is not None:
+                yield from _batches(best, pa.concat_arrays(names), fields)
+
+        return rows.mapInArrow(run, _ddl(id_field, node_field))
 
     def search_hybrid(self, queries: DataFrame, sparse: DataFrame, alpha: float, k: int = 10, filters: dict[str, object] | None = None, query_vector: str = "query_vector") -> DataFrame:
         """alpha * dense + (1 - alpha) * sparse, each scaled to 0..1 over all nodes of a query; sparse: query_id, node_id, score.
@@ -195,12 +237,27 @@ class VectorTable:
 
     def _extremes(self, nodes: DataFrame, queries: DataFrame, query_vector: str) -> DataFrame:
         """query_id, lo, hi, n over all nodes: each task sends one row a query."""
-        table = nodes.select(F.col(self.node_id).alias("node_id"), F.col(self.vector).cast("array<double>").alias("v"))
-        id_kind = queries.schema["query_id"].dataType.simpleString()
-        size = max(1, queries.count() * self.dim * 8 // MOST_QUERY_BYTES + 1)
-        parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(size)) == i) for i in range(size)]
-        found = reduce(DataFrame.unionByName, (self._block(table, part, None, "bigint", id_kind, query_vector) for part in parts))
-        return found.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("high").alias("hi"), F.sum("node_id").alias("n"))
+        nodes = nodes.select(self._floats(self.df, self.vector).alias("v"))
+        asked = queries.select("query_id", self._floats(queries, query_vector).alias("v"))
+        found = reduce(DataFrame.unionByName, (self._scan_extremes(nodes, part) for part in _slices(asked, self.dim * 8)))
+        return found.groupBy("query_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+
+    def _scan_extremes(self, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+        got = asked.toArrow()  # bounded by MOST_QUERY_BYTES
+        names, q = got.column(0).combine_chunks(), matrix(got.column(1), self.dim)
+        dim, metric, shared = self.dim, self.metric, nodes.sparkSession.sparkContext.broadcast((names, q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            block, low, high, seen = Vectors(q, metric), np.full(len(q), np.inf), np.full(len(q), -np.inf), 0
+            for batch in batches:
+                if batch.num_rows and len(q):
+                    block.extremes(low, high, matrix(batch.column(0), dim))
+                    seen += batch.num_rows
+            if seen:
+                yield pa.record_batch([names, pa.array(low), pa.array(high), pa.array([seen] * len(names), pa.int64())], names=["query_id", "lo", "hi", "n"])
+
+        return nodes.mapInArrow(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, lo double, hi double, n bigint")
 
     def search_page(self, queries: DataFrame, cursor: Cursor, filters: dict[str, object] | None = None) -> tuple[DataFrame, Cursor]:
         """Rows of one page, and the next cursor, whose total is the table's size."""

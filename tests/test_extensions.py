@@ -1,12 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkrag.config import IndexConfig, StreamingMetricsConfig
 from sparkrag.errors import ConfigError, UnsupportedBackendError, VectorIndexError
 from sparkrag.functions.templates import PromptTemplate
-from sparkrag.operators import chunk, evaluate, monitor
+from sparkrag.operators import best, chunk, evaluate, monitor
 from sparkrag.operators import vector_index as vi
 from sparkrag.plans import models
 from sparkrag.sources import documents
@@ -171,3 +172,60 @@ def test_sparse_embedding_keeps_words_apart(spark):
     alike = next(ws for ws in by.values() if len(ws) > 1)
     row = models.sparse_embed(spark.createDataFrame([(" ".join(alike),)], "content string")).first()
     assert sorted(row.sparse_vector.values()) == [1.0] * len(alike)
+
+
+def plain_best(q, v, metric, k):
+    out = []
+    for i, a in enumerate(q):
+        d = v.astype(float) @ a.astype(float)
+        s = {"dot": d, "cosine": d / (np.linalg.norm(v.astype(float), axis=1) * np.linalg.norm(a.astype(float)) + 1e-8), "euclidean": -np.sqrt(((v.astype(float) - a) ** 2).sum(1))}[metric]
+        s = np.round(s, 9) + 0.0
+        out += [(i, int(j), float(s[j])) for j in np.lexsort((np.arange(len(v)), -s))[:k]]
+    return out
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+@pytest.mark.parametrize("kind", ["random", "copies", "tiny", "huge"])
+def test_best_of_tiles_are_those_of_all_scores(metric, kind, monkeypatch):
+    monkeypatch.setattr(best, "TILE", (7, 31))
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(700, 6)).astype(np.float32)
+    if kind == "copies":
+        v[::3], v[5] = v[0], 0
+    v *= {"tiny": 1e-5, "huge": 1e18}.get(kind, 1)
+    q = np.concatenate([v[:20] + np.float32(0), v[:3] * np.float32(0.5)])
+    for k in (1, 10, 64, 800):
+        block, found = best.Vectors(q, metric), best.Best(len(q), k)
+        for i in range(0, 700, 90):
+            block.add(found, np.arange(i, min(i + 90, 700)), v[i : i + 90])
+        want = plain_best(q, v, metric, k)
+        at, ids, score = found.rows()
+        assert len(at) == len(want) and np.array_equal(at, [w[0] for w in want])
+        if kind != "huge":  # where the digits that are rounded are beyond a double's
+            assert np.array_equal(ids, [w[1] for w in want])
+        assert np.allclose(score, [w[2] for w in want], rtol=1e-12, atol=2e-9)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_blocks_meet_groups(spark, monkeypatch, metric):
+    """Nothing of many queries is collected, and a task holds a block of them."""
+    table = vi.VectorTable(vectors(spark, 300, seed=1), 4, metric)
+    asked = table.df.select(F.col("node_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    want = sorted(map(tuple, table.search_blocks(asked, 4, {"kind": 1}).collect()))
+    monkeypatch.setattr(vi, "MOST_QUERY_BYTES", 5000)
+    monkeypatch.setattr(vi.VectorTable, "_scan", None)
+    assert len(want) == 1200 and sorted(map(tuple, table.search_blocks(asked, 4, {"kind": 1}).collect())) == want
+
+
+def test_memory_does_not_grow_with_a_batch():
+    """A product of all queries and a batch took 4,000 x 10,000 scores at once, 320 MB, and a copy."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    q, v = rng.normal(size=(4000, 16)).astype(np.float32), rng.normal(size=(10_000, 16)).astype(np.float32)
+    block, found = best.Vectors(q, "cosine"), best.Best(len(q), 10)
+    tracemalloc.start()
+    block.add(found, np.arange(len(v)), v)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20 and (found.n == 10).all()
