@@ -115,6 +115,41 @@ def long_metrics(hits: DataFrame, sizes: DataFrame, k: int, case: str = "query_i
     return out.select(case, (F.col("hits") / F.col("n_relevant")).alias("recall"), (F.col("hits") / F.col("shown")).alias("precision"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("mrr"), (F.col("dcg") / ideal).alias("ndcg"), (F.col("ap") / F.col("n_relevant")).alias("map"))
 
 
+def hit_metrics(hits: DataFrame, sizes: DataFrame, ks: list[int] | None = None, names: list[str] | None = None, case: str = "query_id") -> DataFrame:
+    """query_id, metric, value: what ``case_metrics`` gives, from rows (query_id, rank, hit) and (query_id, n_relevant).
+
+    For truth that many cases share, such as the rows of a label: no case has the array of its relevant ids, so its size
+    doesn't matter. Retrieved and relevant ids must be distinct.
+    """
+    ks, names = resolve_ks(ks), names or ["map", "mrr", "ndcg", "precision", "recall"]
+    rows = hits.withColumn("so_far", F.sum("hit").over(Window.partitionBy(case).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    sums = [F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("_first")]
+    for k in ks:
+        inside = F.col("rank") <= k
+        sums += [
+            F.sum(F.when(inside, F.col("hit")).otherwise(0)).alias(f"_hits{k}"),
+            F.count_if(inside).alias(f"_shown{k}"),
+            F.sum(F.when(inside, F.col("hit") / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"_dcg{k}"),
+            F.sum(F.when(inside, F.col("hit") * F.col("so_far") / F.col("rank")).otherwise(0.0)).alias(f"_ap{k}"),
+        ]
+    n = F.col("n_relevant")
+    ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), n).cast("int")), F.lit(0.0), lambda s, r: s + F.lit(1.0) / F.log2(r + 1.0))
+    value = {
+        "recall": lambda k: F.col(f"_hits{k}") / n,
+        "precision": lambda k: F.col(f"_hits{k}") / F.col(f"_shown{k}"),
+        "ndcg": lambda k: F.col(f"_dcg{k}") / ideal(k),
+        "map": lambda k: F.col(f"_ap{k}") / n,
+    }
+    pairs = []
+    for name in names:
+        if name == "mrr":
+            pairs.append(("mrr", F.coalesce(F.lit(1.0) / F.col("_first"), F.lit(0.0))))
+        else:
+            pairs += [(f"{name}@{k}", value[name](k)) for k in ks]
+    per = rows.groupBy(case).agg(*sums).join(sizes.where("n_relevant > 0"), case)
+    return per.select(case, F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in pairs))))
+
+
 def wide_report(results: DataFrame, values: DataFrame, metrics: list[str], case: str = "case_id") -> DataFrame:
     """One row a case: its answer and counts, and a column for each metric; absent values are null."""
     pivoted = values.groupBy(case).pivot("metric", metrics).agg(F.first("value"))

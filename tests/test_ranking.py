@@ -86,3 +86,24 @@ def test_long_form_agrees(spark):
     row = evaluate.long_metrics(hits, spark.createDataFrame([("q", 4)], "query_id string, n_relevant int"), 4).first()
     want = plain(list("xabyc"), list("abcd"), 4)
     assert {n: row[n] for n in want} == {n: pytest.approx(v) for n, v in want.items()}
+
+
+def test_metrics_of_hits_agree_with_those_of_lists(spark):
+    rng = random.Random(8)
+    got = {q: rng.sample(range(60), rng.randint(1, 12)) for q in range(40)}
+    relevant = {q: rng.sample(range(60), rng.choice([0, 1, 3, 30])) for q in range(38)}
+    hits = spark.createDataFrame([(q, i, int(x in relevant.get(q, ()))) for q, xs in got.items() for i, x in enumerate(xs, 1)], "query_id int, rank int, hit int")
+    sizes = spark.createDataFrame([(q, len(xs)) for q, xs in relevant.items()], "query_id int, n_relevant long")
+    want = {}
+    for q, xs in relevant.items():
+        for k in (3, 10):
+            want |= {(q, n if n == "mrr" else f"{n}@{k}"): pytest.approx(v) for n, v in plain(got[q], xs, k).items() if xs}
+    assert {(r.query_id, r.metric): r.value for r in evaluate.hit_metrics(hits, sizes, [3, 10]).collect()} == want
+
+
+def test_no_query_holds_the_ids_of_its_label(spark, sf):
+    """A list of relevant ids for each query grows with the square of the table."""
+    from sparkrag import queries
+
+    for name in ("metrics_all_k", "metrics_aggregate", "metrics_report_wide", "recall_at_k", "precision_at_k", "mrr", "ndcg_at_k", "map_at_k", "metrics_long_form"):
+        assert "relevant#" not in queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().replace("n_relevant#", "")
