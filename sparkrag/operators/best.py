@@ -169,3 +169,89 @@ class Vectors:
             at = np.arange(mine.start, mine.stop)
             high[mine] = np.maximum(high[mine], self.exact(at, v, norm, nodes.start + s.argmax(1)))
             low[mine] = np.minimum(low[mine], self.exact(at, v, norm, nodes.start + s.argmin(1)))
+
+
+class Terms:
+    """Weighted words of queries, to be multiplied with those of nodes: a sparse score is the sum over common words."""
+
+    ROWS, WORDS = 512, 1024  # queries and words that are multiplied at a time
+
+    def __init__(self, at: np.ndarray, tokens: list, weight: np.ndarray, m: int):
+        self.m, self.vocabulary = m, {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+        order = np.argsort(at, kind="stable")
+        self.at, self.weight = at[order], weight[order]
+        self.token = np.fromiter(map(self.vocabulary.__getitem__, tokens), np.int64, len(tokens))[order]
+
+    def of_texts(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, word, count) of lower-cased texts in UTF-8, words being runs of what isn't ASCII's white space."""
+        found = [[i for w in t.split() if (i := self.vocabulary.get(w)) is not None] if t else [] for t in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.repeat(np.arange(len(found)), sizes), np.fromiter((i for x in found for i in x), np.int64, int(sizes.sum())), np.ones(int(sizes.sum()))
+
+    def of_maps(self, keys: pa.Array, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of lists of words and of their weights."""
+        sizes = keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        token = np.fromiter((self.vocabulary.get(w, -1) for w in keys.flatten().to_pylist()), np.int64, int(sizes.sum()))
+        at, weight = np.repeat(np.arange(len(keys)), sizes), values.flatten().to_numpy(zero_copy_only=False)
+        return at[token >= 0], token[token >= 0], weight[token >= 0]
+
+    def product(self, mine: slice, nodes: slice, of: np.ndarray, token: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sparse scores of some queries and nodes; ``of`` ascends."""
+        (a, b), (x, y) = np.searchsorted(of, [nodes.start, nodes.stop]), np.searchsorted(self.at, [mine.start, mine.stop])
+        of, token, weight, at, own, by = of[a:b] - nodes.start, token[a:b], weight[a:b], self.at[x:y] - mine.start, self.token[x:y], self.weight[x:y]
+        m, n = mine.stop - mine.start, nodes.stop - nodes.start
+        out, here, asked = np.zeros((m, n)), np.zeros(len(self.vocabulary), bool), np.zeros(len(self.vocabulary), bool)
+        here[token] = asked[own] = True
+        both = np.flatnonzero(here & asked)
+        for i in range(0, len(both), self.WORDS):
+            place = np.full(len(self.vocabulary), -1)
+            place[both[i : i + self.WORDS]] = np.arange(p := len(both[i : i + self.WORDS]))
+            left, right = place[own], place[token]
+            w = np.bincount((at * p + left)[left >= 0], by[left >= 0], m * p).reshape(m, p)
+            c = np.bincount((right * n + of)[right >= 0], weight[right >= 0], p * n).reshape(p, n)
+            out += w @ c
+        return out
+
+    def tiles(self, postings: tuple[np.ndarray, np.ndarray, np.ndarray], n: int):
+        for j in range(0, n, TILE[1]):
+            for i in range(0, self.m, self.ROWS):
+                mine, nodes = slice(i, min(i + self.ROWS, self.m)), slice(j, min(j + TILE[1], n))
+                yield mine, nodes, self.product(mine, nodes, *postings)
+
+    def add(self, best: Best, ids: np.ndarray, postings: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """A batch of nodes that have words of a query, to its best; weights are greater than 0."""
+        for mine, nodes, s in self.tiles(postings, len(ids)):
+            least = best.edge[mine]
+            if np.isneginf(least).any() and s.shape[1] > best.k:
+                least = np.maximum(least, np.partition(s, s.shape[1] - best.k, axis=1)[:, s.shape[1] - best.k])
+            at, of = np.nonzero((s > 0) & ~(s < least[:, None]))
+            best.put(at + mine.start, s[at, of], ids[of + nodes.start])
+
+
+class Fused:
+    """alpha * dense + (1 - alpha) * sparse, both scaled to 0..1 by the extremes (columns lo, hi) over all nodes of a query."""
+
+    def __init__(self, vectors: Vectors, terms: Terms, alpha: float, dense: np.ndarray, sparse: np.ndarray):
+        self.vectors, self.terms, self.alpha, self.dense, self.sparse = vectors, terms, alpha, dense, sparse
+
+    @staticmethod
+    def scaled(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        span = high - low
+        return np.where(span < 1e-8, 1.0, (x - low) / np.where(span < 1e-8, 1, span))
+
+    def add(self, best: Best, ids: np.ndarray, v: np.ndarray, postings: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        norm, one = np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64)), self.vectors
+        for mine, nodes, s, error in one.tiles(v, norm, np.float64, self.terms.ROWS):
+            if one.metric == "euclidean":
+                s, error = -np.sqrt(np.maximum(one.norm[mine, None] ** 2 - s, 0)), np.sqrt(error)
+            low, high = self.dense[mine, :1], self.dense[mine, 1:]
+            error = self.alpha * (error + 10.0**-DIGITS) / np.maximum(high - low, 1e-8)[:, 0] + 2 * 10.0**-DIGITS
+            other = self.terms.product(mine, nodes, *postings)
+            s = self.alpha * self.scaled(s, low, high) + (1 - self.alpha) * self.scaled(other, self.sparse[mine, :1], self.sparse[mine, 1:])
+            least = best.edge[mine]
+            if np.isneginf(least).any() and s.shape[1] > best.k:
+                least = np.maximum(least, np.partition(s, s.shape[1] - best.k, axis=1)[:, s.shape[1] - best.k] - error)
+            at, of = np.nonzero(~(s < (least - error)[:, None]))
+            x = self.scaled(one.exact(at + mine.start, v, norm, of + nodes.start), low[at, 0], high[at, 0])
+            y = self.scaled(other[at, of], self.sparse[at + mine.start, 0], self.sparse[at + mine.start, 1])
+            best.put(at + mine.start, np.round(self.alpha * x + (1.0 - self.alpha) * y, DIGITS) + 0.0, ids[of + nodes.start])

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..errors import VectorIndexError
 from ..functions.vectors import METRICS, norm, similarity
 from ..registry import Registry
-from .best import DIGITS, Best, Vectors, ids_of, matrix
+from .best import DIGITS, Best, Fused, Terms, Vectors, ids_of, matrix
 
 MOST_QUERY_BYTES = 64 << 20  # of queries that a task holds; a quarter of it is sent to all tasks
 FEW_QUERIES = 64  # that are compared by expressions
@@ -77,6 +77,79 @@ def _slices(queries: DataFrame, each: int) -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(size)) == i) for i in range(size)] if size > 1 else [queries]
 
 
+@dataclass(frozen=True)
+class Words:
+    """Words of queries (query_id, token_id, weight), and where nodes have theirs: ``content``, a text whose lower-cased words
+    are counted, or ``weights``, a map from words to weights. The terms of a batch go to all tasks, ``MOST_TOKENS`` at most."""
+
+    terms: DataFrame
+    content: str | None = None
+    weights: str | None = None
+
+    def fits(self) -> bool:
+        return self.terms.count() <= MOST_TOKENS
+
+    def columns(self) -> list[Column]:
+        if self.content is not None:
+            return [F.lower(self.content).cast("binary").alias("_text")]
+        keys = F.transform(F.map_keys(self.weights), lambda x: x.cast("string").cast("binary"))
+        return [keys.alias("_keys"), F.map_values(self.weights).cast("array<double>").alias("_values")]
+
+    @property
+    def postings(self) -> Callable[[Terms, pa.RecordBatch, int], tuple]:
+        """The words of a batch's nodes, from the columns that begin at a place."""
+        if self.content is not None:
+            return lambda terms, batch, i: terms.of_texts(batch.column(i).to_pylist())
+        return lambda terms, batch, i: terms.of_maps(batch.column(i), batch.column(i + 1))
+
+    def collected(self, names: pa.Array) -> Terms:
+        """The terms of these queries; other ones are left out."""
+        got = self.terms.select("query_id", F.col("token_id").cast("string").cast("binary").alias("t"), F.col("weight").cast("double").alias("w")).toArrow()
+        at = {x: i for i, x in enumerate(names.to_pylist())}
+        at = np.fromiter((at.get(x, -1) for x in got.column(0).to_pylist()), np.int64, len(got))
+        keep = at >= 0
+        return Terms(at[keep], [t for t, yes in zip(got.column(1).to_pylist(), keep, strict=True) if yes], got.column(2).to_numpy()[keep], len(names))
+
+    def _scan(self, nodes: DataFrame, node_id: str, make) -> DataFrame:
+        """Rows (query_id, node_id, score) that ``make(terms, names, fields)`` gives for batches of (ids, words)."""
+        rows = nodes.select(F.col(node_id).alias("node_id"), *self.columns())
+        names = self.terms.select("query_id").distinct().toArrow().column(0).combine_chunks()
+        id_field, node_field, of = self.terms.schema["query_id"], rows.schema["node_id"], self.postings
+        fields, shared = _fields(id_field, node_field), nodes.sparkSession.sparkContext.broadcast((names, self.collected(names)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, terms = shared.value
+            yield from make(((b.column(0), of(terms, b, 1)) for b in batches if b.num_rows and len(names)), terms, names, fields)
+
+        return rows.mapInArrow(run, _ddl(id_field, node_field))
+
+    def best(self, nodes: DataFrame, k: int, node_id: str = "node_id") -> DataFrame:
+        """query_id, node_id, score, rank of the k nodes with the most in common; weights are greater than 0. Each task sends
+        its k best a query, where ``sparse_scores`` would shuffle every common word."""
+
+        def make(batches, terms, names, fields):
+            best = Best(len(names), k)
+            for ids, postings in batches:
+                terms.add(best, ids_of(ids), postings)
+            yield from _batches(best, names, fields)
+
+        return ranked(self._scan(nodes, node_id, make), k)
+
+    def scores(self, nodes: DataFrame, node_id: str = "node_id") -> DataFrame:
+        """query_id, node_id, score of all pairs with a common word; weights are greater than 0. Each node's words are in one
+        row, so nothing is shuffled. Ids of nodes must be distinct."""
+
+        def make(batches, terms, names, fields):
+            for ids, postings in batches:
+                for mine, nodes, s in terms.tiles(postings, len(ids)):
+                    at, of = np.nonzero(s > 0)
+                    for i in range(0, len(at), 1 << 16):
+                        a, b = at[i : i + (1 << 16)], of[i : i + (1 << 16)]
+                        yield pa.record_batch([names.take(pa.array(a + mine.start)).cast(fields[0].type), ids.take(pa.array(b + nodes.start)).cast(fields[1].type), pa.array(s[a, b])], schema=fields)
+
+        return self._scan(nodes, node_id, make)
+
+
 class VectorTable:
     def __init__(self, df: DataFrame, dim: int, metric: str = "cosine", node_id: str = "node_id", vector: str = "vector", max_nodes: int | None = None, eviction: str = "lru", order: str | None = None):
         if metric not in METRICS:
@@ -207,14 +280,20 @@ class VectorTable:
 
         return rows.mapInArrow(run, _ddl(id_field, node_field))
 
-    def search_hybrid(self, queries: DataFrame, sparse: DataFrame, alpha: float, k: int = 10, filters: dict[str, object] | None = None, query_vector: str = "query_vector") -> DataFrame:
+    def search_hybrid(self, queries: DataFrame, sparse: DataFrame | Words, alpha: float, k: int = 10, filters: dict[str, object] | None = None, query_vector: str = "query_vector") -> DataFrame:
         """alpha * dense + (1 - alpha) * sparse, each scaled to 0..1 over all nodes of a query; sparse: query_id, node_id, score.
 
         Nodes without sparse score have the same one, 0, so that their fused scores follow the dense ones. As long as no score
         is under 0, the first k are among the k best by the dense score and the nodes of ``sparse``; otherwise among as many
         more as a query has sparse scores. Where ``alpha`` is 0 and ids decide, the least ids take the place of the best. Only
         these, with the extremes of the dense scores, leave the scan.
+
+        As the pairs of ``sparse`` can be as many as queries times nodes, words of queries (``Words``) are better: their
+        products with a node's own words are made where its dense scores are, and pairs are not listed.
         """
+        if isinstance(sparse, Words):
+            nodes, each = where_equal(self.df, filters), self.dim * 8 + k * 24
+            return ranked(reduce(DataFrame.unionByName, (self._fused(nodes, part, sparse, alpha, k, query_vector) for part in _slices(queries, each))), k)
         per = sparse.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.min("least"), F.lit(0.0)).alias("least")).first()
         more = k + per.n if per.least < 0 or alpha == 0 else k
         wanted = sparse.select("query_id", "node_id")
@@ -224,6 +303,44 @@ class VectorTable:
         dense = self.score_blocks(queries, more if alpha else k, wanted, filters, query_vector)
         return fuse(dense, sparse, alpha, k)
 
+    def _fused(self, nodes: DataFrame, queries: DataFrame, words: Words, alpha: float, k: int, query_vector: str) -> DataFrame:
+        """The k best of each task a query; one scan for the extremes, one for the scores."""
+        got = queries.select("query_id", self._floats(queries, query_vector).alias("v")).toArrow()  # bounded by MOST_QUERY_BYTES
+        names, q = got.column(0).combine_chunks(), matrix(got.column(1), self.dim)
+        id_field, node_field, dim, metric = queries.schema["query_id"], nodes.schema[self.node_id], self.dim, self.metric
+        shared = nodes.sparkSession.sparkContext.broadcast((names, q, words.collected(names)))
+        rows = nodes.select(F.col(self.node_id).alias("node_id"), self._floats(nodes, self.vector).alias("v"), *words.columns())
+        of = words.postings
+
+        def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q, terms = shared.value
+            block, seen = Vectors(q, metric), 0
+            low, high, low_s, high_s = (np.full(len(q), x) for x in (np.inf, -np.inf) * 2)
+            for batch in batches:
+                if not batch.num_rows or not len(q):
+                    continue
+                block.extremes(low, high, matrix(batch.column(0), dim))
+                for mine, _, s in terms.tiles(of(terms, batch, 1), batch.num_rows):
+                    low_s[mine], high_s[mine] = np.minimum(low_s[mine], s.min(1)), np.maximum(high_s[mine], s.max(1))
+                seen += batch.num_rows
+            if seen:
+                yield pa.record_batch([pa.array(np.arange(len(q)), pa.int64()), *map(pa.array, (low, high, low_s, high_s))], names=["at", "lo", "hi", "s_lo", "s_hi"])
+
+        spans = rows.drop("node_id").mapInArrow(extremes, "at bigint, lo double, hi double, s_lo double, s_hi double")
+        spans = spans.groupBy("at").agg(*(f(c).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"), (F.min, "s_lo"), (F.max, "s_hi")))).toArrow().sort_by("at")
+        bounds = np.stack([spans[c].to_numpy() for c in ("lo", "hi", "s_lo", "s_hi")], 1)  # a row a query, or none without nodes
+        fields = _fields(id_field, node_field)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q, terms = shared.value
+            best, block = Best(len(q), k), Fused(Vectors(q, metric), terms, alpha, bounds[:, :2], bounds[:, 2:])
+            for batch in batches:
+                if batch.num_rows and len(q):
+                    block.add(best, ids_of(batch.column(0)), matrix(batch.column(1), dim), of(terms, batch, 2))
+            yield from _batches(best, names, fields)
+
+        return rows.mapInArrow(run, _ddl(id_field, node_field))
+
     def score_blocks(self, queries: DataFrame, k: int, wanted: DataFrame, filters: dict[str, object] | None = None, query_vector: str = "query_vector") -> DataFrame:
         """query_id, node_id, dense, lo, hi, n: the k best nodes of each query and those that ``wanted`` (query_id, node_id)
         names, with the least and the greatest score and the number of all nodes of the query."""

@@ -229,3 +229,32 @@ def test_memory_does_not_grow_with_a_batch():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 100 << 20 and (found.n == 10).all()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_hybrid_of_words_is_that_of_all_pairs(spark, metric, monkeypatch):
+    """Sparse scores are made beside the dense ones; a list of all pairs with a common word is not needed."""
+    nodes = vectors(spark, 60, seed=2).withColumn("words", F.create_map(F.col("kind"), F.lit(1.0) + F.col("node_id") % 4, F.lit(9), F.when(F.col("node_id") % 5 == 0, -2.0).otherwise(0.0)))
+    asked = vectors(spark, 6, seed=9).select(F.col("node_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    terms = spark.createDataFrame([(q, t, float(q + t) / 4) for q in range(5) for t in (0, 1, 9) if (q + t) % 3], "query_id long, token_id int, weight double")
+    table = vi.VectorTable(nodes, 4, metric)
+    pairs = vi.sparse_scores(vi.postings(nodes, sparse="words"), terms)
+    for alpha, most in ((0.0, 2000), (0.3, vi.MOST_QUERY_BYTES), (1.0, 1000)):
+        want = vi.hybrid(table.search_blocks(asked, 60), pairs, alpha, 7).collect()
+        monkeypatch.setattr(vi, "MOST_QUERY_BYTES", most)
+        got = table.search_hybrid(asked, vi.Words(terms, weights="words"), alpha, 7).collect()
+        assert sorted((r.query_id, r.rank, r.node_id, round(r.score, 6)) for r in got) == sorted((r.query_id, r.rank, r.node_id, round(r.score, 6)) for r in want)
+        monkeypatch.undo()
+    assert table.search_hybrid(asked, vi.Words(terms, weights="words"), 0.5, 7, {"kind": 99}).count() == 0
+
+
+def test_scores_of_words_without_a_shuffle(spark):
+    texts = ["a b a", "B\u00a0c b", None, "", "x y\x0bz", "\u00c4 a\n\tb", "c " * 50] + [f"w{i % 7} a{i} b" for i in range(30)]
+    nodes = spark.createDataFrame([(f"n{i:02}", t) for i, t in enumerate(texts)], "node_id string, content string")
+    terms = vi.term_frequencies(spark.createDataFrame([(1, "a b b"), (2, "\u00e4 c w3 z"), (3, "none"), (4, None)], "q int, t string"), "q", "t").withColumnRenamed("node_id", "query_id")
+    pairs = vi.sparse_scores(vi.term_frequencies(nodes, "node_id", "content", terms), terms)
+    words = vi.Words(terms, "content")
+    made = words.scores(nodes)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, pairs.collect()))
+    assert sorted(map(tuple, words.best(nodes, 3).collect())) == sorted(map(tuple, vi.ranked(pairs, 3).collect()))
