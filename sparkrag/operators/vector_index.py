@@ -473,6 +473,19 @@ def sparse_scores(index: DataFrame, query_terms: DataFrame) -> DataFrame:
     return joined.groupBy("query_id", "node_id").agg(F.sum(F.col("_qw") * F.col("weight")).alias("score"))
 
 
+def word_scores(nodes: DataFrame, terms: DataFrame, node_id: str, content: str) -> DataFrame:
+    """query_id, node_id, score of all pairs with a common word of a text: ``sparse_scores`` of ``term_frequencies``, but by one
+    scan without a shuffle as long as the queries' words can go to all tasks."""
+    words = Words(terms, content)
+    return words.scores(nodes, node_id) if words.fits() else sparse_scores(term_frequencies(nodes, node_id, content, terms), terms)
+
+
+def word_best(nodes: DataFrame, terms: DataFrame, k: int, node_id: str, content: str) -> DataFrame:
+    """The k first of ``word_scores`` with their rank; each task sends its k best a query."""
+    words = Words(terms, content)
+    return words.best(nodes, k, node_id) if words.fits() else ranked(sparse_scores(term_frequencies(nodes, node_id, content, terms), terms), k)
+
+
 def min_max(scores: DataFrame, column: str = "score", query: str = "query_id", out: str | None = None) -> DataFrame:
     """Scores scaled to 0..1 within each query; all ones where they hardly differ (by less than 1e-8)."""
     span = scores.groupBy(query).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))

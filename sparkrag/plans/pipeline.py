@@ -76,8 +76,10 @@ class Retriever:
             if self.mode == "dense":
                 return table.search_blocks(asked, k)
         terms = vi.term_frequencies(queries, "query_id", "query").withColumnRenamed("node_id", "query_id")
-        sparse = vi.sparse_scores(vi.term_frequencies(nodes, "node_id", "content", only=terms), terms)
-        return vi.ranked(sparse, k) if self.mode == "sparse" else table.search_hybrid(asked, sparse, self.alpha, k)
+        if self.mode == "sparse":
+            return vi.word_best(nodes, terms, k, "node_id", "content").select("query_id", "node_id", "score", "rank")
+        words = vi.Words(terms, "content")
+        return table.search_hybrid(asked, words if words.fits() else vi.sparse_scores(vi.term_frequencies(nodes, "node_id", "content", only=terms), terms), self.alpha, k)
 
 
 def retriever(nodes: DataFrame, profile: ExperimentProfile) -> Retriever:
@@ -87,11 +89,18 @@ def retriever(nodes: DataFrame, profile: ExperimentProfile) -> Retriever:
 
 
 SYSTEM = "Answer from the context below."
+MOST_FOUND = 100_000  # rows of runs that the driver sends to all tasks; more meet their nodes in a shuffle
 
 
 def answer(queries: DataFrame, found: DataFrame, nodes: DataFrame, driver: LLMDriver | None = None, window: int = 4096, completion: int = 512, strategy: str = "priority") -> DataFrame:
     """query_id, query, chunks, prompt, generation_result, answer, sources (source ids in rank order, repeats kept)."""
-    rows = found.join(nodes.select("node_id", "source_id", "content"), "node_id")
+    # the runs are few beside the nodes: made once and sent to them, so that no node is shuffled
+    few = found.select("query_id", "node_id", "rank").limit(MOST_FOUND + 1).toArrow()
+    if len(few) <= MOST_FOUND:
+        found = F.broadcast(found.sparkSession.createDataFrame(few, found.select("query_id", "node_id", "rank").schema))
+    rows = nodes.select("node_id", "source_id", "content").join(found, "node_id")
+    # one shuffle with all columns, which both uses below read again; else each would scan the nodes
+    rows = rows.groupBy("query_id").agg(F.collect_list(F.struct("rank", "source_id", "content")).alias("_r")).select("query_id", F.inline("_r"))
     sources = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source_id"))), lambda x: x.source_id).alias("sources"))
     driver = driver or EchoDriver()
     packed = context.fit_context(queries, rows.select("query_id", "rank", "content"), window, completion, SYSTEM, strategy, token_counter(driver) if hasattr(driver, "count_tokens") else context.count_tokens)
